@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()  # plans that ended let go of their shuffle files only when both sides collect their garbage
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,12 +55,18 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def text_of(batch: pa.RecordBatch, name: str = "row") -> pa.Array:
+    """The text column, or the text in a struct column of that name."""
+    column = batch.column(name)
+    return column.flatten()[column.type.get_field_index("text")] if pa.types.is_struct(column.type) else column
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about max_bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_binary())), 0)
+        sizes = pc.fill_null(pc.binary_length(text_of(batch, text).cast(pa.large_binary())), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices, texts
+from .common import held_out, labelled_sample, slices, text_of, texts
 
 PER_CLASS, MAX_TEXT, PIECE, DICT_BYTES, LEVEL = 1200, 16_384, 1024, 110_000, 3
 
@@ -130,10 +130,10 @@ def compress_quality(docs: DataFrame, labels: DataFrame, target: str = "quality"
     model = train(docs, labels, target, per_class)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(model.scores(texts(b.column("t"))), pa.float64())], ["row", "score"])
+        for b in slices(batches, "row"):
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(model.scores(texts(text_of(b))), pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, text_of, texts
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -50,14 +50,14 @@ def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs (doc_id, text, ...) -> the same columns with `text` reduced to the kept lines, plus n_lines and n_dropped."""
     names = docs.columns
-    at = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("k"), F.col("text").alias("t"))
+    at = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("k"))
     keys = frequent_keys(docs, min_docs, min_chars).withColumnRenamed("doc_id", "k2")
-    joined = at.join(keys, F.col("k").eqNullSafe(F.col("k2")), "left").select("row", "t", "keys")
+    joined = at.join(keys, F.col("k").eqNullSafe(F.col("k2")), "left").select("row", "keys")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "row"):
             kept, n_lines, n_dropped = [], [], []
-            for text, gone in zip(texts(batch.column("t")), batch.column("keys").to_pylist(), strict=True):
+            for text, gone in zip(texts(text_of(batch)), batch.column("keys").to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 n_lines.append(len(lines))
                 if gone:
