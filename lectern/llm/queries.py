@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compress_quality, line_dedup, quality_rules, simhash_dedup, substring_dedup
+from . import compress_quality, ctw_scoring, line_dedup, quality_rules, simhash_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scoring.ctw_scoring(_read(spark, sf_dir, "documents"))
+
+
 def op2_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_quality.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -33,7 +37,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_compress_quality, op5_substring_dedup, op6_quality_rules, op9_simhash_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ctw_scoring, op2_compress_quality, op5_substring_dedup, op6_quality_rules, op9_simhash_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
