@@ -27,12 +27,15 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, texts, with_block
+from .common import drop_materialized, held_out, materialize, texts, with_block
 
-DEPTH = 4
+DEPTH = 5
+#: Larger blocks than elsewhere: a string that a block holds many times travels once.
+BLOCK_BYTES = 16 << 20
 #: Pads a text's beginning and codes its end; no UTF-8 text holds this byte.
 EDGE = b"\xff"
 LOG_HALF = math.log(0.5)
@@ -158,7 +161,7 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
     """docs (doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
     bits_per_byte. Texts whose crc32(doc_id) mod modulus is remainder are held out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = with_block(docs.select("doc_id", "text"), "text", "doc_id").select("block", "doc_id", "text", held_out("doc_id", modulus, remainder).alias("held"))
+    blocks = with_block(docs.select("doc_id", "text"), "text", "doc_id", block_bytes=BLOCK_BYTES).select("block", "doc_id", "text", held_out("doc_id", modulus, remainder).alias("held"))
 
     def tally(table: pa.Table) -> pa.Table:
         """Distinct strings and words of a block, with their counts in its training texts (0: only held out here)."""
@@ -209,21 +212,23 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
 
     def weigh(table: pa.Table) -> pa.Table:
         s = Subtrees(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), depth, 2)
-        return pa.table({"gram": table.column("gram"), "v": s.log10(above)})
-
-    model = materialize(dealt.groupBy("deal").applyInArrow(weigh, "gram bigint, v double"))
-    needed_grams = gram_rows.select("block", "gram").join(model, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "v")
-    needed_words = word_rows.select("block", "word").join(counts, "word").select("block", F.lit(None).cast("bigint").alias("gram"), "word", F.col("c").cast("double").alias("v"))
-    needed = needed_grams.unionByName(needed_words)
+        return pa.table({"gram": table.column("gram"), "v": s.log10(above).astype(np.float32)})
+
+    model = materialize(dealt.groupBy("deal").applyInArrow(weigh, "gram bigint, v float"))
+    needed_grams = gram_rows.join(model, "gram").select("block", "gram", "v", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("c"))
+    needed_words = word_rows.join(counts, "word").select("block", F.lit(None).cast("bigint").alias("gram"), F.lit(None).cast("float").alias("v"), "word", "c")
+    needed = materialize(needed_grams.unionByName(needed_words))
+    for df in (seen, counts, tree, model):
+        drop_materialized(df)
     log_all = math.log10(total + distinct + 1)
 
     def score(table: pa.Table, lookup: pa.Table) -> pa.Table:
-        is_word = np.asarray(lookup.column("gram").is_null())
-        gram = lookup.column("gram").combine_chunks().filter(pa.array(~is_word)).to_numpy(zero_copy_only=False)
-        v = lookup.column("v").to_numpy()
+        grams_here = lookup.filter(pc.is_valid(lookup.column("gram")))
+        gram = grams_here.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(gram)
-        known, value = gram[order].view(np.uint64), v[~is_word][order]
-        count = dict(zip(lookup.column("word").combine_chunks().filter(pa.array(is_word)).to_pylist(), v[is_word].tolist(), strict=True))
+        known, value = gram[order], grams_here.column("v").to_numpy()[order].astype(float)
+        words_here = lookup.filter(pc.is_valid(lookup.column("word")))
+        count = dict(zip(words_here.column("word").to_pylist(), words_here.column("c").to_pylist(), strict=True))
         n_tokens, n_known, base, model_score, n_bytes = [], [], [], [], []
         for _, docs in pieces(table):
             key, sizes = grams(docs, depth)
