@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compress_quality, ctw_scoring, line_dedup, quality_rules, simhash_dedup, substring_dedup
+from . import chat_tree, compress_quality, ctw_scoring, line_dedup, quality_rules, simhash_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("row.doc_id as doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
 
 
+def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.digest(_read(spark, sf_dir, "conversations"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
@@ -37,8 +41,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ctw_scoring, op2_compress_quality, op5_substring_dedup, op6_quality_rules, op9_simhash_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ctw_scoring, op2_compress_quality, op4_chat_tree, op5_substring_dedup, op6_quality_rules, op9_simhash_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op4_chat_tree": chat_tree.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
