@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, compress_quality, ctw_scoring, line_dedup, quality_rules, simhash_dedup, substring_dedup
+from . import chat_tree, compress_quality, ctw_scoring, html_extract, latent_decontamination, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,10 +28,22 @@ def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.digest(_read(spark, sf_dir, "conversations"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(_read(spark, sf_dir, "pages"))
+
+
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontamination.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.digest(_read(spark, sf_dir, "documents"))
 
@@ -41,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ctw_scoring, op2_compress_quality, op4_chat_tree, op5_substring_dedup, op6_quality_rules, op9_simhash_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ctw_scoring, op2_compress_quality, op3_mixing, op4_chat_tree, op5_substring_dedup, op6_quality_rules, op7_html_extract, op8_latent_decontamination, op9_simhash_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
