@@ -1,9 +1,90 @@
 """Registered queries of the engine and the SQL that checks them."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import scalars as s
+from lectern.operators import audit, elements, metering, structure
+from lectern.streaming import metering as streams
+
+
+def _on(f, *tables):
+    return lambda spark, sf_dir: f(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
+
+
+def _heads(f):
+    return lambda part: f(structure.headings(part))
+
+
+def _instr(f):
+    return lambda events: f(structure.instructions(events))
+
+
+def element_tags(events):
+    """Structure tags of elements by type and level, as matched and as written."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("heading", "paragraph", "table", "list", "caption", "image_alt", "other")]), (F.col("event_id") % 7 + 1).cast("int"))
+    tag = s.tag(kind, (F.col("event_id") % 10).cast("int") - 1)
+    return events.select("event_id", tag.alias("tag"), s.writable_tag(tag).alias("written"))
+
+
+def decoded_strings(nation):
+    """Byte strings in three encodings back to text."""
+    name = F.col("n_name")
+    raw = F.element_at(F.array(F.encode(name, "UTF-8"), F.concat(F.unhex(F.lit("FEFF")), F.encode(name, "UTF-16BE")), F.concat(F.unhex(F.lit("FFFE")), F.encode(name, "UTF-16LE"))), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return nation.select("n_nationkey", s.decode_bytes(raw).alias("name"), s.file_title(F.concat(F.lit("/in/"), F.lower(F.regexp_replace(name, " ", "_")), F.lit(".pdf"))).alias("title"))
+
+
+_QUERIES = {
+    "text_lines": _on(elements.text_lines, "documents"),
+    "heading_candidates": _on(elements.heading_candidates, "documents"),
+    "page_elements": _on(elements.page_elements, "documents"),
+    "elements_per_doc": _on(elements.elements_per_doc, "documents"),
+    "text_coverage": _on(elements.text_coverage, "pages"),
+    "missing_words_sample": _on(elements.missing_words_sample, "pages"),
+    "heading_hierarchy_issues": _on(_heads(structure.heading_hierarchy_issues), "part"),
+    "outline_parents": _on(_heads(structure.outline_parents), "part"),
+    "outline_links": _on(_heads(structure.outline_links), "part"),
+    "outline_counts": _on(_heads(structure.outline_counts), "part"),
+    "strip_marked_content": _on(_instr(structure.strip_marked_content), "events"),
+    "content_blocks": _on(_instr(structure.content_blocks), "events"),
+    "artifact_islands": _on(_instr(structure.artifact_islands), "events"),
+    "block_element_match": _on(structure.block_element_match, "documents"),
+    "best_match": _on(structure.best_match, "documents"),
+    "parent_tree": _on(structure.parent_tree, "documents"),
+    "page_size_breaks": _on(structure.page_size_breaks, "lineitem"),
+    "table_grid": _on(structure.table_grid, "lineitem"),
+    "element_tags": _on(element_tags, "events"),
+    "decoded_strings": _on(decoded_strings, "nation"),
+    "report_rollup": _on(audit.report_rollup, "part", "pages"),
+    "table_header_issues": _on(audit.table_header_issues, "lineitem"),
+    "alt_text_summary": _on(audit.alt_text_summary, "pages"),
+    "language_issues": _on(audit.language_issues, "documents"),
+    "pixel_similarity": _on(audit.pixel_similarity, "embeddings"),
+    "visual_grade": _on(audit.visual_grade, "embeddings"),
+    "json_page_parse": _on(audit.json_page_parse, "events"),
+    "validator_summary": _on(audit.validator_summary, "events"),
+    "charge_quote": _on(metering.charge_quote, "lineitem"),
+    "free_tier_monthly": _on(metering.free_tier_monthly, "orders", "lineitem"),
+    "free_tier_decisions": _on(metering.free_tier_decisions, "orders", "lineitem"),
+    "job_status": _on(metering.job_status, "events"),
+    "expired": _on(metering.expired, "events"),
+    "backend_fallback": _on(metering.backend_fallback, "documents"),
+    "payment_release": _on(metering.payment_release, "events", "orders"),
+    "upload_gate": _on(metering.upload_gate, "documents"),
+    "stream_monthly_usage": streams.stream_monthly_usage,
+    "stream_job_status": streams.stream_job_status,
+    "stream_payment_events": streams.stream_payment_events,
+}
+_SQL = {
+    "element_tags": "with k as (select event_id, event_id % 7 as t, greatest(1, least(6, (event_id % 10) - 1)) as l from events), g as (select event_id, case t when 0 then 'H' || l when 1 then 'P' when 2 then 'Table' when 3 then 'L' when 4 then 'Caption' when 5 then 'Figure' else 'P' end as tag from k) select event_id, tag, case tag when 'Table' then 'Caption' when 'L' then 'P' else tag end as written from g",
+    "decoded_strings": "select n_nationkey, n_name as name, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: regexp_replace(upper(w[1]) || w[2:], '_', ' ', 'g')), ' ') as title from nation",
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return elements.SQL | structure.SQL | audit.SQL | metering.SQL | streams.SQL | _SQL
