@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat_tree, compress_quality, ctw_scoring, html_extract, latent_decontamination, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup
 
 
@@ -53,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ctw_scoring, op2_compress_quality, op3_mixing, op4_chat_tree, op5_substring_dedup, op6_quality_rules, op7_html_extract, op8_latent_decontamination, op9_simhash_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ctw_scoring, op2_compress_quality, op3_mixing, op4_chat_tree, op5_substring_dedup, op6_quality_rules, op7_html_extract, op8_latent_decontamination, op9_simhash_dedup, op10_line_dedup)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
