@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Limits, prices and names that results depend on.
 MAX_PAGES, LARGE_PAGES, MAX_MB = 500, 50, 50
@@ -67,12 +68,12 @@ def file_title(path: Column) -> Column:
     return title(F.regexp_replace(stem, "_", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title(x: pd.Series) -> pd.Series:
     return x.str.title()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_bytes(x: pd.Series) -> pd.Series:
     """A PDF string: UTF-16 by its byte-order mark, else Windows-1252; undecodable bytes are replaced."""
 
