@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import uuid
@@ -55,6 +57,14 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Hand memory that a large block needed back to the system, before the worker waits for its next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_of(batch: pa.RecordBatch, name: str = "row") -> pa.Array:
     """The text column, or the text in a struct column of that name."""
     column = batch.column(name)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, slices, text_of, texts
 
 PER_CLASS, MAX_TEXT, PIECE, DICT_BYTES, LEVEL = 1200, 16_384, 1024, 110_000, 3
+RIDGE = 0.3
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -101,7 +102,7 @@ def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * (p * (1 - p)) + 1e-9)[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (weight * (y - p)) - 1e-2 * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p)) + 1e-9)[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (weight * (y - p)) - RIDGE * w)
         w += np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-8:
             break

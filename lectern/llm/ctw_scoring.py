@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, held_out, materialize, texts, with_block
+from .common import drop_materialized, held_out, materialize, release, texts, with_block
 
 DEPTH = 5
 #: Larger blocks than elsewhere: a string that a block holds many times travels once.
@@ -58,7 +58,7 @@ def grams(docs: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray
     return key[keep], sizes
 
 
-def pieces(table: pa.Table, max_bytes: int = 1 << 21) -> Iterator[tuple[pa.Table, list[bytes]]]:
+def pieces(table: pa.Table, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Rows of a block, a few MB at a time, with lower-cased texts."""
     at, size, held = 0, 0, []
     for i, t in enumerate(texts(table.column("text"))):
@@ -182,6 +182,7 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
         keys, ns = np.concatenate(keys), np.concatenate(ns)
         key, at = np.unique(keys, return_inverse=True)
         n = np.bincount(at, ns, len(key)).astype(np.int64)
+        release()
         block = np.full(len(key) + len(words) + 1, table.column("block")[0].as_py(), np.int32)
         return pa.table({
             "block": block,
@@ -243,6 +244,8 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
                 n_tokens.append(len(tokens))
                 n_known.append(int(np.count_nonzero(c)))
                 base.append(float(np.log10(c + 1).sum()) - len(tokens) * log_all)
+        del lookup, words_here, grams_here, count, known, value
+        release()
         n = table.num_rows
         bits = [-s / math.log10(2) / max(b, 1) for s, b in zip(model_score, n_bytes, strict=True)]
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(n, int(total), np.int64)), "base_score": pa.array(base, pa.float64()), "score": pa.array(model_score, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(bits, pa.float64())})
