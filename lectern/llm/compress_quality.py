@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, slices, text_of, texts
 
 PER_CLASS, MAX_TEXT, PIECE, DICT_BYTES, LEVEL = 1200, 16_384, 1024, 110_000, 3
-RIDGE = 0.3
+RIDGE = 0.1
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -99,12 +99,23 @@ def fit(rows: list[tuple[bytes, int]], prior: float) -> Classifier:
 
 def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge-penalised logistic weights of weighted rows, by Newton steps."""
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + RIDGE / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
-    for _ in range(60):
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * (p * (1 - p)) + 1e-9)[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (weight * (y - p)) - RIDGE * w)
-        w += np.clip(step, -20, 20)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (weight * (y - p)) - RIDGE * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:  # a full step may overshoot where classes are far apart
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, now):
             break
     return w
 
