@@ -50,7 +50,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn for a mixture of at least 95% of the greatest source entropy; a row for each time drawn."""
     drawn = mix(docs)
-    return drawn.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "n_tokens", F.round("weight", 9).alias("weight"), F.col("pass").cast("bigint").alias("pass"), F.col("block").cast("bigint").alias("block"), F.col("place").cast("bigint").alias("place"))
+    added = {"n_tokens", "weight", "pass", "block", "place"}
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return drawn.select(*own, "n_tokens", F.round("weight", 9).alias("weight"), *[F.col(c).cast("bigint").alias(c) for c in ("pass", "block", "place")])
 
 
 STAGES = [
