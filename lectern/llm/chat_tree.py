@@ -1,13 +1,16 @@
 r"""Chat formatting as a prefix tree.
 
 Conversations that share their first turns share nodes: a node is named by the chained hash of the turns up to it. Each
-node's formatted turn is emitted once, in depth-first order (parents before children, siblings by name), as one span of
-its tree's stream; it carries the position ids its tokens have in a conversation, and the spans of its ancestors, which
-with itself are all that its tokens may attend to. A conversation is read back from the spans of its leaf's ancestors.
+node's formatted turn is emitted once, in depth-first order, as one span of its tree's stream; it carries the position ids
+its tokens have in a conversation, and the spans of its ancestors, which with itself are all that its tokens may attend to.
+A conversation is read back from the spans of its nodes.
 
-Depth-first offsets come from subtree sizes (sums over descendants, pre-aggregated) and prefix sums over siblings in two
-levels (buckets of the name, then within a bucket), so neither a first turn that a third of all conversations share nor a
-tree of any width is ever one task's group. Equal conversations are one leaf, whatever their number.
+Depth-first offsets: a node belongs to the segment of the least leaf below it (by name, a hash), so a segment is a run of
+nodes down to a leaf, is emitted in one piece, and lies below few others (as many as a random sequence has records). Sizes
+of what hangs below a segment, and prefix sums over the segments that branch off one, are sums over pairs (segment, segment
+above), linear in the turns up to a logarithm, pre-aggregated, and in two levels (depth and bucket of the name, then within
+a bucket). So neither a first turn that a third of all conversations share, nor a tree of any width, nor a conversation of
+any length is squared or ends up in one task. Equal conversations are one leaf, whatever their number.
 
 Template: `<s>[INST] role [/INST] text</s>` for each turn. In roles and texts a backslash is doubled and a backslash is put
 into `<s>`, `</s>`, `[INST]` and `[/INST]` behind the first character; dropping each backslash before a character undoes
@@ -57,71 +60,79 @@ def _chains(conversations: DataFrame) -> DataFrame:
     return by.withColumn("names", F.aggregate("turns", F.expr("cast(array() as array<string>)"), extend))
 
 
-def prefix_tree(conversations: DataFrame, token_count=None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members). nodes: tree, node, parent, depth, role, formatted, loss, n_tokens, start and end in the tree's
-    stream, position (id of the first token), ancestors (array of the spans start, end that it may attend to, in order).
-    members: conv_id, leaf, names of the nodes from the root on."""
+def prefix_tree(conversations: DataFrame, token_count=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, chains, members). nodes: tree, node, parent, depth, role, formatted, loss, n_tokens, segment, start and end in
+    the tree's stream, position (id of the first token), ancestors (array of the spans start, end that it may attend to
+    besides itself, in order; neighbouring spans are one). chains: leaf, depth, node. members: conv_id, leaf."""
     tokens = token_count or F.octet_length
-    chains = materialize(_chains(conversations.select("conv_id", "turn", "role", "text")))
-    members = chains.select("conv_id", F.element_at("names", -1).alias("leaf"))
-    distinct = chains.groupBy(F.element_at("names", -1).alias("leaf")).agg(F.first(F.struct("turns", "names")).alias("x")).select("leaf", "x.turns", "x.names")
-    steps = distinct.select("names", F.posexplode("turns").alias("depth", "t"))
-    name = F.col("names")[F.col("depth")]
-    raw = steps.select(name.alias("node"), "depth", F.slice("names", 1, F.col("depth") + 1).alias("path"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
-    nodes = raw.groupBy("node").agg(F.first(F.struct("depth", "path", "role", "text")).alias("x")).select("node", "x.*")
-    nodes = nodes.select("node", "depth", "path", F.col("path")[0].alias("tree"), F.when(F.col("depth") > 0, F.get("path", F.col("depth") - 1)).alias("parent"), "role", (F.col("role") == LOSS_ROLE).alias("loss"), format_turn(F.col("role"), F.col("text")).alias("formatted"))
-    nodes = materialize(nodes.withColumn("n_tokens", tokens("formatted").cast("bigint")))
-
-    # tokens below and at each node, then of the siblings before it, then of all before it in depth-first order
-    size = nodes.select(F.explode("path").alias("node"), "n_tokens").groupBy("node").agg(F.sum("n_tokens").alias("size"))
-    sized = nodes.where("parent is not null").select("node", "parent", F.substring("node", 1, BUCKET_DIGITS).alias("bucket")).join(size, "node")
-    sums = sized.groupBy("parent", "bucket").agg(F.sum("size").alias("total"))
-    before = sums.select("parent", "bucket", (F.sum("total").over(Window.partitionBy("parent").orderBy("bucket")) - F.col("total")).alias("earlier"))
-    within = sized.withColumn("inside", F.sum("size").over(Window.partitionBy("parent", "bucket").orderBy("node")) - F.col("size"))
-    siblings = within.join(before, ["parent", "bucket"]).select("node", (F.col("inside") + F.col("earlier")).alias("skip"))
-    steps_in = materialize(nodes.select("node", "n_tokens").join(siblings, "node", "left").select("node", "n_tokens", F.coalesce("skip", F.lit(0)).alias("skip")))
-
-    # a node starts behind its ancestors' own tokens and everything skipped on the way down
-    way = nodes.select(F.col("node").alias("of"), F.posexplode("path").alias("d", "node")).join(steps_in, "node")
-    way = way.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("d", "n_tokens", "skip"))).alias("w"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("position"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"))
-
-    def go(acc, x):
-        start = acc["at"] + x["skip"]
-        span = F.struct(start.alias("start"), (start + x["n_tokens"]).alias("end"))
-        return F.struct((start + x["n_tokens"]).alias("at"), (acc["position"] + x["n_tokens"]).alias("position"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    placed = way.select(F.col("of").alias("node"), F.aggregate("w", zero, go).alias("p"))
-    out = nodes.join(placed, "node").select(
-        "tree", "node", "parent", "depth", "path", "role", "formatted", "loss", "n_tokens",
-        (F.col("p.at") - F.col("n_tokens")).alias("start"), F.col("p.at").alias("end"),
-        (F.col("p.position") - F.col("n_tokens")).alias("position"), F.slice("p.spans", 1, F.size("p.spans") - 1).alias("ancestors"),
+    named = materialize(_chains(conversations.select("conv_id", "turn", "role", "text")))
+    members = named.select("conv_id", F.element_at("names", -1).alias("leaf"))
+    distinct = named.groupBy(F.element_at("names", -1).alias("leaf")).agg(F.first(F.struct("turns", "names")).alias("x")).select("leaf", "x.turns", "x.names")
+    above = F.concat(F.array(F.lit(None).cast("string")), F.slice("names", 1, F.size("names") - 1)).alias("above")
+    zipped = distinct.select("leaf", F.get("names", F.lit(0)).alias("tree"), F.arrays_zip("turns", "names", above).alias("z"))
+    steps = zipped.select("leaf", "tree", F.posexplode("z").alias("depth", "s")).select("leaf", "tree", "depth", F.col("s.names").alias("node"), F.col("s.above").alias("parent"), F.col("s.turns.role").alias("role"), F.col("s.turns.text").alias("text"))
+    chains = materialize(steps.select("leaf", "depth", "node"))
+
+    # a node belongs to the segment of the least leaf below it: a run of nodes from somewhere down to that leaf
+    nodes = steps.groupBy("node").agg(F.min("leaf").alias("segment"), F.first(F.struct("tree", "depth", "parent", "role", "text")).alias("x")).select("node", "segment", "x.*")
+    nodes = nodes.select("node", "segment", "tree", "depth", "parent", "role", (F.col("role") == LOSS_ROLE).alias("loss"), format_turn(F.col("role"), F.col("text")).alias("formatted")).withColumn("n_tokens", tokens("formatted").cast("bigint"))
+    along = Window.partitionBy("segment").orderBy("depth")
+    nodes = materialize(nodes.withColumn("inside", F.sum("n_tokens").over(along) - F.col("n_tokens")))
+
+    segments = nodes.groupBy("segment").agg(F.sum("n_tokens").alias("own"), F.min(F.struct("depth", "parent")).alias("top")).select("segment", "own", F.col("top.parent").alias("at"), F.col("top.depth").alias("depth"))
+    holders = nodes.select(F.col("node").alias("at"), F.col("segment").alias("parent"))
+    # the segments on the way to each segment, and how many tokens of them lie on it
+    ways = chains.join(nodes.select("node", "segment", (F.col("inside") + F.col("n_tokens")).alias("upto")), "node").groupBy("leaf", "segment").agg(F.max("upto").alias("upto"), F.max("depth").alias("last"))
+    ways = materialize(ways.join(segments.select(F.col("segment").alias("leaf"), F.col("own").alias("leaf_own")), "leaf"))
+    size = ways.groupBy("segment").agg(F.sum("leaf_own").alias("size"))
+    sized = segments.join(holders, "at", "left").join(size, "segment").select("segment", "own", "parent", "depth", "size", F.substring("segment", 1, BUCKET_DIGITS).alias("bucket"))
+    sized = materialize(sized)
+
+    # a segment is followed by those that branch off it, the deepest branches first
+    sums = sized.where("parent is not null").groupBy("parent", "depth", "bucket").agg(F.sum("size").alias("total"))
+    earlier = F.sum("total").over(Window.partitionBy("parent").orderBy(F.desc("depth"), "bucket")) - F.col("total")
+    before = sums.select("parent", "depth", "bucket", earlier.alias("earlier"))
+    among = F.sum("size").over(Window.partitionBy("parent", "depth", "bucket").orderBy("segment")) - F.col("size")
+    skips = sized.where("parent is not null").withColumn("among", among).join(before, ["parent", "depth", "bucket"]).select("segment", "own", (F.col("among") + F.col("earlier")).alias("skip"))
+    skips = skips.unionByName(sized.where("parent is null").select("segment", "own", F.lit(0).cast("bigint").alias("skip")))
+    up = F.col("segment") != F.col("leaf")
+    begins = ways.join(skips, "segment").groupBy("leaf").agg((F.sum("skip") + F.coalesce(F.sum(F.when(up, F.col("own"))), F.lit(0))).alias("begin"), F.coalesce(F.sum(F.when(up, F.col("upto"))), F.lit(0)).alias("position"))
+    begins = materialize(begins.withColumnRenamed("leaf", "segment"))
+    spans = ways.where(up).join(begins.select("segment", "begin"), "segment").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("last", F.col("begin").alias("start"), (F.col("begin") + F.col("upto")).alias("end")))).alias("x"))
+    spans = spans.select(F.col("leaf").alias("segment"), F.transform("x", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+
+    start = F.col("begin") + F.col("inside")
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+    own = F.when(F.col("inside") > 0, F.array(F.struct(F.col("begin").alias("start"), start.alias("end")))).otherwise(none)
+    out = nodes.join(begins.join(spans, "segment", "left"), "segment").select(
+        "tree", "node", "parent", "depth", "role", "formatted", "loss", "n_tokens", "segment", start.alias("start"), (start + F.col("n_tokens")).alias("end"),
+        (F.col("position") + F.col("inside")).alias("position"), F.concat(F.coalesce("spans", none), own).alias("ancestors"),
     )
     out = materialize(out)
-    drop_materialized(steps_in)
-    drop_materialized(nodes)
-    return out, members
+    for df in (nodes, ways, sized, begins):
+        drop_materialized(df)
+    return out, chains, members
 
 
-def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (role and text, unescaped) of every conversation, from the spans of its nodes."""
-    leaves = members.select("leaf").distinct().join(nodes.select(F.col("node").alias("leaf"), "path"), "leaf")
-    spans = leaves.select("leaf", F.explode("path").alias("node")).join(nodes.select("node", "start", "formatted"), "node")
+def read_back(nodes: DataFrame, chains: DataFrame) -> DataFrame:
+    """leaf, formatted, turns (role and text, unescaped) of every distinct conversation, from the spans of its nodes."""
+    spans = chains.select("leaf", "node").join(nodes.select("node", "start", "formatted"), "node")
     whole = spans.groupBy("leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "formatted"))), lambda x: x["formatted"]), "").alias("formatted"))
     turn = F.split(F.col("formatted"), "</s>")
-    parts = F.transform(F.slice(turn, 1, F.size(turn) - 1), lambda t: F.struct(unescape(F.regexp_extract(t, r"(?s)^<s>\[INST\] (.*?) \[/INST\] (.*)$", 1)).alias("role"), unescape(F.regexp_extract(t, r"(?s)^<s>\[INST\] (.*?) \[/INST\] (.*)$", 2)).alias("text")))
-    return members.join(whole.withColumn("turns", parts), "leaf").select("conv_id", "formatted", "turns")
+    part = lambda t, k: unescape(F.regexp_extract(t, r"(?s)^<s>\[INST\] (.*?) \[/INST\] (.*)$", k))
+    parts = F.transform(F.slice(turn, 1, F.size(turn) - 1), lambda t: F.struct(part(t, 1).alias("role"), part(t, 2).alias("text")))
+    return whole.withColumn("turns", parts)
 
 
 def digest(conversations: DataFrame) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = conversations.sparkSession.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
-    nodes, members = prefix_tree(conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text").unionByName(extra))
-    chains = read_back(nodes, members.select("leaf").distinct().withColumn("conv_id", F.col("leaf")))
+    nodes, chains, members = prefix_tree(conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text").unionByName(extra))
+    told = read_back(nodes, chains)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
-    per_leaf = chains.select(
-        F.col("conv_id").alias("leaf"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+    per_leaf = told.select(
+        "leaf", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
     return members.join(per_leaf, "leaf").drop("leaf")

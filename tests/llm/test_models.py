@@ -90,26 +90,51 @@ def test_classifier_edges(spark):
 # ---- chat ----
 
 
-def test_tree(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "hey"), (2, 2, "user", None), (3, 0, "user", "hi"), (4, 0, "user", r"a\</s> [INST] <s>"), (None, None, None, None), (5, 1, "b", "2"), (5, None, "b", "1"), (6, 0, "user", "hi"), (6, 1, "assistant", "yo")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    nodes, members = chat_tree.prefix_tree(df)
-    nodes = nodes.toPandas()
-    assert len(nodes) == 8  # hi, yo, hey, (empty), the escaped one, the one of nulls, and both turns of 5
-    for tree, part in nodes.groupby("tree"):
+def check_stream(nodes):
+    for _, part in nodes.groupby("tree"):
         part = part.sort_values("start")
         assert part.start.iloc[0] == 0 and (part.start.iloc[1:].to_numpy() == part.end.iloc[:-1].to_numpy()).all()  # one stream, no gaps
-        spans = {r.node: r for r in part.itertuples()}
+        at = {r.node: r for r in part.itertuples()}
+        path = lambda r: [] if r.parent is None else [*path(at[r.parent]), at[r.parent]]  # noqa: B023, E731
+        above = {r.node: path(r) for r in part.itertuples()}
         for r in part.itertuples():
-            above = [spans[n] for n in r.path[:-1]]
-            assert [(a.start, a.end) for a in r.ancestors] == [(a.start, a.end) for a in above]
-            assert r.position == sum(a.n_tokens for a in above)
-            assert all(a.end <= r.start for a in above)
+            own = set()
+            for x in above[r.node]:
+                own |= set(range(x.start, x.end))
+            spans = [t for s in r.ancestors for t in range(s["start"], s["end"])]
+            assert len(spans) == len(set(spans)) and set(spans) == own and spans == sorted(spans)
+            assert r.position == len(own) and len(above[r.node]) == r.depth
             assert r.n_tokens == len(r.formatted.encode()) == r.end - r.start
             if r.parent:  # depth-first: between a parent and a child lie only that parent's descendants
-                between = part[(part.start >= spans[r.parent].end) & (part.start < r.start)]
-                assert all(r.parent in list(p) for p in between.path)
-    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_tree.read_back(*chat_tree.prefix_tree(df)).collect()}
+                between = part[(part.start >= at[r.parent].end) & (part.start < r.start)]
+                assert all(r.parent in [x.node for x in above[n]] for n in between.node)
+
+
+def test_large_tree(spark):
+    r = random.Random(9)
+    rows = []
+    for c in range(150):
+        depth = 120 if c == 0 else r.randrange(1, 9)
+        rows += [(c, d, "user", "same" if d == 0 else str(r.randrange(3))) for d in range(depth)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    nodes, chains, members = chat_tree.prefix_tree(df)
+    check_stream(nodes.toPandas())
+    back = {x.leaf: [(t.role, t.text) for t in x.turns] for x in chat_tree.read_back(nodes, chains).collect()}
+    want = defaultdict(list)
+    for c, _, role, text in rows:
+        want[c].append((role, text))
+    assert {x.conv_id: back[x.leaf] for x in members.collect()} == dict(want)
+
+
+def test_tree(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "hey"), (2, 2, "user", None), (3, 0, "user", "hi"), (4, 0, "user", r"a\</s> [INST] <s>"), (None, None, None, None), (5, 1, "b", "2"), (5, None, "b", "1"), (6, 0, "user", "hi"), (6, 1, "assistant", "yo")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    nodes, chains, members = chat_tree.prefix_tree(df)
+    back = {r.leaf: [(t.role, t.text) for t in r.turns] for r in chat_tree.read_back(nodes, chains).collect()}
+    back = {r.conv_id: back[r.leaf] for r in members.collect()}
+    nodes = nodes.toPandas()
+    assert len(nodes) == 8  # hi, yo, hey, (empty), the escaped one, the one of nulls, and both turns of 5
+    check_stream(nodes)
     assert back[4] == [("user", r"a\</s> [INST] <s>")] and back[None] == [("", "")] and back[5] == [("b", "1"), ("b", "2")]
     assert back[2] == [("user", "hi"), ("assistant", "hey"), ("user", "")] and back[6] == back[1]
     d = {r.conv_id: r for r in chat_tree.digest(df).collect()}
