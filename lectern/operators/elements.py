@@ -80,3 +80,31 @@ u as (select doc_id, unnest(range(0, len(es))) as ord, unnest(es) as s from x) s
     "text_coverage": f"{_C} select page_id, len(s) as n_source, len(m) as n_missing, case when len(s) > 0 then round((1 - len(m) / len(s)) * 100, 6) end as pct, case when len(s) = 0 then 'warning' when round((1 - len(m) / len(s)) * 100, 6) >= 90 then 'ok' when round((1 - len(m) / len(s)) * 100, 6) >= 75 then 'warning' else 'error' end as severity from c",
     "missing_words_sample": f"{_C} select page_id, array_to_string(list_sort(m), ', ') as words from c where len(m) between 1 and 20",
 }
+
+
+def styled_elements(docs: DataFrame) -> DataFrame:
+    """doc_id, ord, style, text of what a document writer is given: headings by level (2 if unknown), list items one by one,
+    figures as bracketed text; empty paragraphs and captions are left out, empty headings stay. Lines of a document stand
+    in for elements, their kind by line number."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("heading", "paragraph", "list", "caption", "image_alt")]), (F.col("line_no") % 5 + 1).cast("int"))
+    rows = text_lines(docs).select("doc_id", "line_no", kind.alias("type"), F.when(F.col("line_no") % 2 == 0, (F.col("line_no") % 9).cast("int")).alias("level"), F.col("line").alias("text"), (F.col("line_no") % 3 == 0).alias("ordered"))
+    level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(2))))
+    style = F.when(F.col("type") == "heading", F.concat(F.lit("Heading "), level.cast("string"))).when(F.col("type") == "list", F.when(F.col("ordered"), "List Number").otherwise("List Bullet")).when(F.col("type") == "caption", "Caption").otherwise("Normal")
+    items = F.when(F.col("type") == "list", F.filter(F.split("text", r", "), lambda x: x != "")).when(F.col("type") == "image_alt", F.array(F.concat(F.lit("[Figure: "), F.col("text"), F.lit("]")))).otherwise(F.array("text"))
+    kept = rows.where(~(F.col("type").isin("paragraph", "caption") & (F.col("text") == "")))
+    return kept.select("doc_id", F.col("line_no").alias("ord"), style.alias("style"), F.posexplode(items).alias("item", "text"))
+
+
+def figure_alt_text(docs: DataFrame) -> DataFrame:
+    """doc_id, alt: the first alternative text of a document (here: its first line with a digit), cut to 500 characters,
+    "Figure" if there is none or it is empty."""
+    first = F.get(F.filter(t.lines(F.col("text")), lambda x: x.rlike("[0-9]")), F.lit(0))
+    return docs.select("doc_id", F.coalesce(F.nullif(F.left(first, F.lit(500)), F.lit("")), F.lit("Figure")).alias("alt"))
+
+
+SQL["styled_elements"] = f"""{_L}, n as (select doc_id, unnest(range(0, len(ls))) as line_no, unnest(ls) as text from l),
+k as (select *, case line_no % 5 when 0 then 'heading' when 1 then 'paragraph' when 2 then 'list' when 3 then 'caption' else 'image_alt' end as type, greatest(1, least(6, case when line_no % 2 = 0 then line_no % 9 else 2 end)) as level from n),
+i as (select doc_id, line_no, case type when 'heading' then 'Heading ' || level when 'list' then case when line_no % 3 = 0 then 'List Number' else 'List Bullet' end when 'caption' then 'Caption' else 'Normal' end as style,
+  case type when 'list' then list_filter(string_split(text, ', '), lambda x: x <> '') when 'image_alt' then ['[Figure: ' || text || ']'] else [text] end as items from k)
+select doc_id, line_no as ord, style, unnest(range(0, len(items))) as item, unnest(items) as text from i"""
+SQL["figure_alt_text"] = f"{_L}, f as (select doc_id, list_filter(ls, lambda x: regexp_matches(x, '[0-9]')) as xs from l) select doc_id, coalesce(nullif(left(xs[1], 500), ''), 'Figure') as alt from f"

@@ -99,3 +99,24 @@ select user_id, status, case when status = 'done' then 100 else trunc((greatest(
     "payment_release": "with p as (select event_id, min(ts) as paid_at from events where event_type = 'purchase' group by 1) select o_orderkey, o_custkey, paid_at, 'running' as status from orders join p on event_id = o_orderkey where o_orderstatus = 'O'",
     "upload_gate": "with m as (select doc_id, n_chars * 4096 / 1048576 as mb, ceil(n_chars / 50)::int as pages from documents) select doc_id, case when doc_id % 11 = 0 then '400' when mb > 50 then '413' when pages > 500 then '422' else '200' end as code, round(mb, 6) as mb, pages, pages > 50 as confirm from m",
 }
+
+
+def progress_log(lineitem: DataFrame) -> DataFrame:
+    """A job's progress rows: one for each page analysed (0 to 87 percent), then the four closing stages."""
+    jobs = page_counts(lineitem)
+    pages = jobs.select("l_orderkey", "pages", F.explode(F.sequence(F.lit(1), F.least("pages", F.lit(s.MAX_PAGES)))).alias("page"))
+    steps = pages.select("l_orderkey", F.col("page").alias("step"), s.progress(F.col("page"), F.least("pages", F.lit(s.MAX_PAGES))).alias("progress"))
+    closing = jobs.select("l_orderkey", F.col("pages").alias("n"), F.posexplode(F.array(*[F.lit(x) for x in (90, 93, 97, 100)])).alias("k", "progress"))
+    return steps.unionByName(closing.select("l_orderkey", (F.least("n", F.lit(s.MAX_PAGES)) + F.col("k") + 1).alias("step"), "progress"))
+
+
+def cost_estimate(lineitem: DataFrame) -> DataFrame:
+    """Estimated model cost of each document by which backends there are (by order number, a stand-in)."""
+    local, hosted = F.col("l_orderkey") % 3 == 0, F.col("l_orderkey") % 2 == 0
+    cost = F.when(local, 0.0).when(hosted, F.round(F.col("pages") * F.lit(s.MODEL_PRICE), 3)).otherwise(0.0)
+    note = F.when(local & hosted, "local, hosted as fallback").when(local, "local").when(hosted, "hosted").otherwise("none")
+    return page_counts(lineitem).select("l_orderkey", "pages", cost.alias("cost"), note.alias("note"), (F.col("pages") > s.LARGE_PAGES).alias("confirm"))
+
+
+SQL["progress_log"] = f"{_P}, a as (select l_orderkey, least(pages, 500) as n from p), x as (select l_orderkey, n, unnest(range(1, n + 1)) as step from a) select l_orderkey, step, trunc((step - 1) / n * 88)::int as progress from x union all select l_orderkey, n + k, c from a, (values (1, 90), (2, 93), (3, 97), (4, 100)) as v(k, c)"
+SQL["cost_estimate"] = f"{_P} select l_orderkey, pages, case when l_orderkey % 3 = 0 then 0 when l_orderkey % 2 = 0 then round(pages * 0.025::double, 3) else 0 end as cost, case when l_orderkey % 6 = 0 then 'local, hosted as fallback' when l_orderkey % 3 = 0 then 'local' when l_orderkey % 2 = 0 then 'hosted' else 'none' end as note, pages > 50 as confirm from p"

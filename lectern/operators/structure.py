@@ -212,3 +212,24 @@ r as (select *, row_number() over (partition by doc_id, block order by score des
     "table_grid": "with c as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 as row, [l_returnflag, l_linestatus, l_partkey::varchar, l_suppkey::varchar][1:l_linenumber % 4 + 1] as cells from lineitem), m as (select *, max(len(cells)) over (partition by l_orderkey) as cols from c) select l_orderkey, row, row = 0 as is_header, cols, array_to_string(cells, '|') || repeat('|', (cols - len(cells))::int) as cells, round(7.0::double / cols, 6) as col_width from m",
 }
 SQL["parent_tree"] = SQL["block_element_match"].replace(" select doc_id, x.block as block, x.element as element, x.mcid as mcid from f", ", g as (select doc_id, count(*) as n_slots, string_agg(x.element::varchar, ',' order by x.mcid) as slots from f group by doc_id) select doc_id, row_number() over (order by doc_id) - 1 as tree_idx, n_slots, slots from g")
+
+
+def marked_stream(instr: DataFrame) -> DataFrame:
+    """page, pos, kind (open, body, close), tag, i: the stream rewritten so that every instruction lies in one marked
+    sequence: of its block, or of a run of artifacts."""
+    blocks = content_blocks(instr).select("page", "first", "last", F.when(F.col("type") == "text", "P").otherwise("Figure").alias("tag"))
+    spans = blocks.unionByName(artifact_islands(instr).select("page", "first", "last", F.lit("Artifact").alias("tag")))
+    none = F.lit(None).cast("string")
+    opens = spans.select("page", F.col("first").alias("i"), F.lit(0).alias("step"), F.lit("open").alias("kind"), "tag")
+    body = instr.select("page", "i", F.lit(1).alias("step"), F.lit("body").alias("kind"), none.alias("tag"))
+    closes = spans.select("page", F.col("last").alias("i"), F.lit(2).alias("step"), F.lit("close").alias("kind"), none.alias("tag"))
+    w = Window.partitionBy("page").orderBy("i", "step")
+    return opens.unionByName(body).unionByName(closes).select("page", (F.row_number().over(w) - 1).alias("pos"), "kind", "tag", "i")
+
+
+SQL["marked_stream"] = (
+    SQL["artifact_islands"].replace(" select page, min(i) as first", ", z as (select page, min(i) as first")
+    + """), s as (select page, first, last, case type when 'text' then 'P' else 'Figure' end as tag from b union all select page, first, last, 'Artifact' from z),
+v as (select page, first as i, 0 as step, 'open' as kind, tag from s union all select page, i, 1, 'body', null from i union all select page, last, 2, 'close', null from s)
+select page, row_number() over (partition by page order by i, step) - 1 as pos, kind, tag, i from v"""
+)

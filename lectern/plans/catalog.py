@@ -42,6 +42,8 @@ _QUERIES = {
     "elements_per_doc": _on(elements.elements_per_doc, "documents"),
     "text_coverage": _on(elements.text_coverage, "pages"),
     "missing_words_sample": _on(elements.missing_words_sample, "pages"),
+    "styled_elements": _on(elements.styled_elements, "documents"),
+    "figure_alt_text": _on(elements.figure_alt_text, "documents"),
     "heading_hierarchy_issues": _on(_heads(structure.heading_hierarchy_issues), "part"),
     "outline_parents": _on(_heads(structure.outline_parents), "part"),
     "outline_links": _on(_heads(structure.outline_links), "part"),
@@ -49,6 +51,7 @@ _QUERIES = {
     "strip_marked_content": _on(_instr(structure.strip_marked_content), "events"),
     "content_blocks": _on(_instr(structure.content_blocks), "events"),
     "artifact_islands": _on(_instr(structure.artifact_islands), "events"),
+    "marked_stream": _on(_instr(structure.marked_stream), "events"),
     "block_element_match": _on(structure.block_element_match, "documents"),
     "best_match": _on(structure.best_match, "documents"),
     "parent_tree": _on(structure.parent_tree, "documents"),
@@ -67,6 +70,8 @@ _QUERIES = {
     "charge_quote": _on(metering.charge_quote, "lineitem"),
     "free_tier_monthly": _on(metering.free_tier_monthly, "orders", "lineitem"),
     "free_tier_decisions": _on(metering.free_tier_decisions, "orders", "lineitem"),
+    "progress_log": _on(metering.progress_log, "lineitem"),
+    "cost_estimate": _on(metering.cost_estimate, "lineitem"),
     "job_status": _on(metering.job_status, "events"),
     "expired": _on(metering.expired, "events"),
     "backend_fallback": _on(metering.backend_fallback, "documents"),
