@@ -60,15 +60,23 @@ def grams(docs: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray
 
 def pieces(table: pa.Table, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Rows of a block, a few MB at a time, with lower-cased texts."""
-    at, size, held = 0, 0, []
-    for i, t in enumerate(texts(table.column("text"))):
-        if held and size + len(t) > max_bytes:
-            yield table.slice(at, i - at), held
-            at, size, held = i, 0, []
-        held.append(t.lower())
-        size += len(t)
-    if held:
-        yield table.slice(at), held
+    column = table.column("text")
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_numpy())
+    at = 0
+    while at < table.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, side="right")))
+        piece = table.slice(at, to - at)
+        yield piece, [t.lower() for t in texts(piece.column("text"))]
+        at = to
+
+
+def _merged(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(ns)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+    return key[first], np.add.reduceat(n, first)
 
 
 def _log_gamma(n: np.ndarray, half: bool) -> np.ndarray:
@@ -179,9 +187,9 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
                 else:
                     words.update(t.split())
                     end += 1
-        keys, ns = np.concatenate(keys), np.concatenate(ns)
-        key, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, ns, len(key)).astype(np.int64)
+            if len(keys) > 3:
+                keys, ns = [[x] for x in _merged(keys, ns)]
+        key, n = _merged(keys, ns)
         release()
         block = np.full(len(key) + len(words) + 1, table.column("block")[0].as_py(), np.int32)
         return pa.table({
