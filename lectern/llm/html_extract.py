@@ -152,8 +152,6 @@ def parse(page: str) -> Node:
                         at = skip_to = stop.end()
                     continue
                 if name in ("html", "body"):
-                    if name == "body":
-                        root.parts |= frozenset()
                     continue
                 if name in ENDS_P:
                     for i in range(len(stack) - 1, -1, -1):
@@ -283,27 +281,16 @@ def decode(root: Node, nodes: list[Node], odds: np.ndarray) -> str:
         yes, no = -math.log1p(math.exp(-max(-30.0, min(30.0, o)))), -math.log1p(math.exp(max(-30.0, min(30.0, o))))
         taken[id(n)] = yes + sum(max(taken[id(c)], left[id(c)] - SWITCH) for c in n.children)
         left[id(n)] = no + sum(left[id(c)] for c in n.children)
-    out, todo = [], list(reversed(root.items)) if nodes else [*reversed(root.items)]
-    own = not nodes or all(left[id(c)] >= taken[id(c)] for c in root.children)  # a body's own text counts if no block does
+    chosen = lambda n: taken[id(n)] > left[id(n)] - (SWITCH if n.parent is not root else 0)
+    found = [c for c in root.children if chosen(c)]
+    out, todo = [], list(reversed(found or root.items))  # a body's own text counts only where no block does
     while todo:
         item = todo.pop()
         if isinstance(item, str):
             out.append(item)
-        elif taken[id(item)] > left[id(item)] - (SWITCH if item.parent is not root else 0):
-            todo += reversed(item.items)
-    if own:
-        return "\n".join(out)
-    return "\n".join(x for x in _below(root, taken, left))
-
-
-def _below(root: Node, taken: dict, left: dict) -> Iterator[str]:
-    todo = [c for c in reversed(root.children) if taken[id(c)] > left[id(c)]]
-    while todo:
-        item = todo.pop()
-        if isinstance(item, str):
-            yield item
-        elif taken[id(item)] > left[id(item)] - (SWITCH if item.parent is not root else 0):
+        elif chosen(item):
             todo += reversed(item.items)
+    return "\n".join(out)
 
 
 def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, str]]:
