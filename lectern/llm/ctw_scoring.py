@@ -22,10 +22,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -70,6 +68,47 @@ def pieces(table: pa.Table, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.Table
         at = to
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def run_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes from first to end."""
+    if not _POWERS or len(_POWERS[0]) <= len(raw):
+        _POWERS.clear()
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(max(len(raw) + 1, 1 << 20), b, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.cumprod(p))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(raw)])])
+    h = (sums[end] - sums[first]) * _POWERS[1][first]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def array_hashes(words: pa.Array, step: int = 100_000) -> np.ndarray:
+    """Hashes of the values of a binary column."""
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(words), step):
+        part = pa.concat_arrays([words.slice(i, step)])
+        size = pc.binary_length(part).to_numpy().astype(np.int64)
+        line = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
+        end = np.cumsum(size)
+        out.append(run_hashes(line, end - size, end))
+    return np.concatenate(out)
+
+
+def text_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row, and words of each text."""
+    raw = np.frombuffer(b" ".join(docs).translate(_SPACES), np.uint8)
+    gap = np.concatenate([[True], raw == 32, [True]])
+    edges = np.nonzero(gap[1:] != gap[:-1])[0]
+    first, end = edges[::2], edges[1::2]
+    ends = np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)) + 1)
+    return run_hashes(raw, first, end), np.diff(np.searchsorted(first, ends), prepend=0)
+
+
 def _merged(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
     key, n = np.concatenate(keys), np.concatenate(ns)
@@ -150,8 +189,8 @@ class Subtrees:
         return np.log10(np.where(self.bit, one, 1 - one)).reshape(8, -1).sum(axis=0)
 
 
-def upper_tables(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Depths 1 and 0 from sums over depth-2 nodes: rows (key of depth 1, a, b, below)."""
+def upper_tables(rows) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Depths 1 and 0 from sums over depth-2 nodes: a pandas table of rows (key of depth 1, a, b, below)."""
     a, b, below = (np.zeros(1 << 16) for _ in range(3))
     at = rows["key"].to_numpy().astype(np.int64)
     a[at], b[at], below[at] = rows["a"], rows["b"], rows["below"]
@@ -178,9 +217,11 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
         for piece, docs in pieces(table):
             held = piece.column("held").to_numpy()
             key, sizes = grams(docs, depth)
-            code, distinct = pd.factorize(key)
-            keys.append(distinct)
-            ns.append(np.bincount(code, np.repeat(~held, sizes).astype(float), len(distinct)).astype(np.int64))
+            key = np.sort((key << np.uint64(1)) | np.repeat(held, sizes).astype(np.uint64))  # low bit: held out
+            gram = key >> np.uint64(1)
+            first = np.nonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))[0]
+            keys.append(gram[first])
+            ns.append(np.add.reduceat((~key & np.uint64(1)).astype(np.int64), first))
             for t, h in zip(docs, held.tolist(), strict=True):
                 if h:
                     words.update(dict.fromkeys(t.split(), 0))
@@ -232,27 +273,35 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
     log_all = math.log10(total + distinct + 1)
 
     def score(table: pa.Table, lookup: pa.Table) -> pa.Table:
-        grams_here = lookup.filter(pc.is_valid(lookup.column("gram")))
-        gram = grams_here.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(gram)
-        known, value = gram[order], grams_here.column("v").to_numpy()[order].astype(float)
-        words_here = lookup.filter(pc.is_valid(lookup.column("word")))
-        count = dict(zip(words_here.column("word").to_pylist(), words_here.column("c").to_pylist(), strict=True))
+        gram, v = lookup.column("gram").combine_chunks(), lookup.column("v").combine_chunks()
+        is_gram = gram.is_valid()
+        known = gram.filter(is_gram).to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        known, value = known[order], v.filter(is_gram).to_numpy()[order]
+        is_word = pc.invert(is_gram)
+        word = lookup.column("word").combine_chunks().filter(is_word)
+        hashes, count = array_hashes(word), lookup.column("c").combine_chunks().filter(is_word).to_numpy()
+        ends = pc.binary_length(word).to_numpy() == 0
+        end_log = math.log10(int(count[ends].sum()) + 1)
+        end_known = bool(ends.any())
+        order = np.argsort(hashes)
+        hashes, count = hashes[order], count[order]
+        del lookup, gram, v, is_gram, is_word, word, order, ends
         n_tokens, n_known, base, model_score, n_bytes = [], [], [], [], []
         for _, docs in pieces(table):
             key, sizes = grams(docs, depth)
-            code, own = pd.factorize(key)
-            entry = value[np.searchsorted(known, own)][code]
-            model_score += np.add.reduceat(entry, np.cumsum(sizes) - sizes).tolist()
+            model_score += np.add.reduceat(value[np.searchsorted(known, key)].astype(float), np.cumsum(sizes) - sizes).tolist()
             n_bytes += (sizes - 1).tolist()
-            for t in docs:
-                tokens = t.split()
-                tokens.append(b"")
-                c = np.fromiter(map(count.get, tokens, repeat(0.0)), float, len(tokens))
-                n_tokens.append(len(tokens))
-                n_known.append(int(np.count_nonzero(c)))
-                base.append(float(np.log10(c + 1).sum()) - len(tokens) * log_all)
-        del lookup, words_here, grams_here, count, known, value
+            own, n_words = text_hashes(docs)
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1) if len(hashes) else np.zeros(len(own), np.int64)
+            c = np.where(hashes[at] == own, count[at], 0) if len(hashes) else np.zeros(len(own), np.int64)
+            upto = np.concatenate([[0], np.cumsum(n_words)])
+            logs, seen_ = np.log10(c + 1.0), np.concatenate([[0], np.cumsum(c > 0)])
+            for i, (a, b) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
+                n_tokens.append(int(n_words[i]) + 1)
+                base.append(float(logs[a:b].sum()) + end_log - n_tokens[-1] * log_all)
+            n_known += (seen_[upto[1:]] - seen_[upto[:-1]] + end_known).tolist()
+        del known, value, hashes, count
         release()
         n = table.num_rows
         bits = [-s / math.log10(2) / max(b, 1) for s, b in zip(model_score, n_bytes, strict=True)]
