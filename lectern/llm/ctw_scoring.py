@@ -290,11 +290,16 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
         n_tokens, n_known, base, model_score, n_bytes = [], [], [], [], []
         for _, docs in pieces(table):
             key, sizes = grams(docs, depth)
-            model_score += np.add.reduceat(value[np.searchsorted(known, key)].astype(float), np.cumsum(sizes) - sizes).tolist()
+            order = np.argsort(key)  # sorted keys are found much faster than keys in any order
+            entry = np.empty(len(key))
+            entry[order] = value[np.searchsorted(known, key[order])]
+            model_score += np.add.reduceat(entry, np.cumsum(sizes) - sizes).tolist()
             n_bytes += (sizes - 1).tolist()
             own, n_words = text_hashes(docs)
-            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1) if len(hashes) else np.zeros(len(own), np.int64)
-            c = np.where(hashes[at] == own, count[at], 0) if len(hashes) else np.zeros(len(own), np.int64)
+            order, c = np.argsort(own), np.zeros(len(own), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, own[order]), len(hashes) - 1)
+                c[order] = np.where(hashes[at] == own[order], count[at], 0)
             upto = np.concatenate([[0], np.cumsum(n_words)])
             logs, seen_ = np.log10(c + 1.0), np.concatenate([[0], np.cumsum(c > 0)])
             for i, (a, b) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
