@@ -7,6 +7,8 @@
    components scaled by one over the singular value; windows whose cosine exceeds a limit are candidates. The limit is
    calibrated: nearly all simulated leaks of the benchmark itself (shifted, partly replaced windows) exceed it. Of these
    candidates, those that share too few words (by sketches of their word sets) to become a leak are not looked at further.
+   Beside that, words are counted without any weights (`probe`): a stretch of text that has fewer of an item's words than a
+   leak needs can't be one, and every other stretch is looked at. So verdicts don't depend on how common words are.
 4. A candidate's item is aligned by the most frequent offset of common words, and the longest common subsequence with the
    aligned words decides: a leak if it has `strong` of the item's words, or `weak` of them and the item's answer (the words
    of its last clause) in it.
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 from .common import slices, text_of, texts
 
 VOCABULARY, RANK, SEED = 1 << 15, 48, 5
-#: Words found in more than this share of all passages weigh nothing.
-MAX_SHARE = 0.02
 #: Bits of a window's sketch of weighing words, in 64-bit parts.
 PARTS = 8
 #: Words of a passage (for counts and SVD) and of a search window; windows start at every half.
 PASSAGE, HALF = 24, 12
 ITEMS = 10_000
+#: Items whose words are counted together, and halves of texts counted at once.
+GROUP, HALVES = 256, 1 << 14
 STRONG, WEAK, ANSWER = 0.7, 0.5, 0.8
 #: Share of a benchmark window's weighing words that a candidate window must have.
 NEED = 0.34
@@ -126,7 +128,8 @@ def _padded(table: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequency(frequency: np.ndarray, n: int) -> np.ndarray:
-    return np.where(frequency <= max(MAX_SHARE * n, 3), np.log((n + 1) / (frequency + 1)) + 0.1, 0.0)
+    """Every word weighs something, however common it is."""
+    return np.log((n + 1) / (np.minimum(frequency, n) + 1)) + 0.1
 
 
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -297,8 +300,99 @@ class Searcher:
                 share = self.verify(split[d], at, k)
                 if share:
                     out[d][self.ids[k]] = max(share, out[d].get(self.ids[k], 0.0))
+        for d, at, k in self.probe(lines):
+            if out[d].get(self.ids[k], 0.0) == 1:
+                continue
+            if d not in split:
+                split[d] = lines[d].split()
+            if share := self.stretches(split[d], at, k):
+                out[d][self.ids[k]] = max(share, out[d].get(self.ids[k], 0.0))
         return out
 
+    def probe(self, lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(text, first word in the text, item) of all stretches that have enough of an item's words for a leak. A stretch
+        from one half's start on holds all those of `_reach` words that begin in the half. Counted in buckets, so words that
+        share one only add candidates: none is lost."""
+        ids, sizes = _hashed(lines)
+        if not len(ids):
+            return
+        first, text = _chunks(sizes, HALF)
+        begin, past = (np.cumsum(sizes) - sizes)[text], np.cumsum(sizes)[text]
+        end = np.searchsorted(text, text, side="right")
+        for g in range(0, len(self.items), GROUP):
+            words, answers, times = self._slots(g)
+            n, need, weak, answer = self._needs(g)
+            reach = np.array([self._reach(k) + HALF - 1 for k in range(g, g + len(n))])
+            span = -(-reach // HALF)
+            for lo in range(0, len(first), HALVES):
+                hi = min(lo + HALVES, len(first))
+                till = min(hi + int(span.max()), len(first))
+                part = ids[first[lo] : first[till] if till < len(first) else len(ids)]
+                own = first[lo:till] - first[lo]
+                count, of_answer = (np.vstack([np.zeros((1, len(n)), np.int32), np.cumsum(_sums(t, part, own, HALF), axis=0, dtype=np.int32)]) for t in ((words > 0).view(np.uint8), answers))
+                rows, items = [], []
+                for w in np.unique(span):
+                    of = np.nonzero(span == w)[0]
+                    to = np.minimum(np.arange(lo, hi) + w, end[lo:hi]) - lo
+                    c = count[to][:, of] - count[: hi - lo][:, of]
+                    some, k = np.nonzero(c >= weak[of])
+                    c, k = c[some, k], of[k]
+                    fit = (c >= need[k]) | (of_answer[to[some], k] - of_answer[some, k] >= answer[k])
+                    rows.append(some[fit] + lo)
+                    items.append(k[fit])
+                a, k = np.concatenate(rows), np.concatenate(items)
+                order = np.argsort(k, kind="stable")
+                a, k = a[order], k[order]
+                step = max(1, (1 << 20) // max(int(reach.max()), times.shape[1]))
+                for i in range(0, len(a), step):  # each word counts as often as the item has it, no more
+                    x, y = a[i : i + step], k[i : i + step]
+                    at = first[x][:, None] + np.arange(int(reach[y].max()))
+                    inside = at < np.minimum(first[x] + reach[y], past[x])[:, None]
+                    slot = np.where(inside, words[ids[np.minimum(at, len(ids) - 1)], y[:, None]], 0)
+                    key = (slot + np.arange(len(x))[:, None] * times.shape[1]).ravel()
+                    have = np.minimum(np.bincount(key, minlength=len(x) * times.shape[1]).reshape(len(x), -1), times[y]).sum(axis=1)
+                    good = have >= weak[y]
+                    x, y = x[good], y[good]
+                    yield from zip(text[x].tolist(), (first[x] - begin[x]).tolist(), (y + g).tolist(), strict=True)
+
+    def _slots(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of items g on: the number of each bucket among an item's own (0: not in it), whether it is in the answer, and how
+        often an item has each of its buckets."""
+        items = self.items[g : g + GROUP]
+        words, answers = np.zeros((VOCABULARY + 1, len(items)), np.int32), np.zeros((VOCABULARY + 1, len(items)), np.uint8)
+        times = np.zeros((len(items), max(map(len, items)) + 1), np.int64)
+        for k, t in enumerate(items):
+            own, n = np.unique(_hashed([b" ".join(t)])[0], return_counts=True)
+            words[own, k] = np.arange(1, len(own) + 1)
+            times[k, 1 : len(own) + 1] = n
+            answers[_hashed([b" ".join(self.answers[g + k])])[0], k] = 1
+        return words, answers, times
+
+    def _needs(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of items g on: words; least common words of a leak without and with the answer; least words of the answer."""
+        n = np.array([len(t) for t in self.items[g : g + GROUP]])
+        m = np.array([len(t) for t in self.answers[g : g + GROUP]])
+        least = lambda share, of: np.ceil(share * of - 1e-9).astype(np.int64)
+        need = least(STRONG, n)
+        return n, need, np.where(m >= 3, least(WEAK, n), need), np.where(m >= 3, least(ANSWER, m), 1 << 30)
+
+    def _reach(self, k: int) -> int:
+        """Words of text that an item may be spread over."""
+        n = len(self.items[k])
+        return n + 2 * (n // 4 + 2)
+
+    def stretches(self, doc: list[bytes], at: int, k: int) -> float:
+        """The greatest common share of the stretches of `_reach` words that begin in a half, if it makes a leak, else 0."""
+        reach = self._reach(k)
+        if not self._judge(doc[at : at + reach + HALF - 1], k):
+            return 0.0
+        best = 0.0
+        for i in range(at, at + HALF):
+            best = max(best, self._judge(doc[i : i + reach], k))
+            if best == 1:
+                break
+        return best
+
     def verify(self, doc: list[bytes], at: int, k: int) -> float:
         """The common share if it makes a leak, else 0."""
         item = self.items[k]
@@ -314,7 +408,11 @@ class Searcher:
         best = max(offsets, key=lambda o: (offsets[o] + offsets.get(o + 1, 0) + offsets.get(o - 1, 0), -o)) << 2
         slack = n // 4 + 2
         near = doc[max(0, best - slack) : best + n + slack]
-        share = lcs(item, near, have) / n
+        return self._judge(near, k)
+
+    def _judge(self, near: list[bytes], k: int) -> float:
+        """The common share of an item and some text if it makes a leak, else 0."""
+        share = lcs(self.items[k], near, self._places(k)) / len(self.items[k])
         if share >= STRONG:
             return share
         if share >= WEAK and len(self.answers[k]) >= 3:
