@@ -3,15 +3,12 @@
 1. Document frequencies of hashed words over all passages of all documents.
 2. Randomised SVD of the corpus's TF-IDF passage matrix A in one pass: every task adds up its part of Y = A'A Omega for one
    Gaussian Omega; singular vectors and values of A follow from Y and Omega'Y (Nystroem form for a positive matrix).
-3. Each half-overlapping window of a document and each window of a benchmark item is projected to the latent space, its
-   components scaled by one over the singular value; windows whose cosine exceeds a limit are candidates. The limit is
-   calibrated: nearly all simulated leaks of the benchmark itself (shifted, partly replaced windows) exceed it. Of these
-   candidates, those that share too few words (by sketches of their word sets) to become a leak are not looked at further.
-   Beside that, words are counted without any weights (`probe`): a stretch of text that has fewer of an item's words than a
-   leak needs can't be one, and every other stretch is looked at. So verdicts don't depend on how common words are.
-4. A candidate's item is aligned by the most frequent offset of common words, and the longest common subsequence with the
-   aligned words decides: a leak if it has `strong` of the item's words, or `weak` of them and the item's answer (the words
-   of its last clause) in it.
+3. Words are counted without any weights (`probe`): a stretch of text that has fewer of an item's words than a leak needs
+   can't be one; every other stretch is a candidate. Half-overlapping windows of a candidate and those of its item are
+   projected to the latent space, components scaled by one over the singular value; candidates of greater cosine come
+   first, and what they settle is not looked at again. So verdicts depend on no limit of the cosine or of words' weights.
+4. The longest common subsequence decides: a leak if it has STRONG of the item's words, or WEAK of them and the item's
+   answer (the words of its last clause) in it, in some stretch of the item's length and a half (`_reach`).
 
 The benchmark is broadcast in blocks of at most ITEMS items, one narrow pass over the documents for each block. What the
 driver gathers (VOCABULARY counts, a VOCABULARY x RANK matrix) doesn't grow with the corpus.
@@ -32,16 +29,12 @@ from pyspark.sql import functions as F
 from .common import slices, text_of, texts
 
 VOCABULARY, RANK, SEED = 1 << 15, 48, 5
-#: Bits of a window's sketch of weighing words, in 64-bit parts.
-PARTS = 8
 #: Words of a passage (for counts and SVD) and of a search window; windows start at every half.
 PASSAGE, HALF = 24, 12
 ITEMS = 10_000
 #: Items whose words are counted together, and halves of texts counted at once.
 GROUP, HALVES = 256, 1 << 14
 STRONG, WEAK, ANSWER = 0.7, 0.5, 0.8
-#: Share of a benchmark window's weighing words that a candidate window must have.
-NEED = 0.34
 SLICE = 1 << 20
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _TABLE = bytes.maketrans(_PUNCTUATION + b"\t\n\x0b\x0c\r", b" " * (len(_PUNCTUATION) + 5))
@@ -214,69 +207,26 @@ class Searcher:
 
     def __init__(self, items: list[tuple[int, bytes]], idf: np.ndarray, vectors: np.ndarray, values: np.ndarray):
         scale = 1 / np.maximum(values, 1e-3 * max(values.max(initial=0), 1e-12))
-        self.words, self.weighs = _padded((vectors * scale * idf[:, None]).astype(np.float32)), idf > 0
+        self.words = _padded((vectors * scale * idf[:, None]).astype(np.float32))
         self.items, self.ids, self.answers = [], [], []
         for k, text in items:
             if t := tokens(text):
                 self.ids.append(k)
                 self.items.append(t)
                 self.answers.append(_answer(text))
-        windows, self.of = [], []
-        for i, t in enumerate(self.items):
+        order = sorted(range(len(self.items)), key=lambda i: len(self.items[i]))  # so that a span's items are neighbours
+        self.items, self.ids, self.answers = ([x[i] for i in order] for x in (self.items, self.ids, self.answers))
+        windows, self.start = [], [0]
+        for t in self.items:
             for a in [*range(0, max(len(t) - 2 * HALF, 0), HALF), max(len(t) - 2 * HALF, 0)]:
                 windows.append(t[a : a + 2 * HALF])
-                self.of.append(i)
-        self.of = np.array(self.of, np.int64)
-        self.queries, self.query_bits = self._project(windows)
-        have = np.bitwise_count(self.query_bits).sum(axis=1).astype(np.int64)
-        self.need = np.where(have < 2, have, np.maximum(2, np.ceil(have * NEED))).astype(np.int64)
-        self.limit = self._calibrate()
-
-    def _project(self, windows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+            self.start.append(len(windows))
+        self.queries = self._project(windows)
+
+    def _project(self, windows: list[list[bytes]]) -> np.ndarray:
         ids, sizes = _hashed([b" ".join(w) for w in windows])
         first = np.cumsum(sizes) - sizes
-        return _unit(_sums(self.words, ids, first, 2 * HALF)), self._bits(ids, first)
-
-    def _bits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """A set of bits for the weighing words of each chunk."""
-        out = np.zeros((len(first), PARTS), np.uint64)
-        kept = np.nonzero(self.weighs[ids])[0]
-        chunk = np.searchsorted(first, kept, side="right") - 1
-        bit = (ids[kept].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
-        np.bitwise_or.at(out, (chunk, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-        return out
-
-    def _calibrate(self, miss: float = 0.02) -> float:
-        """The cosine that all but a share `miss` of simulated leaks exceed: an item amid words of another item, one word
-        in eight replaced, seen through windows whose offset is as bad as it can be."""
-        if not self.items:
-            return 1.0
-        rng, best = np.random.default_rng(SEED), []
-        pool = [w for t in self.items for w in t]
-        for i in rng.permutation(len(self.items))[:400]:
-            t = [w if rng.random() > 0.125 else pool[rng.integers(len(pool))] for w in self.items[i]]
-            around = [pool[j] for j in rng.integers(len(pool), size=4 * HALF)]
-            for offset in (0, 3, 6, 9):
-                text = around[: 2 * HALF + offset] + t + around[2 * HALF + offset :]
-                c = self._windows([b" ".join(text)])[0] @ self.queries[self.of == i].T
-                best.append(c.max())
-        return float(np.quantile(best, miss))
-
-    def _windows(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(unit vectors, text, first word in the text, bits) of all windows of two neighbouring halves."""
-        ids, sizes = _hashed(docs)
-        if not len(ids):
-            return np.zeros((0, self.words.shape[1]), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PARTS), np.uint64)
-        first, text = _chunks(sizes, HALF)
-        half, half_bits = _sums(self.words, ids, first, HALF), self._bits(ids, first)
-        both, bits = half.copy(), half_bits.copy()
-        joined = np.nonzero(text[1:] == text[:-1])[0]
-        both[joined] += half[joined + 1]
-        bits[joined] |= half_bits[joined + 1]
-        last = np.nonzero(np.concatenate([text[1:] != text[:-1], [True]]) & np.concatenate([[False], text[1:] == text[:-1]]))[0]
-        keep = np.ones(len(first), bool)
-        keep[last] = False  # a text's last half is in the window before it, unless it is the only one
-        return _unit(both[keep]), text[keep], (first - (np.cumsum(sizes) - sizes)[text])[keep], bits[keep]
+        return _unit(_sums(self.words, ids, first, 2 * HALF))
 
     def leaks(self, docs: list[bytes]) -> list[dict[int, float]]:
         """For each text, item id -> share of the item's words in the common subsequence."""
@@ -284,31 +234,31 @@ class Searcher:
         if not self.items:
             return out
         lines = [normal(t) for t in docs]
-        v, text, first, bits = self._windows(lines)
         split: dict[int, list[bytes]] = {}  # words of the few texts that have candidates
-        step = max(1, (1 << 23) // len(self.queries))
-        for i in range(0, len(v), step):
-            a, q = np.nonzero(v[i : i + step] @ self.queries.T > self.limit)
-            same = np.bitwise_count(bits[i + a] & self.query_bits[q]).sum(axis=1) >= self.need[q]
-            a, q = a[same], q[same]
-            pairs = np.unique(np.column_stack([text[i + a], self.of[q], first[i + a]]), axis=0)
-            for d, k, at in pairs.tolist():
-                if self.ids[k] in out[d] and out[d][self.ids[k]] >= STRONG:
-                    continue
-                if d not in split:
-                    split[d] = lines[d].split()
-                share = self.verify(split[d], at, k)
-                if share:
-                    out[d][self.ids[k]] = max(share, out[d].get(self.ids[k], 0.0))
-        for d, at, k in self.probe(lines):
-            if out[d].get(self.ids[k], 0.0) == 1:
-                continue
-            if d not in split:
-                split[d] = lines[d].split()
-            if share := self.stretches(split[d], at, k):
+        for d, at, k in self.ranked(list(self.probe(lines)), lines, split):
+            if out[d].get(self.ids[k], 0.0) < 1 and (share := self.stretches(split[d], at, k)):
                 out[d][self.ids[k]] = max(share, out[d].get(self.ids[k], 0.0))
         return out
 
+    def ranked(self, found: list[tuple[int, int, int]], lines: list[bytes], split: dict[int, list[bytes]]) -> list[tuple[int, int, int]]:
+        """Candidates by falling cosine of their likest windows. split gets the words of their texts."""
+        for d, _, _ in found:
+            if d not in split:
+                split[d] = lines[d].split()
+        windows, of = [], []
+        for i, (d, at, k) in enumerate(found):
+            for a in range(at, at + max(self._reach(k) - HALF, 1), HALF):
+                if part := split[d][a : a + 2 * HALF]:
+                    windows.append(part)
+                    of.append(i)
+        best = np.full(len(found), -1.0)
+        if windows:
+            v = self._project(windows)
+            for i, x in zip(of, v, strict=True):
+                own = self.queries[self.start[found[i][2]] : self.start[found[i][2] + 1]]
+                best[i] = max(best[i], float((own @ x).max()))
+        return [found[i] for i in np.argsort(-best, kind="stable")]
+
     def probe(self, lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(text, first word in the text, item) of all stretches that have enough of an item's words for a leak. A stretch
         from one half's start on holds all those of `_reach` words that begin in the half. Counted in buckets, so words that
@@ -320,7 +270,7 @@ class Searcher:
         begin, past = (np.cumsum(sizes) - sizes)[text], np.cumsum(sizes)[text]
         end = np.searchsorted(text, text, side="right")
         for g in range(0, len(self.items), GROUP):
-            words, answers, times = self._slots(g)
+            words, held, times = self._slots(g)
             n, need, weak, answer = self._needs(g)
             reach = np.array([self._reach(k) + HALF - 1 for k in range(g, g + len(n))])
             span = -(-reach // HALF)
@@ -329,15 +279,16 @@ class Searcher:
                 till = min(hi + int(span.max()), len(first))
                 part = ids[first[lo] : first[till] if till < len(first) else len(ids)]
                 own = first[lo:till] - first[lo]
-                count, of_answer = (np.vstack([np.zeros((1, len(n)), np.int32), np.cumsum(_sums(t, part, own, HALF), axis=0, dtype=np.int32)]) for t in ((words > 0).view(np.uint8), answers))
+                count = np.zeros((len(own) + 1, held.shape[1]), np.int32)
+                np.cumsum(_sums(held, part, own, HALF), axis=0, dtype=np.int32, out=count[1:])
                 rows, items = [], []
                 for w in np.unique(span):
-                    of = np.nonzero(span == w)[0]
+                    of = slice(*np.searchsorted(span, [w, w + 1]))
                     to = np.minimum(np.arange(lo, hi) + w, end[lo:hi]) - lo
-                    c = count[to][:, of] - count[: hi - lo][:, of]
-                    some, k = np.nonzero(c >= weak[of])
-                    c, k = c[some, k], of[k]
-                    fit = (c >= need[k]) | (of_answer[to[some], k] - of_answer[some, k] >= answer[k])
+                    c = count[to, of] - count[: hi - lo, of]
+                    some, k = np.divmod(np.flatnonzero(c >= weak[of].astype(np.int32)), c.shape[1])
+                    c, k = c[some, k], of.start + k
+                    fit = (c >= need[k]) | (count[to[some], len(n) + k] - count[some, len(n) + k] >= answer[k])
                     rows.append(some[fit] + lo)
                     items.append(k[fit])
                 a, k = np.concatenate(rows), np.concatenate(items)
@@ -356,8 +307,12 @@ class Searcher:
                     yield from zip(text[x].tolist(), (first[x] - begin[x]).tolist(), (y + g).tolist(), strict=True)
 
     def _slots(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of items g on: the number of each bucket among an item's own (0: not in it), whether it is in the answer, and how
-        often an item has each of its buckets."""
+        """Of items g on: the number of each bucket among an item's own (0: not in it); whether it is in the item, and (as
+        many columns again) in its answer; how often an item has each of its buckets."""
+        if not hasattr(self, "_made"):
+            self._made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        if g in self._made:
+            return self._made[g]
         items = self.items[g : g + GROUP]
         words, answers = np.zeros((VOCABULARY + 1, len(items)), np.int32), np.zeros((VOCABULARY + 1, len(items)), np.uint8)
         times = np.zeros((len(items), max(map(len, items)) + 1), np.int64)
@@ -366,7 +321,10 @@ class Searcher:
             words[own, k] = np.arange(1, len(own) + 1)
             times[k, 1 : len(own) + 1] = n
             answers[_hashed([b" ".join(self.answers[g + k])])[0], k] = 1
-        return words, answers, times
+        out = words, np.hstack([(words > 0).view(np.uint8), answers]), times
+        if len(self._made) < 2:  # further groups are made anew for each slice
+            self._made[g] = out
+        return out
 
     def _needs(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of items g on: words; least common words of a leak without and with the answer; least words of the answer."""
@@ -393,23 +351,6 @@ class Searcher:
                 break
         return best
 
-    def verify(self, doc: list[bytes], at: int, k: int) -> float:
-        """The common share if it makes a leak, else 0."""
-        item = self.items[k]
-        n = len(item)
-        window = doc[at : at + 2 * HALF]
-        have = self._places(k)
-        offsets: dict[int, int] = {}
-        for i, w in enumerate(window):
-            for j in have.get(w, ()):
-                offsets[(at + i - j) >> 2] = offsets.get((at + i - j) >> 2, 0) + 1
-        if not offsets or max(offsets.values()) + 1 < min(n, 2 * HALF) * 0.15:
-            return 0.0
-        best = max(offsets, key=lambda o: (offsets[o] + offsets.get(o + 1, 0) + offsets.get(o - 1, 0), -o)) << 2
-        slack = n // 4 + 2
-        near = doc[max(0, best - slack) : best + n + slack]
-        return self._judge(near, k)
-
     def _judge(self, near: list[bytes], k: int) -> float:
         """The common share of an item and some text if it makes a leak, else 0."""
         share = lcs(self.items[k], near, self._places(k)) / len(self.items[k])

@@ -27,3 +27,43 @@ def test_leaks_of_common_words(spark):
     docs += [(200, sentence(r, 50) + " " + copied + " " + sentence(r, 20)), (201, sentence(r, 33) + " " + " ".join(common) + " " + sentence(r, 40)), (202, sentence(r, 90))]
     got = leaks(spark, docs, [(7, copied), (8, " ".join(common)), (9, sentence(r, 25))])
     assert {i: x for i, x in got.items() if x} == {**{i: [7] for i in range(0, 120, 3)}, 200: [7], 201: [8]}
+
+
+def is_leak(item, text):
+    """By the longest common subsequence with every stretch of the text."""
+    t = latent_decontamination.tokens
+    words, doc, answer = t(item), t(text), latent_decontamination._answer(item)
+    places = lambda ws: {w: [i for i, x in enumerate(ws) if x == w] for w in ws}
+    reach = len(words) + 2 * (len(words) // 4 + 2)
+    for i in range(max(1, len(doc) - reach // 2)):
+        near = doc[i : i + reach]
+        share = latent_decontamination.lcs(words, near, places(words)) / len(words)
+        if share >= 0.7 or share >= 0.5 and len(answer) >= 3 and latent_decontamination.lcs(answer, near, places(answer)) >= 0.8 * len(answer):
+            return True
+    return False
+
+
+def paraphrases(r, items, filler):
+    """Of each item, one with 30% of its words replaced and one with half of them, the answer kept where that is possible."""
+    rows = []
+    for text in items:
+        n, m = len(text.split()), len(latent_decontamination._answer(text.encode()))
+        for share in (0.3, 0.5):
+            w = text.split()
+            for j in r.sample(range(n), int(share * n)) if share < 0.5 else r.sample(range(n - m), min(n // 2, n - m)):
+                w[j] = r.choice(filler)
+            rows.append(" ".join(r.choices(filler, k=r.randrange(20, 60))) + " " + " ".join(w) + " " + " ".join(r.choices(filler, k=40)))
+    return rows
+
+
+def test_paraphrases_at_the_limit(spark):
+    r = random.Random(4)
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    items = [(x.item_id, x.text) for x in read("benchmark").collect()]
+    filler = [w for x in read("documents").where("doc_id < 40").collect() for w in x.text.split()]
+    texts = paraphrases(r, [t for _, t in items], filler)
+    want = {(i, k) for i, t in enumerate(texts) for k, item in items if is_leak(item.encode(), t.encode())}
+    assert len(want) > 60
+    corpus = [*enumerate(texts), *((x.doc_id + 1000, x.text) for x in read("documents").where("doc_id < 500").collect())]
+    have = {(i, k) for i, ks in leaks(spark, corpus, items).items() for k in ks if i < 1000}
+    assert have == want, f"{len(have & want)} of {len(want)} found, {len(have - want)} others"
