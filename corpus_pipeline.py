@@ -14,7 +14,7 @@ from lectern.llm.latent_decontamination import latent_decontamination
 from lectern.llm.line_dedup import line_dedup
 from lectern.llm.mixing import mix
 from lectern.llm.quality_rules import quality_rules
-from lectern.llm.simhash_dedup import simhash_dedup
+from lectern.llm.simhash_dedup import simhash_dedup_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash_dedup(docs)
+    """One row of each group of near copies stays; rows are told apart by id and text."""
+    return simhash_dedup_rows(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

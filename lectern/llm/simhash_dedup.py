@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, slices, texts
@@ -249,15 +249,16 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return dealt.repartition("group").sortWithinPartitions("group", "replica").mapInArrow(meet, "a bigint, b bigint")
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """`row` (the input columns as a struct), doc_id, fp (long)."""
+def with_fingerprint(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, fp (long), and t (binary) where a key of that type is given."""
+    more = [] if key is None else ["t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(texts(b.column("t"))).view(np.int64))], ["doc_id", "fp"])
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(texts(b.column("text"))).view(np.int64)), *[b.column(c) for c in more]], ["doc_id", "fp", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").alias("t")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text", *([] if key is None else [key.alias("t")])).mapInArrow(run, f"doc_id {kind}, fp bigint" + ", t binary" * len(more))
 
 
 def simhash_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -292,6 +293,30 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     return out.select(*[F.col("row").getField(n).alias(n) for n in names])
 
 
+def simhash_dedup_rows(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, whatever its id: the one of the least (doc_id, md5 of text), ids before nulls.
+    Rows of one id, or none, that have different texts in different components all stay; of rows that have id and text in
+    common, one stays."""
+    names = docs.columns
+    key = lambda text: F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+    fps = materialize(with_fingerprint(docs, key(F.col("text"))))
+    distinct = fps.select("fp").distinct()
+    roots = components(near_links(distinct))
+    of = fps.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "t", F.coalesce("root", "fp").alias("root"))
+    each = materialize(of.groupBy("doc_id", "t", "root").agg(F.count("*").alias("n")))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
+    best = each.groupBy("root").agg(F.min(place).alias("best")).withColumnRenamed("root", "r")
+    first = place.getField("doc_id").eqNullSafe(F.col("best").getField("doc_id")) & (F.col("t") == F.col("best").getField("t"))
+    found = materialize(each.join(best, F.col("root") == F.col("r")).select(F.col("doc_id").alias("k2"), F.col("t").alias("t2"), first.alias("first"), "n").where("n > 1 or not first"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("k"), key(F.col("text")).alias("t"))
+    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2"))
+    out = rows.join(found, same, "left_anti").select("row")
+    again = found.where("first")  # equal rows: one stays
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(again, same, "left_semi").groupBy("k", "t").agg(F.first("row").alias("row")).select("row"))
+    return out.select(*[F.col("row").getField(n).alias(n) for n in names])
+
+
 def brute_force(fps: list[int], threshold: int = THRESHOLD) -> list[int]:
     """Component label (least index) of each fingerprint by comparing all pairs; for tests."""
     label = list(range(len(fps)))

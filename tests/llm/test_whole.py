@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from lectern.llm import latent_decontamination
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "rstvz"]
@@ -67,3 +68,18 @@ def test_paraphrases_at_the_limit(spark):
     corpus = [*enumerate(texts), *((x.doc_id + 1000, x.text) for x in read("documents").where("doc_id < 500").collect())]
     have = {(i, k) for i, ks in leaks(spark, corpus, items).items() for k in ks if i < 1000}
     assert have == want, f"{len(have & want)} of {len(want)} found, {len(have - want)} others"
+
+
+# ---- near-dedup ----
+
+
+def test_rows_without_ids_stay(spark):
+    """Null and repeated ids: each text that is no copy stays, one row of each group of copies does."""
+    r = random.Random(6)
+    own = [sentence(r, 30) for _ in range(9)]
+    rows = [(None, t) for t in own[:4]] + [(5, t) for t in own[4:7]] + [(1, own[7]), (None, own[7]), (5, own[7]), (None, own[8]), (None, own[8]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, t string")
+    got = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert got.columns == docs.columns
+    kept = sorted(((x.doc_id, x.text or "") for x in got.collect()), key=str)
+    assert kept == sorted([(None, t) for t in own[:4]] + [(5, t) for t in own[4:7]] + [(1, own[7]), (None, own[8]), (None, "")], key=str)
