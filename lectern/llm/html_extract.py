@@ -9,8 +9,8 @@ rejected node is taken. Narrow plan: no shuffle; a page's HTML is read whole.
 Text of taken nodes: character references decoded, white space inside a block turned into one space and trimmed; blocks are
 joined in page order by one \n.
 
-Defined cases: null, empty or blank HTML gives an empty text; text without any tag is one block, judged like a body's own
-text; broken markup is repaired as far as unclosed, stray and nested tags go; page ids may be null or repeat; empty tables
+Defined cases: null, empty or blank HTML gives an empty text; a run of text in the body itself is a node like any other,
+and where no node is taken those runs are the text; broken markup is repaired as far as unclosed, stray and nested tags go; page ids may be null or repeat; empty tables
 give empty results; other columns are kept in `row`.
 """
 
@@ -34,9 +34,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-# Fixed values of the HTML standard: elements without content, whose text is never shown, and that start a block.
+# Fixed values of the HTML standard: elements without content, of raw text, never shown as text, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select button canvas audio video title xmp noembed noframes".split())
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
+HIDDEN = frozenset("noscript template object svg math select button canvas audio video".split())  # with tags inside
+ANY_HIDDEN = re.compile("<(?:" + "|".join(sorted(HIDDEN)) + r")\b", re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head".split())
 ENDS_P = BLOCK - frozenset("body html head caption legend li dd dt td th tr tbody thead tfoot summary figcaption".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("thead tbody tfoot tr td th", ("table",)), "tfoot": ("thead tbody tfoot tr td th", ("table",))}
@@ -56,7 +58,7 @@ PARTS = {
 }
 PART_OF = {w: p for p, ws in PARTS.items() for w in ws.split()}
 PART_NAMES = tuple(PARTS)
-TAG_GROUPS = {"nav": "nav menu", "foot": "footer", "head": "header", "aside": "aside", "main": "article main", "form": "form fieldset", "list": "ul ol dl", "item": "li dt dd", "p": "p blockquote pre", "h": "h1 h2 h3 h4 h5 h6", "table": "table tbody thead tr", "cell": "td th"}
+TAG_GROUPS = {"text": "text", "nav": "nav menu", "foot": "footer", "head": "header", "aside": "aside", "main": "article main", "form": "form fieldset", "list": "ul ol dl", "item": "li dt dd", "p": "p blockquote pre", "h": "h1 h2 h3 h4 h5 h6", "table": "table tbody thead tr", "cell": "td th"}
 TAG_OF = {t: g for g, ts in TAG_GROUPS.items() for t in ts.split()}
 TAG_NAMES = tuple(TAG_GROUPS)
 FEATURES = (*(f"tag_{t}" for t in TAG_NAMES), *(f"own_{p}" for p in PART_NAMES), *(f"above_{p}" for p in PART_NAMES), *"above_tag depth chars link_density words_per_block commas paragraphs nodes share_of_parent share_of_page place siblings like_siblings blocks".split())
@@ -83,6 +85,33 @@ def _parts(attributes: str) -> frozenset:
     return frozenset(PART_OF[w] for m in ATTRIBUTE.finditer(attributes) for w in (x.lower() for x in WORD.findall(m[1] or m[2] or m[3] or "")) if w in PART_OF)
 
 
+def _hidden(page: str) -> dict[int, int]:
+    """Start and end of the elements in HIDDEN that have an end tag of their own, before the block around them ends."""
+    out: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    skip_to = 0
+    for m in TOKEN.finditer(page):
+        if m.start() < skip_to:
+            continue
+        if m[2]:
+            name = m[2].lower()
+            if m[3].rstrip().endswith("/"):
+                continue
+            if name in RAW:
+                stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, m.end())
+                skip_to = stop.end() if stop else len(page)
+            elif name in HIDDEN or name in BLOCK:
+                opened.append((name, m.start()))
+        elif m[1] and ((name := m[1].lower()) in HIDDEN or name in BLOCK):
+            for i in range(len(opened) - 1, -1, -1):
+                if opened[i][0] == name:
+                    if name in HIDDEN:
+                        out[opened[i][1]] = m.end()
+                    del opened[i:]
+                    break
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of block elements below a body."""
     root = Node("body", None, frozenset())
@@ -100,6 +129,13 @@ def parse(page: str) -> Node:
                 now.links += min(run_links, len(text))
                 now.blocks += 1
                 now.marks += text.count(",") + text.count(".")
+                if now is root:  # a node like any other
+                    now.chars = now.links = now.blocks = now.marks = 0
+                    own = Node("text", now, frozenset())
+                    own.items.append(now.items.pop())
+                    own.chars, own.links, own.blocks, own.marks = len(text), min(run_links, len(text)), 1, text.count(",") + text.count(".")
+                    now.items.append(own)
+                    now.children.append(own)
             run, run_links = [], 0
 
     def close(upto: int) -> None:
@@ -111,6 +147,7 @@ def parse(page: str) -> Node:
             linked -= name == "a"
         del stack[upto:]
 
+    hidden = _hidden(page) if ANY_HIDDEN.search(page) else {}
     at, skip_to = 0, 0
     for m in TOKEN.finditer(page):
         if m.start() < skip_to:
@@ -142,6 +179,10 @@ def parse(page: str) -> Node:
                     stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
                     at = skip_to = stop.end() if stop else len(page)
                 continue
+            if name in HIDDEN:  # without an end tag of its own, what follows is judged like the rest
+                if m.start() in hidden:
+                    at = skip_to = hidden[m.start()]
+                continue
             if name == "br":
                 run.append(" ")
                 continue
@@ -283,7 +324,9 @@ def decode(root: Node, nodes: list[Node], odds: np.ndarray) -> str:
         left[id(n)] = no + sum(left[id(c)] for c in n.children)
     chosen = lambda n: taken[id(n)] > left[id(n)] - (SWITCH if n.parent is not root else 0)
     found = [c for c in root.children if chosen(c)]
-    out, todo = [], list(reversed(found or root.items))  # a body's own text counts only where no block does
+    if not found:  # a body's own text counts where nothing else does
+        return "\n".join(n.items[0] for n in root.children if n.tag == "text")
+    out, todo = [], list(reversed(found))
     while todo:
         item = todo.pop()
         if isinstance(item, str):
@@ -355,6 +398,30 @@ def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, str]]:
     return out
 
 
+def loose_pages(n: int = 300, seed: int = 12) -> list[tuple[str, str]]:
+    """Like training_pages; main text and some of the rest lie in the body itself."""
+    r = random.Random(seed)
+    word = lambda first: first + "".join(r.choice("aeioubcdlnrst") for _ in range(r.randint(1, 8)))
+    some = lambda k, first="x": " ".join(word(first) + r.choice(["", "", "", "", "", ",", "."]) for _ in range(k))
+    line = lambda: " | ".join(f'<a href="/{i}">{some(r.randint(1, 3))}</a>' for i in range(r.randint(2, 7)))
+    out = []
+    for _ in range(n):
+        parts = [f"<h1>{some(r.randint(1, 9), 'm')}</h1>" * (r.random() < 0.8)]
+        for _ in range(r.choice([1, 2, 3, 5, 8])):
+            kind = r.random()
+            if kind < 0.6:
+                parts.append("<br>".join(some(r.choice([2, 4, 12, 30, 80]), "m") for _ in range(r.randint(1, 3))) + r.choice(["<hr>", "<br><br>", ""]))
+            elif kind < 0.8:
+                parts.append("<ul>" + "".join(f"<li>{some(r.randint(1, 12), 'm')}</li>" for _ in range(3)) + "</ul>")
+            else:
+                parts.append(r.choice([f"<p>{some(20, 'm')}</p>", f"<h2>{some(r.randint(1, 5), 'm')}</h2>"]))
+        top = [f"<nav>{line()}</nav>", f"<header>{some(r.randint(1, 6))}</header>", line() + "<hr>", f'<div class="menu"><ul><li>{line()}</li></ul></div>'][r.randrange(4)] * (r.random() < 0.7)
+        bottom = [f"<footer>&copy; {some(r.randint(2, 9))}</footer>", f'<div class="footer"><p>{some(6)}</p></div>', "<hr>" + line(), f"<hr>&copy; {some(r.randint(1, 5))}", f'<div class="comments"><p>{some(12)}</p></div>'][r.randrange(5)] * (r.random() < 0.7)
+        body = f"{top}{''.join(parts)}{bottom}"
+        out.append((f"<html><head><title>{some(4)}</title></head><body>{body}</body></html>", " ".join(re.findall(r"\bm[a-z]+", re.sub(r"<[^>]*>", " ", body)))))
+    return out
+
+
 @cache
 def model() -> BoostedTrees:
     """A node's label: whether its subtree has main text."""
@@ -363,7 +430,7 @@ def model() -> BoostedTrees:
     def has_main(n: Node) -> bool:
         return any(has_main(i) if isinstance(i, Node) else i.startswith("m") for i in n.items)
 
-    for page, _ in training_pages():
+    for page, _ in (*training_pages(), *loose_pages()):
         root = parse(page)
         nodes = nodes_of(root)
         xs.append(features(root, nodes))

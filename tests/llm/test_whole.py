@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lectern.llm import latent_decontamination
+from lectern.llm import html_extract, latent_decontamination
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "rstvz"]
 
@@ -83,3 +83,22 @@ def test_rows_without_ids_stay(spark):
     assert got.columns == docs.columns
     kept = sorted(((x.doc_id, x.text or "") for x in got.collect()), key=str)
     assert kept == sorted([(None, t) for t in own[:4]] + [(5, t) for t in own[4:7]] + [(1, own[7]), (None, own[8]), (None, "")], key=str)
+
+
+# ---- HTML ----
+
+
+def test_text_of_the_body_and_unclosed_buttons():
+    a, b = "First part of the story, with a good many words in it that tell what came to pass.", "The second part goes on, and says how it ended for all of them, in some more words."
+    pages = [f"<body><h1>Title of it</h1>{a}<br>{b}<ul><li>one thing</li><li>another thing</li></ul>{a}</body>"]
+    pages += [f"<body><header>{x}</header><article><h1>Title of it</h1><p>{a}</p><p>{b}</p></article></body>" for x in ("<button>Menu", "<svg><path d=''>", "<button>Menu</button><select><option>x</option>")]
+    got = html_extract.extract(pages, html_extract.model())
+    assert got[0].split("\n") == ["Title of it", f"{a} {b}", "one thing", "another thing", a]
+    assert all(x == f"Title of it\n{a}\n{b}" for x in got[1:])
+
+
+def test_loose_layouts():
+    pages = html_extract.loose_pages(60, 77)
+    got = html_extract.extract([p for p, _ in pages], html_extract.model())
+    wrong = sum(len(set(g.lower().replace(",", " ").replace(".", " ").split()) ^ set(w.split())) for g, (_, w) in zip(got, pages, strict=True))
+    assert wrong < 0.05 * sum(len(w.split()) for _, w in pages)
