@@ -6,8 +6,9 @@ import contextlib
 import ctypes
 import gc
 import math
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +20,30 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none (tests), one under /tmp/checkpoints."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+#: UTF-8 bytes of a text that are cut to words or lines at once.
+PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Where the session names none, /tmp/checkpoints, if all runs in one process on
+    one machine (tests); on a cluster that is an error."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return "/tmp/checkpoints"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+def materialize(df: DataFrame, collect: bool = True) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation.
+    collect: afterwards let go of the shuffle files of plans that ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()  # plans that ended let go of their shuffle files only when both sides collect their garbage
-    spark._jvm.System.gc()
+    if collect:  # shuffle files go only when both sides collect their garbage
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,13 +78,43 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that ends each task with release(), so that a worker keeps no memory from stage to stage."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def word_pieces(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about size bytes that begin with white space; no word is cut."""
+    start = 0
+    while len(text) - start > size and (m := _SPACE.search(text, start + size)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:] if start else text
+
+
+def line_pieces(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about size bytes, cut at line ends; joined by \\n they are the text."""
+    start = 0
+    while len(text) - start > size and (end := text.find(b"\n", start + size)) >= 0:
+        yield text[start:end]
+        start = end + 1
+    yield text[start:] if start else text
+
+
 def text_of(batch: pa.RecordBatch, name: str = "row") -> pa.Array:
     """The text column, or the text in a struct column of that name."""
     column = batch.column(name)
     return column.flatten()[column.type.get_field_index("text")] if pa.types.is_struct(column.type) else column
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about max_bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -99,23 +142,32 @@ def labelled_sample(labels: DataFrame, target: str, per_class: int) -> DataFrame
     return one.where("y = 0").orderBy(order).limit(per_class).unionByName(one.where("y = 1").orderBy(order).limit(per_class))
 
 
+def one_text_each(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, text, y of the sampled ids (doc_id, y: few enough to broadcast): of rows with one id, the text of the least
+    hash, so that what is fitted on stays bounded however often an id repeats."""
+    few = F.broadcast(sample.withColumnRenamed("doc_id", "k"))
+    found = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("k")).select("doc_id", "text", "y")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long): rows (node, root), root the least node. Alternates the large-star and
-    small-star steps over DataFrames; a group's minimum is pre-aggregated, so a hub of any degree is no task of its own.
-    Each round is written to the shared folder and the round before it deleted."""
+    small-star steps over DataFrames. Minima are pre-aggregated and written to the shared folder before they are joined, so
+    that both sides of a join are plain exchanges: adaptive execution splits a hub's partition, however many edges it has.
+    Each round's tables are deleted after it."""
     now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), False)
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), False)
         # small-star: each node's smaller neighbours meet at the least of them
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        least = materialize(large.groupBy("b").agg(F.min("a").alias("m")), False)
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))
         after = materialize(small.where("a <> b").distinct())
         mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        drop_materialized(now)
+        for df in (now, low, large, least):
+            drop_materialized(df)
         now = after
         if mark == seen:
             break

@@ -17,7 +17,6 @@ id of a component is taken) or repeat (each row is returned); empty tables give
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, slices, texts
+from .common import components, drop_materialized, materialize, slices, texts, tidy, word_pieces
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (first bit, bits) of each segment; the first 15 of a segment's bits are coded, the others enter the anchor as they are.
@@ -35,31 +34,55 @@ CODED = 15
 CHUNK = 20_000
 
 
+#: Shingle hashes whose bits are counted at once.
+COUNTED = 1 << 15
+
+
+def _shingle_hashes(text: bytes, shingle: int, seed: int) -> Iterator[list[int]]:
+    """XXH64 of a text's shingles, a piece of the text at a time; the last words of a piece go on to the next."""
+    held: list[bytes] = []
+    some, xx = False, xxhash.xxh64_intdigest
+    for piece in word_pieces(text):
+        held += piece.lower().split()
+        if len(held) >= shingle:
+            line = b" ".join(held)
+            ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)
+            starts = np.concatenate([[0], ends[: len(held) - shingle]]).tolist()
+            yield [xx(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+            held, some = held[len(held) - shingle + 1 :], True
+    if held and not some:
+        yield [xx(b" ".join(held), seed)]
+
+
 def fingerprints(docs: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """uint64 fingerprints: a bit is 1 if set in over half of the shingles' XXH64, repeats included."""
-    hashes, sizes, xx = [], [], xxhash.xxh64_intdigest
-    for text in docs:
-        words = text.lower().split()
-        if not words:
-            sizes.append(0)
-        elif len(words) <= shingle:
-            hashes.append(xx(b" ".join(words), seed))
-            sizes.append(1)
-        else:
-            line = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            starts = np.concatenate([[0], ends[: -shingle]]).tolist()
-            hashes += [xx(line[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-            sizes.append(len(starts))
-    sizes = np.array(sizes, np.int64)
-    out = np.zeros(len(docs), np.uint64)
-    some = np.nonzero(sizes)[0]
-    if len(some):
-        at = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > sizes[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    """uint64 fingerprints: a bit is 1 if set in over half of the shingles' XXH64, repeats included. Bits are summed after
+    every COUNTED hashes, so memory doesn't grow with the length of a text."""
+    ones, sizes = np.zeros((len(docs), 64), np.int64), np.zeros(len(docs), np.int64)
+    held: list[int] = []
+    of: list[tuple[int, int]] = []  # (text, hashes of it that are held)
+
+    def count() -> None:
+        at = np.cumsum([0, *(n for _, n in of)])
+        for lo in range(0, len(of), 1 << 12):
+            part = of[lo : lo + (1 << 12)]
+            first, last = int(at[lo]), int(at[lo + len(part)])
+            bits = np.unpackbits(np.array(held[first:last], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(ones, [i for i, _ in part], np.add.reduceat(bits, at[lo : lo + len(part)] - first, axis=0, dtype=np.int32))
+        held.clear()
+        of.clear()
+
+    for i, text in enumerate(docs):
+        for hashes in _shingle_hashes(text, shingle, seed):
+            sizes[i] += len(hashes)
+            for lo in range(0, len(hashes), COUNTED):
+                part = hashes[lo : lo + COUNTED]
+                held += part
+                of.append((i, len(part)))
+                if len(held) >= COUNTED:
+                    count()
+    if of:
+        count()
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -137,9 +160,8 @@ class _Links:
         return out
 
 
-def compare(homes: np.ndarray, probes: np.ndarray, threshold: int, links: _Links, step: int = 1 << 21) -> None:
-    """Links between an anchor's homes and all that is there (homes included)."""
-    everything = np.concatenate([homes, probes])
+def compare(homes: np.ndarray, everything: np.ndarray, threshold: int, links: _Links, step: int = 1 << 21) -> None:
+    """Links between an anchor's homes and others there (homes may be among them)."""
     rows = max(1, step // max(len(everything), 1))
     for i in range(0, len(homes), rows):
         part = homes[i : i + rows]
@@ -193,50 +215,41 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(~home[part]), pa.array(fps[rows[part]].view(np.int64))], ["anchor", "replica", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come sorted, homes first. A group that goes on over several batches keeps its homes alone: what comes
+        after them is compared and let go."""
         links = _Links()
-        rest: list[np.ndarray] | None = None
-
-        def work(anchor: np.ndarray, replica: np.ndarray, fps: np.ndarray) -> None:
-            if not len(anchor):
-                return
-            first = np.nonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))[0]
-            size = np.diff(np.concatenate([first, [len(anchor)]]))
+        group, homes = None, np.zeros(0, np.uint64)  # the last group so far, and its homes
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, replica, fps = batch.column("group").to_numpy(), batch.column("replica").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)
+            first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
+            size = np.diff(np.concatenate([first, [len(at)]]))
             n_home = np.add.reduceat((~replica).astype(np.int64), first)
             small = (n_home * size <= 4096) & (n_home > 0)
+            continued = group is not None and bool(at[0] == group)
+            small[-1] = False  # it may go on
+            small[0] &= not continued
             _small_groups(fps, replica, first[small], size[small], n_home[small], threshold, links)
-            for f, s, h in zip(first[~small & (n_home > 0)].tolist(), size[~small & (n_home > 0)].tolist(), n_home[~small & (n_home > 0)].tolist(), strict=True):
-                compare(fps[f : f + h], fps[f + h : f + s], threshold, links)
-
-        def done() -> Iterator[pa.RecordBatch]:
+            for i in np.nonzero(~small)[0].tolist():
+                f, s, h = int(first[i]), int(size[i]), int(n_home[i])
+                if i or not continued:
+                    group, homes = at[f], np.zeros(0, np.uint64)
+                homes = np.concatenate([homes, fps[f : f + h]])
+                if len(homes):
+                    compare(homes, fps[f : f + s], threshold, links)
             if out := links.take():
                 e = np.array(out, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column("group").to_numpy(), batch.column("replica").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)]
-            held.append(now)
-            if now[0][0] == now[0][-1]:  # a group that fills the batch goes on
-                continue
-            rest = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(rest[0], rest[0][-1]))
-            work(*[x[:cut] for x in rest])
-            held = [[x[cut:] for x in rest]]
-            yield from done()
-        if held:
-            work(*[np.concatenate(x) for x in zip(*held, strict=True)])
-            yield from done()
-
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             _, keys, home = covering(fps)
             yield pa.RecordBatch.from_arrays([pa.array(keys[home])], ["anchor"])
 
-    spread = distinct.mapInArrow(replicate, "anchor bigint, replica boolean, fp bigint")
-    hot = materialize(distinct.mapInArrow(at_home, "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    spread = distinct.mapInArrow(tidy(replicate), "anchor bigint, replica boolean, fp bigint")
+    hot = materialize(distinct.mapInArrow(tidy(at_home), "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("anchor", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
     if hot.isEmpty():
         dealt = spread.select(F.xxhash64("anchor").alias("group"), "replica", "fp")
     else:  # each home of such an anchor goes to one chunk, and all that is there is compared with every chunk
@@ -246,7 +259,7 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         alone = F.array(F.struct(F.lit(-1).alias("c"), F.col("replica")))
         places = F.when(F.col("chunks").isNull(), alone).when(F.col("replica"), every).otherwise(F.concat(F.array(own), every))
         dealt = at.select("anchor", "fp", F.explode(places).alias("to")).select(F.xxhash64("anchor", "to.c").alias("group"), "to.replica", "fp")
-    return dealt.repartition("group").sortWithinPartitions("group", "replica").mapInArrow(meet, "a bigint, b bigint")
+    return dealt.repartition("group").sortWithinPartitions("group", "replica").mapInArrow(tidy(meet), "a bigint, b bigint")
 
 
 def with_fingerprint(docs: DataFrame, key: Column | None = None) -> DataFrame:
@@ -258,7 +271,7 @@ def with_fingerprint(docs: DataFrame, key: Column | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprints(texts(b.column("text"))).view(np.int64)), *[b.column(c) for c in more]], ["doc_id", "fp", *more])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *([] if key is None else [key.alias("t")])).mapInArrow(run, f"doc_id {kind}, fp bigint" + ", t binary" * len(more))
+    return docs.select("doc_id", "text", *([] if key is None else [key.alias("t")])).mapInArrow(tidy(run), f"doc_id {kind}, fp bigint" + ", t binary" * len(more))
 
 
 def simhash_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -266,11 +279,14 @@ def simhash_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     if threshold != THRESHOLD:
         raise ValueError("the segments and anchors are laid out for a threshold of 4 bits")
     fps = materialize(with_fingerprint(docs))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(least.select("fp"), threshold))
-    of = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = materialize(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    # both sides of each join are written tables, so that adaptive execution can split a giant component's partition
+    ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = materialize(of.join(ids, "root").select("fp", "component_id"))
+    for df in (least, of, ids):
+        drop_materialized(df)
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -305,9 +321,11 @@ def simhash_dedup_rows(docs: DataFrame) -> DataFrame:
     of = fps.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "t", F.coalesce("root", "fp").alias("root"))
     each = materialize(of.groupBy("doc_id", "t", "root").agg(F.count("*").alias("n")))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
-    best = each.groupBy("root").agg(F.min(place).alias("best")).withColumnRenamed("root", "r")
+    best = materialize(each.groupBy("root").agg(F.min(place).alias("best")).withColumnRenamed("root", "r"))
     first = place.getField("doc_id").eqNullSafe(F.col("best").getField("doc_id")) & (F.col("t") == F.col("best").getField("t"))
     found = materialize(each.join(best, F.col("root") == F.col("r")).select(F.col("doc_id").alias("k2"), F.col("t").alias("t2"), first.alias("first"), "n").where("n > 1 or not first"))
+    for df in (fps, each, best):
+        drop_materialized(df)
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("k"), key(F.col("text")).alias("t"))
     same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2"))
     out = rows.join(found, same, "left_anti").select("row")
@@ -315,19 +333,3 @@ def simhash_dedup_rows(docs: DataFrame) -> DataFrame:
     if not again.isEmpty():
         out = out.unionByName(rows.join(again, same, "left_semi").groupBy("k", "t").agg(F.first("row").alias("row")).select("row"))
     return out.select(*[F.col("row").getField(n).alias(n) for n in names])
-
-
-def brute_force(fps: list[int], threshold: int = THRESHOLD) -> list[int]:
-    """Component label (least index) of each fingerprint by comparing all pairs; for tests."""
-    label = list(range(len(fps)))
-
-    def find(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i, j in combinations(range(len(fps)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= threshold:
-            a, b = find(i), find(j)
-            label[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(fps))]

@@ -4,9 +4,9 @@ rest is computed anew."""
 import re
 
 import corpus_pipeline
-from lectern.llm import latent_decontamination, mixing, quality_rules, simhash_dedup
+from lectern.llm import latent_decontamination, mixing, quality_rules
 
-from .test_dedup import fingerprint
+from .test_dedup import fingerprint, labels_of
 
 DIR = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def plain(spark):
         r["text"] = "\n".join(x for x in r["text"].split("\n") if not low(x) or len(where[low(x)]) < 10)
         r["n_chars"] = len(r["text"])
     ids = sorted(rows)
-    group = simhash_dedup.brute_force([fingerprint(rows[i]["text"]) for i in ids])
+    group = labels_of([fingerprint(rows[i]["text"]) for i in ids])
     rows = {ids[g]: rows[ids[g]] for g in set(group)}
     norm = lambda t: " " + b" ".join(latent_decontamination.tokens(t.encode())).decode() + " "
     items = [norm(r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
