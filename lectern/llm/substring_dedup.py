@@ -154,10 +154,13 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), bool)
     if len(keys) and len(known):
         known = np.unique(known)
-        i = np.searchsorted(known["lo"], keys["lo"])
-        for step in range(4):  # equal low halves of different keys are next to each other, and rarely more than one
-            at = np.minimum(i + step, len(known) - 1)
-            out |= (known["lo"][at] == keys["lo"]) & (known["hi"][at] == keys["hi"])
+        at = np.searchsorted(known["lo"], keys["lo"])
+        while True:  # equal low halves of different keys are next to each other; hardly ever more than one
+            same = (at < len(known)) & (known["lo"][np.minimum(at, len(known) - 1)] == keys["lo"])
+            if not same.any():
+                break
+            out |= same & (known["hi"][np.minimum(at, len(known) - 1)] == keys["hi"])
+            at += 1
     return out
 
 
