@@ -20,6 +20,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import slices, text_of, tidy
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|[^>]*>?)", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -58,7 +59,7 @@ PARTS = {
 }
 PART_OF = {w: p for p, ws in PARTS.items() for w in ws.split()}
 PART_NAMES = tuple(PARTS)
-TAG_GROUPS = {"text": "text", "nav": "nav menu", "foot": "footer", "head": "header", "aside": "aside", "main": "article main", "form": "form fieldset", "list": "ul ol dl", "item": "li dt dd", "p": "p blockquote pre", "h": "h1 h2 h3 h4 h5 h6", "table": "table tbody thead tr", "cell": "td th"}
+TAG_GROUPS = {"text": "text", "nav": "nav menu", "foot": "footer", "head": "header", "aside": "aside", "main": "article main", "form": "form fieldset", "list": "ul ol dl", "item": "li dt dd", "p": "p blockquote pre", "h": "h1 h2 h3 h4 h5 h6", "table": "table tbody thead tr caption", "cell": "td th", "figure": "figure figcaption", "more": "details summary"}
 TAG_OF = {t: g for g, ts in TAG_GROUPS.items() for t in ts.split()}
 TAG_NAMES = tuple(TAG_GROUPS)
 FEATURES = (*(f"tag_{t}" for t in TAG_NAMES), *(f"own_{p}" for p in PART_NAMES), *(f"above_{p}" for p in PART_NAMES), *"above_tag depth chars link_density words_per_block commas paragraphs nodes share_of_parent share_of_page place siblings like_siblings blocks".split())
@@ -250,6 +251,7 @@ def features(root: Node, nodes: list[Node]) -> np.ndarray:
     base = len(TAG_NAMES) + 2 * len(PART_NAMES)
     total = max(root.chars, 1)
     order = {id(c): i for n in (root, *nodes) for i, c in enumerate(n.children)}
+    tags = {id(n): Counter(c.tag for c in n.children) for n in (root, *nodes) if n.children}
     for i, n in enumerate(nodes):
         row, p = x[i], n.parent
         parts_above, tag_above = above[id(p)]
@@ -261,8 +263,7 @@ def features(root: Node, nodes: list[Node]) -> np.ndarray:
         for k in parts_above:
             row[len(TAG_NAMES) + len(PART_NAMES) + PART_NAMES.index(k)] = 1
         siblings = p.children
-        alike = sum(c.tag == n.tag for c in siblings[:50])
-        row[base:] = (tag_above, n.depth, math.log1p(n.chars), n.links / max(n.chars, 1), n.chars / max(n.blocks, 1), n.marks / (n.chars / 50 + 1), math.log1p(n.paragraphs), math.log1p(n.nodes), n.chars / max(p.chars, 1), n.chars / total, order[id(n)] / max(len(siblings) - 1, 1), math.log1p(len(siblings)), alike / len(siblings[:50]), math.log1p(n.blocks))
+        row[base:] = (tag_above, n.depth, math.log1p(n.chars), n.links / max(n.chars, 1), n.chars / max(n.blocks, 1), n.marks / (n.chars / 50 + 1), math.log1p(n.paragraphs), math.log1p(n.nodes), n.chars / max(p.chars, 1), n.chars / total, order[id(n)] / max(len(siblings) - 1, 1), math.log1p(len(siblings)), tags[id(p)][n.tag] / len(siblings), math.log1p(n.blocks))
     return x
 
 
@@ -355,23 +356,42 @@ def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, str]]:
         def box(t, attr, body):
             return f"<{t}{attr}>{body}</{t}>"
 
+        def figures(first):
+            """A table, figure, disclosure, list of terms, preformatted text or linked line."""
+            kind, words = r.random(), lambda most: some(r.randint(1, most), first)
+            if kind < 0.35:
+                cols, head = r.randint(1, 4), r.random() < 0.6
+                rows = ["".join(f"<{'th' if head and not i else 'td'}>{words(6)}</{'th' if head and not i else 'td'}>" for _ in range(cols)) for i in range(r.randint(1, 6))]
+                rows = "".join(f"<tr>{x}</tr>" for x in rows)
+                return f"<table>{f'<caption>{words(5)}</caption>' if r.random() < 0.3 else ''}{f'<tbody>{rows}</tbody>' if r.random() < 0.5 else rows}</table>"
+            if kind < 0.6:
+                return f'<figure><img src="/i.png" alt="x">{f"<figcaption>{words(15)}</figcaption>" if r.random() < 0.8 else ""}</figure>'
+            if kind < 0.8:
+                inside = words(40) if r.random() < 0.3 else "".join(f"<p>{words(40)}</p>" for _ in range(r.randint(1, 2)))
+                return f"<details{r.choice(['', ' open'])}><summary>{words(6)}</summary>{inside}</details>"
+            if kind < 0.88:
+                return "<dl>" + "".join(f"<dt>{words(3)}</dt><dd>{words(15)}</dd>" for _ in range(r.randint(1, 3))) + "</dl>"
+            return f"<pre>{words(30)}</pre>" if kind < 0.95 else f'<p><a href="#">{words(8)}</a></p>'
+
         paragraphs = []
         for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
             kind, k = r.random(), r.choice([2, 5, 20, 40, 80, 150])
-            if kind < 0.72:
+            if kind < 0.6:
                 paragraphs.append(f"<p>{some(k, 'm')}</p>")
-            elif kind < 0.8:
+            elif kind < 0.67:
                 paragraphs.append(f"<p><b>{some(r.randint(2, 9), 'm')}<br>")
-            elif kind < 0.86:
+            elif kind < 0.73:
                 paragraphs.append(f"<h2>{some(r.randint(1, 6), 'm')}</h2>")
-            elif kind < 0.92:
+            elif kind < 0.79:
                 paragraphs.append("<ul>" + "".join(f"<li>{some(r.randint(2, 15), 'm')}</li>" for _ in range(3)) + "</ul>")
-            elif kind < 0.96:
+            elif kind < 0.82:
                 paragraphs.append(f"<blockquote>{some(20, 'm')}</blockquote>")
-            else:
+            elif kind < 0.85:
                 paragraphs.append(f'<p>{some(15, "m")} <a href="#">{some(2, "m")}</a> {some(9, "m")}</p>')
+            else:
+                paragraphs.append(figures("m"))
         extra = lambda chance, s: s if r.random() < chance else ""
-        ad = box("div", name("ad", "ads", "advert", "sponsored", "promo", often=0.95), some(r.choice([3, 8, 20])))
+        ad = box("div", name("ad", "ads", "advert", "sponsored", "promo", often=0.95), some(r.choice([3, 8, 20])) if r.random() < 0.8 else figures("x"))
         share = box("div", name("share", "social", often=0.9), links(3))
         inner = f"<h1>{some(r.randint(2, 12), 'm')}</h1>" * (r.random() < 0.8) + "".join(p + extra(0.05, ad) for p in paragraphs) + extra(0.15, share)
         comments = box(tag("section"), name("comments", "comment-list", "discussion", "replies", often=0.95), f"<h3>{some(2)}</h3>" + "".join(box("div", name("comment", "reply", often=0.9), f"<p>{some(r.randint(4, 50))}</p>") for _ in range(r.randint(1, 6))))
@@ -381,7 +401,7 @@ def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, str]]:
             article = box(tag("main"), name("main", "content", "page", often=0.6), article + extra(0.3, comments))
         nav = box(tag("nav"), name("nav", "menu", "navbar", often=0.9 if plain else 0.4), links(r.randint(2, 9)))
         header = box(tag("header"), name("header", "masthead", "banner", often=0.9 if plain else 0.4), some(r.randint(1, 8)) + extra(0.4, nav))
-        side = box(tag("aside"), name("sidebar", "widget", "related", often=0.9 if plain else 0.5), f"<h3>{some(2)}</h3>" + r.choice([links(4), f"<p>{some(r.randint(5, 60))}</p>"]))
+        side = box(tag("aside"), name("sidebar", "widget", "related", often=0.9 if plain else 0.5), f"<h3>{some(2)}</h3>" + r.choice([links(4), f"<p>{some(r.randint(5, 60))}</p>"]) + extra(0.25, figures("x")))
         notice = box("div", name("cookie-notice", "notice", "alert", "newsletter", "popup", often=0.97), f"<p>{some(r.randint(4, 40))}</p>")
         footer = box(tag("footer"), name("footer", "site-footer", "copyright", often=0.95 if plain else 0.3), r.choice([f"&copy; {some(4)} &middot; {some(r.randint(3, 20))}", f"<p>{some(r.randint(3, 30))}</p>", links(4)]))
         top = [extra(0.6, header), extra(0.7, nav), extra(0.3, notice), extra(0.6, ad)]
@@ -455,11 +475,11 @@ def html_extract(pages: DataFrame) -> DataFrame:
     trees = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "h", 2 << 20):
+        for b in slices(batches, "h", 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(extract(text_of(b, "h").to_pylist(), trees), pa.string())], ["row", "text"])
 
     rows = pages.select(F.struct(*pages.columns).alias("row"), F.col("html").alias("h"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}, text string")
 
 
 def digest(pages: DataFrame) -> DataFrame:
