@@ -10,8 +10,13 @@ The counts are frozen after training, so a text's code length is a sum of table
 
 Corpus counts are taken over all training texts: every block of texts emits its distinct (DEPTH + 1)-byte strings and
 words, Spark sums them, subtrees of the context tree are weighted in parallel, and each block gets back the entries that
-it needs. Nothing is sampled, capped or collected but the sums at depths 0 and 1, whose number the alphabet bounds
-(256 * 255 + 255 rows).
+it needs. A subtree hangs below the last two bytes of a context; below the last three where a pair of bytes holds more than
+one part in HEAVY of all strings. Tasks are as many as the strings ask for. Nothing is sampled, capped or collected but
+the sums at depths 0 and 1, whose number the alphabet bounds (256 * 255 + 255 rows), and at depth 2 of the at most HEAVY
+pairs that are split (255 rows each). Texts are read about a MB at a time, however long they are.
+
+Entries travel as 32-bit floats, sums are 64-bit: as all entries have one sign, a score is off by 2 ** -24 (6e-8) of itself
+at most. Words are compared byte by byte.
 
 Defined cases: null text is empty (only its end is coded); a null id counts as the empty text for the fold; ids may repeat,
 each row is scored; with no training text every decision has probability 1/2; empty tables give empty results.
@@ -22,6 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, held_out, materialize, release, texts, with_block
+from .common import PIECE_BYTES, drop_materialized, held_out, materialize, release, texts, with_block, word_pieces
 
 DEPTH = 5
 #: Larger blocks than elsewhere: a string that a block holds many times travels once.
@@ -39,76 +45,50 @@ EDGE = b"\xff"
 LOG_HALF = math.log(0.5)
 
 
-def grams(docs: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(depth + 1)-byte strings as integers, one for each coded byte (a text's bytes and its end), and bytes per text."""
-    buffer = np.frombuffer(b"".join(EDGE * depth + t + EDGE for t in docs), np.uint8)
+#: Distinct strings that a group of subtrees has on average, and the share of all strings (one part in so many) over which
+#: a pair of last bytes is split by the byte before it.
+GROUP_ROWS, HEAVY = 200_000, 256
+
+#: (row of the block, bytes before, bytes of the text, its end or nothing)
+Part = tuple[int, bytes, bytes, bytes]
+
+
+def grams(parts: list[Part], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(depth + 1)-byte strings as integers, one for each coded byte (those of the parts and the ends), and how many of them
+    each part has."""
+    buffer = np.frombuffer(b"".join(b"".join(p[1:]) for p in parts), np.uint8)
     n = len(buffer) - depth
     key = np.zeros(n, np.uint64)
     for i in range(depth + 1):
         key <<= np.uint64(8)
         key |= buffer[i : i + n]
-    sizes = np.fromiter((len(t) + 1 for t in docs), np.int64, len(docs))
+    sizes = np.fromiter((len(p[2]) + len(p[3]) for p in parts), np.int64, len(parts))
     starts = np.cumsum(sizes + depth) - sizes - depth
     keep = np.ones(n, bool)
     for j in range(depth):
-        inner = starts[1:] - j - 1
-        keep[inner] = False
+        keep[starts[1:] - j - 1] = False
     return key[keep], sizes
 
 
-def pieces(table: pa.Table, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.Table, list[bytes]]]:
-    """Rows of a block, a few MB at a time, with lower-cased texts."""
+def pieces(table: pa.Table, depth: int, max_bytes: int = PIECE_BYTES) -> Iterator[list[Part]]:
+    """A block's lower-cased texts, about a MB at a time: several texts, or a part of one, cut at white space."""
     column = table.column("text")
     ends = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_numpy())
     at = 0
     while at < table.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, side="right")))
-        piece = table.slice(at, to - at)
-        yield piece, [t.lower() for t in texts(piece.column("text"))]
+        docs = texts(column.slice(at, to - at))
+        if len(docs) > 1:
+            yield [(at + i, EDGE * depth, t.lower(), EDGE) for i, t in enumerate(docs)]
+        else:
+            before, left = EDGE * depth, len(docs[0])
+            for body in word_pieces(docs[0], max_bytes):
+                left -= len(body)
+                yield [(at, before, low := body.lower(), b"" if left else EDGE)]
+                before = (before + low[-depth:])[-depth:] if depth else b""
         at = to
 
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-
-
-def run_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs of bytes from first to end."""
-    if not _POWERS or len(_POWERS[0]) <= len(raw):
-        _POWERS.clear()
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(max(len(raw) + 1, 1 << 20), b, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(raw)])])
-    h = (sums[end] - sums[first]) * _POWERS[1][first]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def array_hashes(words: pa.Array, step: int = 100_000) -> np.ndarray:
-    """Hashes of the values of a binary column."""
-    out = [np.zeros(0, np.uint64)]
-    for i in range(0, len(words), step):
-        part = pa.concat_arrays([words.slice(i, step)])
-        size = pc.binary_length(part).to_numpy().astype(np.int64)
-        line = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
-        end = np.cumsum(size)
-        out.append(run_hashes(line, end - size, end))
-    return np.concatenate(out)
-
-
-def text_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in a row, and words of each text."""
-    raw = np.frombuffer(b" ".join(docs).translate(_SPACES), np.uint8)
-    gap = np.concatenate([[True], raw == 32, [True]])
-    edges = np.nonzero(gap[1:] != gap[:-1])[0]
-    first, end = edges[::2], edges[1::2]
-    ends = np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)) + 1)
-    return run_hashes(raw, first, end), np.diff(np.searchsorted(first, ends), prepend=0)
-
-
 def _merged(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
     key, n = np.concatenate(keys), np.concatenate(ns)
@@ -136,6 +116,11 @@ def _children(parent: np.ndarray, n: int, values: list[np.ndarray]) -> list[np.n
     return [np.bincount(parent, v, n) for v in values]
 
 
+def shortened(key: np.ndarray, depth: int) -> np.ndarray:
+    """(context, decision) keys with the context's last depth bytes alone."""
+    return (((key >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)) << np.uint64(8)) | (key & np.uint64(0xFF))
+
+
 class Subtrees:
     """Context-tree nodes at depths top to depth of the given strings, for each binary decision."""
 
@@ -156,17 +141,19 @@ class Subtrees:
         self.log_e = {depth: log_kt(self.a[depth], self.b[depth])}
         self.log_w = {depth: self.log_e[depth]}
         for d in range(depth - 1, top - 1, -1):
-            k = self.key[d + 1]
-            mask = np.uint64((1 << (8 * d)) - 1)
-            short = (((k >> np.uint64(8)) & mask) << np.uint64(8)) | (k & np.uint64(0xFF))
-            self.key[d], self.at[d] = np.unique(short, return_inverse=True)
+            self.key[d], self.at[d] = np.unique(shortened(self.key[d + 1], d), return_inverse=True)
             self.a[d], self.b[d], below = _children(self.at[d], len(self.key[d]), [self.a[d + 1], self.b[d + 1], self.log_w[d + 1]])
             self.log_e[d] = log_kt(self.a[d], self.b[d])
             self.log_w[d] = np.logaddexp(self.log_e[d], below) + LOG_HALF
 
-    def ones(self, above: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys one level above the top, and the sums of a, b and log weights of the top's nodes below them)."""
+        key, at = np.unique(shortened(self.key[self.top], self.top - 1), return_inverse=True)
+        return key.astype(np.int64), *_children(at, len(key), [self.a[self.top], self.b[self.top], self.log_w[self.top]])
+
+    def ones(self, above: dict) -> np.ndarray:
         """Probability of a one at each (decision, string), in the order of the strings, decisions 0 to 7 in a row.
-        above: for depths under top, dense tables (a, b, weight of the own estimate) by (context, decision)."""
+        above: for depths under top, tables (keys, a, b, weight of the own estimate) by (context, decision); keys None: dense."""
         d = self.depth
         p = (self.b[d] + 0.5) / (self.a[d] + self.b[d] + 1)
         up, at = self.at[d], np.arange(len(p))
@@ -177,9 +164,9 @@ class Subtrees:
             p = w[at] * own[at] + (1 - w[at]) * p
         k = self.key[self.depth]
         for d in range(self.top - 1, -1, -1):
-            a, b, w = above[d]
-            mask = np.uint64((1 << (8 * d)) - 1)
-            at = ((((k >> np.uint64(8)) & mask) << np.uint64(8)) | (k & np.uint64(0xFF))).astype(np.int64)
+            keys, a, b, w = above[d]
+            at = shortened(k, d).astype(np.int64)
+            at = at if keys is None else np.searchsorted(keys, at)
             p = w[at] * (b[at] + 0.5) / (a[at] + b[at] + 1) + (1 - w[at]) * p
         return p[up]
 
@@ -189,18 +176,28 @@ class Subtrees:
         return np.log10(np.where(self.bit, one, 1 - one)).reshape(8, -1).sum(axis=0)
 
 
-def upper_tables(rows) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Depths 1 and 0 from sums over depth-2 nodes: a pandas table of rows (key of depth 1, a, b, below)."""
-    a, b, below = (np.zeros(1 << 16) for _ in range(3))
-    at = rows["key"].to_numpy().astype(np.int64)
-    a[at], b[at], below[at] = rows["a"], rows["b"], rows["below"]
-    out, log_e = {}, log_kt(a, b)
-    log_w = np.logaddexp(log_e, below) + LOG_HALF
-    out[1] = a, b, np.exp(LOG_HALF + log_e - log_w)
+def upper_tables(rows) -> dict[int, tuple]:
+    """Tables of depths 2 (of the pairs that are split), 1 and 0, from a pandas table of sums (level 1 or 2, key at that
+    depth, a, b, below: log weights of its children)."""
+    def weighed(a, b, below):
+        log_e = log_kt(a, b)
+        log_w = np.logaddexp(log_e, below) + LOG_HALF
+        return log_w, np.exp(LOG_HALF + log_e - log_w)
+
+    out = {}
+    two = rows[rows["level"] == 2].sort_values("key")
+    keys, a, b = (two[c].to_numpy() for c in ("key", "a", "b"))
+    log_w, w = weighed(a, b, two["below"].to_numpy())
+    out[2] = keys, a, b, w
+    short = shortened(keys.astype(np.uint64), 1).astype(np.int64)
+    one = rows[rows["level"] == 1]
+    at = np.concatenate([one["key"].to_numpy().astype(np.int64), short])
+    a, b, below = (np.bincount(at, np.concatenate([one[c].to_numpy(), x]), 1 << 16) for c, x in (("a", a), ("b", b), ("below", log_w)))
+    log_w, w = weighed(a, b, below)
+    out[1] = None, a, b, w
     decision = np.arange(1 << 16) & 0xFF
-    a0, b0, below0 = (np.bincount(decision, v, 256) for v in (a, b, log_w))
-    log_e = log_kt(a0, b0)
-    out[0] = a0, b0, np.exp(LOG_HALF + log_e - np.logaddexp(log_e, below0) - LOG_HALF)
+    a, b, below = (np.bincount(decision, v, 256) for v in (a, b, log_w))
+    out[0] = None, a, b, weighed(a, b, below)[1]
     return out
 
 
@@ -213,21 +210,21 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
     def tally(table: pa.Table) -> pa.Table:
         """Distinct strings and words of a block, with their counts in its training texts (0: only held out here)."""
         words, keys, ns = Counter(), [], []
-        end = 0
-        for piece, docs in pieces(table):
-            held = piece.column("held").to_numpy()
-            key, sizes = grams(docs, depth)
+        end, is_held = 0, table.column("held").to_numpy()
+        for parts in pieces(table, depth):
+            held = is_held[[p[0] for p in parts]]
+            key, sizes = grams(parts, depth)
             key = np.sort((key << np.uint64(1)) | np.repeat(held, sizes).astype(np.uint64))  # low bit: held out
             gram = key >> np.uint64(1)
             first = np.nonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))[0]
             keys.append(gram[first])
             ns.append(np.add.reduceat((~key & np.uint64(1)).astype(np.int64), first))
-            for t, h in zip(docs, held.tolist(), strict=True):
+            for (_, _, body, last), h in zip(parts, held.tolist(), strict=True):
                 if h:
-                    words.update(dict.fromkeys(t.split(), 0))
+                    words.update(dict.fromkeys(body.split(), 0))
                 else:
-                    words.update(t.split())
-                    end += 1
+                    words.update(body.split())
+                    end += len(last)
             if len(keys) > 3:
                 keys, ns = [[x] for x in _merged(keys, ns)]
         key, n = _merged(keys, ns)
@@ -245,24 +242,36 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
     counts = materialize(word_rows.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    # subtrees below each pair of last bytes; a task takes those that its hash of the pair deals to it
+    # subtrees below each pair of last bytes, or each three where the pair holds many strings; a hash deals them to groups
     tree = materialize(gram_rows.groupBy("gram").agg(F.sum("n").alias("n")))
-    n_tasks = F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = tree.withColumn("deal", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), n_tasks).cast("int"))
+    n_strings = tree.count()
+    last = lambda n: F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * n) - 1))
+    heavy = [r["pair"] for r in tree.groupBy(last(2).alias("pair")).count().where(F.col("count") > n_strings / HEAVY).collect()] if depth > 2 else []
+    groups = F.lit(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_strings / GROUP_ROWS)))
+    split = last(2).isin(heavy) if heavy else F.lit(False)
+    dealt = tree.withColumn("split", split).withColumn("deal", F.pmod(F.xxhash64(F.when(F.col("split"), last(3)).otherwise(last(2)), "split"), groups).cast("int"))
+
+    def halves(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Depth of the subtrees' roots, which rows of a group hang below such, and their strings and counts."""
+        gram, n, is_split = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), table.column("split").to_numpy()
+        for top, own in ((2, ~is_split), (3, is_split)):
+            if own.any():
+                yield top, own, gram[own], n[own]
 
     def top(table: pa.Table) -> pa.Table:
-        s = Subtrees(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), depth, 2)
-        k = s.key[2]
-        key, at = np.unique((((k >> np.uint64(8)) & np.uint64(0xFF)) << np.uint64(8)) | (k & np.uint64(0xFF)), return_inverse=True)
-        a, b, below = _children(at, len(key), [s.a[2], s.b[2], s.log_w[2]])
-        return pa.table({"key": key.astype(np.int32), "a": a, "b": b, "below": below})
+        found = [(s.top - 1, *s.sums()) for s in (Subtrees(gram, n, depth, at) for at, _, gram, n in halves(table))]
+        columns = [np.concatenate([f[i] for f in found]) for i in range(1, 5)]
+        return pa.table({"level": np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found]), **dict(zip(("key", "a", "b", "below"), columns, strict=True))})
 
-    sums = dealt.groupBy("deal").applyInArrow(top, "key int, a double, b double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")])
+    sums = dealt.groupBy("deal").applyInArrow(top, "level int, key bigint, a double, b double, below double").groupBy("level", "key").agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")])
     above = upper_tables(sums.toPandas())
 
     def weigh(table: pa.Table) -> pa.Table:
-        s = Subtrees(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), depth, 2)
-        return pa.table({"gram": table.column("gram"), "v": s.log10(above).astype(np.float32)})
+        v = np.zeros(table.num_rows, np.float32)
+        for at, own, gram, n in halves(table):
+            v[own] = Subtrees(gram, n, depth, at).log10(above)
+        release()
+        return pa.table({"gram": table.column("gram"), "v": v})
 
     model = materialize(dealt.groupBy("deal").applyInArrow(weigh, "gram bigint, v float"))
     needed_grams = gram_rows.join(model, "gram").select("block", "gram", "v", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("c"))
@@ -280,33 +289,33 @@ def ctw_scoring(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, remainder
         known, value = known[order], v.filter(is_gram).to_numpy()[order]
         is_word = pc.invert(is_gram)
         word = lookup.column("word").combine_chunks().filter(is_word)
-        hashes, count = array_hashes(word), lookup.column("c").combine_chunks().filter(is_word).to_numpy()
+        count = lookup.column("c").combine_chunks().filter(is_word).to_numpy()
         ends = pc.binary_length(word).to_numpy() == 0
         end_log = math.log10(int(count[ends].sum()) + 1)
-        end_known = bool(ends.any())
-        order = np.argsort(hashes)
-        hashes, count = hashes[order], count[order]
-        del lookup, gram, v, is_gram, is_word, word, order, ends
-        n_tokens, n_known, base, model_score, n_bytes = [], [], [], [], []
-        for _, docs in pieces(table):
-            key, sizes = grams(docs, depth)
+        end_known = int(ends.any())
+        del lookup, gram, v, is_gram, is_word, order, ends
+        n = table.num_rows
+        n_tokens, n_known, n_bytes = np.ones(n, np.int64), np.full(n, end_known), np.zeros(n, np.int64)
+        base, model_score = np.full(n, end_log), np.zeros(n)
+        for parts in pieces(table, depth):
+            row = np.array([p[0] for p in parts])
+            key, sizes = grams(parts, depth)
             order = np.argsort(key)  # sorted keys are found much faster than keys in any order
             entry = np.empty(len(key))
             entry[order] = value[np.searchsorted(known, key[order])]
-            model_score += np.add.reduceat(entry, np.cumsum(sizes) - sizes).tolist()
-            n_bytes += (sizes - 1).tolist()
-            own, n_words = text_hashes(docs)
-            order, c = np.argsort(own), np.zeros(len(own), np.int64)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, own[order]), len(hashes) - 1)
-                c[order] = np.where(hashes[at] == own[order], count[at], 0)
+            model_score[row] += np.add.reduceat(entry, np.cumsum(sizes) - sizes)
+            n_bytes[row] += [len(p[2]) for p in parts]
+            own = [p[2].split() for p in parts]
+            n_words = np.fromiter(map(len, own), np.int64, len(own))
+            at = pc.index_in(pa.array(list(chain.from_iterable(own)), pa.binary()), value_set=word)
+            c = np.append(count, 0)[pc.fill_null(at, len(count)).to_numpy()] if len(at) else np.zeros(0, np.int64)
             upto = np.concatenate([[0], np.cumsum(n_words)])
-            logs, seen_ = np.log10(c + 1.0), np.concatenate([[0], np.cumsum(c > 0)])
-            for i, (a, b) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)):
-                n_tokens.append(int(n_words[i]) + 1)
-                base.append(float(logs[a:b].sum()) + end_log - n_tokens[-1] * log_all)
-            n_known += (seen_[upto[1:]] - seen_[upto[:-1]] + end_known).tolist()
-        del known, value, hashes, count
+            logs, seen_ = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0))]), np.concatenate([[0], np.cumsum(c > 0)])
+            n_tokens[row] += n_words
+            base[row] += logs[upto[1:]] - logs[upto[:-1]]
+            n_known[row] += seen_[upto[1:]] - seen_[upto[:-1]]
+        base -= n_tokens * log_all
+        del known, value, word, count
         release()
         n = table.num_rows
         bits = [-s / math.log10(2) / max(b, 1) for s, b in zip(model_score, n_bytes, strict=True)]
