@@ -2,11 +2,13 @@
 
 Texts are cut into pieces; each piece is compressed with either dictionary, and the difference of the two sizes over their
 sum says which class it resembles. A logistic curve over that difference and the compressed shares, fitted on labelled
-rows that the dictionaries have not seen, turns it into a probability. At most `per_class` labelled rows of each class
-and `MAX_TEXT` bytes of each are used for fitting (documented bounds); scoring reads every byte of every text.
+rows that the dictionaries have not seen, turns it into a probability. At most `per_class` labelled rows of each class are
+used for fitting (a documented bound; one row of a repeated id). A dictionary is made from pieces spread evenly over each
+whole text (DICT_PIECES at most of one text, so that no long text fills it); the curve is fitted on sizes of whole texts,
+measured where the rows are; scoring reads every byte of every text.
 
 Defined cases: a null or empty text gets the share of good labels as its score; without labels of both classes every score
-is 0.5; ids may repeat or be null; empty tables give empty results; inputs of a score are the text alone.
+is 0.5; with a single label of one class, which no dictionary can be made without, the curve has fixed weights; ids may repeat or be null; empty tables give empty results; inputs of a score are the text alone.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices, text_of, texts
+from .common import drop_materialized, held_out, labelled_sample, materialize, one_text_each, slices, text_of, texts, tidy
 
-PER_CLASS, MAX_TEXT, PIECE, DICT_BYTES, LEVEL = 1200, 16_384, 1024, 110_000, 3
+PER_CLASS, PIECE, DICT_PIECES, DICT_BYTES, LEVEL = 1200, 1024, 16, 110_000, 3
 RIDGE = 0.1
 
 
@@ -32,13 +34,21 @@ def pieces(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cut, cut[1:], strict=False)] if text else []
 
 
-def dictionary(docs: list[bytes]) -> bytes:
-    """A dictionary whose content is spread evenly over the given texts."""
-    all_pieces = [p for t in docs for p in pieces(t)]
+def spread(text: bytes) -> list[bytes]:
+    """At most DICT_PIECES of a text's pieces, evenly over its whole length."""
+    n = max(1, round(len(text) / PIECE))
+    if n <= DICT_PIECES:
+        return pieces(text)
+    at = [i * (n - 1) // (DICT_PIECES - 1) for i in range(DICT_PIECES)]
+    return [text[len(text) * i // n : len(text) * (i + 1) // n] for i in at]
+
+
+def dictionary(some: list[bytes]) -> bytes:
+    """A dictionary of the given pieces."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, all_pieces).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, some).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their bytes are the dictionary
-        return b"".join(all_pieces)[-DICT_BYTES:] or b"\n"
+        return b"".join(some)[-DICT_BYTES:] or b"\n"
 
 
 class Classifier:
@@ -78,25 +88,6 @@ class Classifier:
         return np.where([bool(t.strip()) for t in docs], p, self.prior)
 
 
-def fit(rows: list[tuple[bytes, int]], prior: float) -> Classifier:
-    """Dictionaries from either half of the rows score the other half for the curve; the final pair is from all rows."""
-    y = np.array([c for _, c in rows])
-    if not rows or y.min() == y.max():
-        return Classifier(b"\n", b"\n", None, 0.5)
-    build = lambda part: (dictionary([t for t, c in part if c == 1]), dictionary([t for t, c in part if c == 0]))
-    halves = rows[::2], rows[1::2]
-    if any(len({c for _, c in h}) < 2 for h in halves):
-        return Classifier(*build(rows), np.array([0.0, 5.0] + [0.0] * 7), prior)
-    x, t = [], []
-    for mine, other in (halves, halves[::-1]):
-        c = Classifier(*build(mine), None, prior)
-        x += [c.features(text) for text, _ in other]
-        t += [label for _, label in other]
-    x, t = np.array(x), np.array(t)
-    weight = np.where(t == 1, prior / max(t.mean(), 1e-9), (1 - prior) / max(1 - t.mean(), 1e-9))  # back to the classes' real shares
-    return Classifier(*build(rows), _weighted(x, t, weight), prior)
-
-
 def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge-penalised logistic weights of weighted rows, by Newton steps."""
     def loss(w: np.ndarray) -> float:
@@ -121,14 +112,40 @@ def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = PER_CLASS) -> Classifier:
-    """labels: the rows that may be learnt from."""
+    """labels: the rows that may be learnt from. Dictionaries from either half of the rows measure the other half for the
+    curve; the final pair is from all rows."""
     share = labels.agg(F.avg(F.col(target).cast("double"))).first()[0]
-    sample = labelled_sample(labels, target, per_class).withColumnRenamed("doc_id", "k")
-    text = F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, MAX_TEXT)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("k")).select("k", "y", text.alias("t")).collect()
-    rows = sorted(((r["k"], bytes(r["t"]), int(r["y"])) for r in rows), key=lambda r: (hash_order(r[0]), r[1]))
-    rows = [(t, y) for _, t, y in rows if t.strip()]
-    return fit(rows, 0.5 if share is None else min(max(share, 0.01), 0.99))
+    prior = 0.5 if share is None else min(max(share, 0.01), 0.99)
+    rows = materialize(one_text_each(docs, labelled_sample(labels, target, per_class)).select("doc_id", F.col("y").cast("int").alias("y"), "text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([spread(t) if t.strip() else [] for t in texts(b.column("text"))], pa.list_(pa.binary()))], ["doc_id", "y", "pieces"])
+
+    found = [(r["doc_id"], r["y"], [bytes(p) for p in r["pieces"]]) for r in rows.mapInArrow(tidy(cut), f"doc_id {kind}, y int, pieces array<binary>").collect()]
+    found = sorted((r for r in found if r[2]), key=lambda r: (hash_order(r[0]), str(r[0])))
+    by = [[r for r in found if r[1] == c] for c in (0, 1)]
+    if not by[0] or not by[1]:
+        drop_materialized(rows)
+        return Classifier(b"\n", b"\n", None, 0.5)
+    build = lambda part: tuple(dictionary([p for r in part(by[c]) for p in r[2]]) for c in (1, 0))
+    weights = np.array([0.0, 5.0] + [0.0] * 7)
+    if min(map(len, by)) > 1:
+        others = [Classifier(*build(lambda x, k=k: x[k::2]), None, prior) for k in (1, 0)]  # of the rows that half k hasn't
+        half = {r[0]: i % 2 for x in by for i, r in enumerate(x)}
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text"):
+                own = [(others[half[k]].features(t), y) for k, y, t in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), texts(b.column("text")), strict=True) if k in half]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x, _ in own], pa.list_(pa.float64())), pa.array([y for _, y in own], pa.int32())], ["x", "y"])
+
+        seen = sorted((r["x"], r["y"]) for r in rows.mapInArrow(tidy(measure), "x array<double>, y int").collect())
+        x, t = np.array([r[0] for r in seen]), np.array([r[1] for r in seen])
+        weight = np.where(t == 1, prior / max(t.mean(), 1e-9), (1 - prior) / max(1 - t.mean(), 1e-9))  # back to the classes' real shares
+        weights = _weighted(x, t, weight)
+    drop_materialized(rows)
+    return Classifier(*build(lambda x: x), weights, prior)
 
 
 def hash_order(k) -> int:
@@ -146,7 +163,7 @@ def compress_quality(docs: DataFrame, labels: DataFrame, target: str = "quality"
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(model.scores(texts(text_of(b))), pa.float64())], ["row", "score"])
 
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.mapInArrow(judge, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(tidy(judge), f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
