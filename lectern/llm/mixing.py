@@ -7,9 +7,11 @@ repeated more often than the budget is of the corpus). Weights are realised as b
 dealt by hash to blocks of about BLOCK_TOKENS tokens; pass after pass visits the blocks in another hashed order, and
 documents in hashed order within them, until the source's token budget is met; the document that crosses it is the last.
 
-Only per-source totals (one number for each distinct source; sources are names of data sets, and more than MAX_SOURCES are
-refused) come to the driver. Prefix sums run over blocks within a source and over documents within a block, so a source
-with a third of all rows is no task's group: the blocks of a source are as few as its tokens over BLOCK_TOKENS.
+Per-source totals stay a table: a round of the bisection asks it for sums at POINTS exponents at once (exact decimals, so
+that any order of adding gives the same), and only those sums come to the driver; weights and budgets are joined as a table
+that Spark broadcasts if it is small. So the number of sources has no limit. Prefix sums run over blocks within a source and
+over documents within a block, so a source with a third of all rows is no task's group: the blocks of a source are as few
+as its tokens over BLOCK_TOKENS.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens: they cost no budget and come with
 every full pass; sources without tokens get weight zero and are left out; ids may be null or repeat (each row is a document
@@ -19,14 +21,17 @@ of its own, ordered by a hash of id and text); empty tables give empty results;
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_materialized, materialize
 
 ENTROPY_SHARE, MAX_REPEATS, BUDGET_SHARE, SEED = 0.95, 4.0, 0.9, 17
-BLOCK_TOKENS, MAX_SOURCES = 2_000_000, 100_000
+BLOCK_TOKENS = 2_000_000
+#: Exponents tried in a round of the search, and rounds: to within 33 ** -10 of the interval.
+POINTS, ROUNDS = 32, 10
 
 
 def weights_at(shares: list[float], exponent: float) -> list[float]:
@@ -39,40 +44,59 @@ def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def find_exponent(tokens: list[int], budget: float, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, rounds: int = 60) -> float:
-    """By bisection; weights vary monotonically: entropy falls with the exponent, the largest repetition does so too."""
-    total = sum(tokens)
-    shares = [t / total for t in tokens if t > 0] if total else []
-    if len(shares) < 2:
+#: For each exponent x: the sum of s ** x, and of s ** x * log(s), over the shares s of all sources.
+Sums = Callable[[list[float]], list[tuple[float, float]]]
+
+
+def _search(sums: Sums, n: int, smallest: float, budget_share: float, entropy_share: float, max_repeats: float) -> float:
+    """By bisection into POINTS + 1 parts a round; entropy and the largest repetition (that of the smallest share) fall with
+    the exponent. n: sources; budget_share: the budget as a share of all tokens."""
+    if n < 2:
         return 1.0
-    target = entropy_share * math.log(len(shares))
 
-    def bisect(ok, low: float, high: float, rising: bool) -> float:
+    def edge(ok: Callable[[float, float, float], bool], low: float, high: float, rising: bool) -> float:
         """The edge of where ok holds; rising: it holds from the edge up to high."""
-        for _ in range(rounds):
-            mid = (low + high) / 2
-            if ok(mid) == rising:
-                high = mid
-            else:
-                low = mid
+        for _ in range(ROUNDS):
+            xs = [low + (high - low) * (i + 1) / (POINTS + 1) for i in range(POINTS)]
+            far = [x for x, (z, e) in zip(xs, sums(xs), strict=True) if ok(x, z, e) == rising]
+            near = [x for x in xs if x not in far]
+            low, high = max(near, default=low), min(far, default=high)
         return high if rising else low
 
-    spread = lambda x: entropy(weights_at(shares, x)) >= target
-    repeats = lambda x: max(w * budget / (s * total) for w, s in zip(weights_at(shares, x), shares, strict=True)) <= max_repeats
-    exponent = 1.0 if spread(1.0) else bisect(spread, 0.0, 1.0, False)
-    return exponent if repeats(exponent) or not repeats(1.0) else bisect(repeats, exponent, 1.0, True)
+    spread = lambda x, z, e: math.log(z) - x * e / z >= entropy_share * math.log(n)
+    repeats = lambda x, z, e: smallest ** (x - 1) / z * budget_share <= max_repeats
+    holds = lambda ok, x: ok(x, *sums([x])[0])
+    exponent = 1.0 if holds(spread, 1.0) else edge(spread, 0.0, 1.0, False)
+    return exponent if holds(repeats, exponent) or not holds(repeats, 1.0) else edge(repeats, exponent, 1.0, True)
+
+
+def find_exponent(tokens: list[int], budget: float, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS) -> float:
+    """Of sources with these tokens, at this budget of tokens."""
+    total = sum(tokens)
+    shares = [t / total for t in tokens if t > 0] if total else []
+    sums = lambda xs: [(sum(s**x for s in shares), sum(s**x * math.log(s) for s in shares)) for x in xs]
+    return _search(sums, len(shares), min(shares, default=1.0), budget / max(total, 1), entropy_share, max_repeats)
+
+
+def plan(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """docs (source, n_tokens) -> s, weight, budget (tokens), total (tokens) and blocks of each source that has tokens."""
+    totals = materialize(docs.groupBy(F.col("source").cast("string").alias("s")).agg(F.sum("n_tokens").alias("total")).where("total > 0"))
+    whole, n, least = totals.agg(F.coalesce(F.sum("total"), F.lit(1)), F.count("*"), F.coalesce(F.min("total"), F.lit(1))).first()
+    share = F.col("total") / F.lit(int(whole))
+    exact = lambda c: F.sum(c.cast("decimal(28,22)")).cast("double")
 
+    def sums(xs: list[float]) -> list[tuple[float, float]]:
+        at = totals.select(share.alias("share"), F.posexplode(F.array(*map(F.lit, xs))).alias("i", "x"))
+        power = F.pow("share", "x")
+        found = at.groupBy("i").agg(exact(power).alias("z"), exact(power * F.log("share")).alias("e")).collect()
+        return [(r["z"], r["e"]) for r in sorted(found, key=lambda r: r["i"])]
 
-def plan(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS) -> list[dict]:
-    """source, tokens, weight and budget (tokens) of each source, and the exponent."""
-    rows = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r["source"] is not None, str(r["source"])))
-    total = sum(r["tokens"] for r in rows)
-    exponent = find_exponent([r["tokens"] for r in rows], total * budget_share, entropy_share, max_repeats)
-    weights = weights_at([r["tokens"] / max(total, 1) for r in rows], exponent)
-    return [{"source": r["source"], "tokens": r["tokens"], "weight": w, "budget": round(w * total * budget_share), "exponent": exponent} for r, w in zip(rows, weights, strict=True)]
+    x = _search(sums, n, least / whole, budget_share, entropy_share, max_repeats)
+    weight = F.pow(share, F.lit(x)) / F.lit(sums([x])[0][0] if n else 1.0)
+    out = totals.select("s", weight.alias("weight"), F.round(weight * F.lit(int(whole)) * F.lit(budget_share)).cast("bigint").alias("budget"), "total", F.greatest(F.lit(1), F.ceil(F.col("total") / block_tokens)).cast("int").alias("blocks"))
+    out = materialize(out)
+    drop_materialized(totals)
+    return out
 
 
 def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
@@ -85,10 +109,7 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: floa
     text = F.coalesce(F.col("row.text"), F.lit(""))
     light = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), key(F.col("row.doc_id"), F.md5(text.cast("binary"))).alias("h"), edges.cast("bigint").alias("n_tokens"))
     light = materialize(light)  # (id, source, hash, tokens): the texts stay where they are
-    sources = plan(light, budget_share, entropy_share, max_repeats)
-    spark = docs.sparkSession
-    settings = [(s["source"], s["weight"], s["budget"], s["tokens"], max(1, math.ceil(s["tokens"] / block_tokens))) for s in sources if s["tokens"]]
-    table = F.broadcast(spark.createDataFrame(settings, "s string, weight double, budget bigint, total bigint, blocks int"))  # at most MAX_SOURCES rows
+    table = plan(light, budget_share, entropy_share, max_repeats, block_tokens)
     same = F.col("source").cast("string").eqNullSafe(F.col("s"))
     put = light.join(table, same).withColumn("block", F.pmod("h", "blocks").cast("int"))
     # equal rows (same hash) are drawn together: one entry with a count
