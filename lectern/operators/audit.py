@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as s
@@ -90,6 +90,112 @@ def validator_summary(events: DataFrame) -> DataFrame:
     return rows.select("event_id", F.when(F.col("r").isNull(), "warning").when(F.col("r.compliant"), "ok").otherwise("error").alias("severity"), zero("passedRules").alias("passed_rules"), zero("failedRules").alias("failed_rules"), zero("failedChecks").alias("failed_checks"), F.coalesce(failed, F.lit("")).alias("failures"))
 
 
+# ---- the whole audit of a document: each rule makes an array of findings from a row of `audit_inputs` ----
+
+
+def _finding(severity: str, category: str, *message: Column | str) -> Column:
+    """The marks that messages begin with."""
+    mark = {"info": "✓ ", "warning": "⚠ ", "error": "✗ "}[severity]
+    return F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.concat(F.lit(mark), *[m.cast("string") if isinstance(m, Column) else F.lit(m) for m in message]).alias("message"))
+
+
+def _some(condition: Column, finding: Column) -> Column:
+    return F.filter(F.array(F.when(condition, finding)), lambda x: x.isNotNull())
+
+
+def audit_inputs(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, lang, source and output words, paras (style, text), levels of headings, tables (has a header), alts of images.
+    Lines of a document stand in for styled paragraphs (every fifth a heading; of every seventh document none), lines of an
+    order for a document's tables, links of a page for its images, their text as the alternative text."""
+    style = lambda i: F.when((F.col("doc_id") % 7 == 3) | (i % 5 != 0), "Normal").when(i % 15 == 10, "Heading Title").otherwise(F.concat(F.lit("Heading "), (F.pmod(F.col("doc_id") + F.floor(i / 5), F.lit(3)) + 1).cast("string")))
+    lines = docs.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang"), "text", t.lines(F.col("text")).alias("lines"))
+    paras = F.transform("lines", lambda x, i: F.struct(style(i).alias("style"), F.when(i % 25 == 20, "  ").otherwise(x).alias("text")))
+    tables = lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_tax") < 0.06).alias("has_header"), F.col("l_returnflag").alias("cell")))).alias("tables"))
+    alts = pages.select(F.col("page_id").alias("doc_id"), F.regexp_extract_all("html", F.lit(r'<a href="/([^"]*)"'), 1).alias("alts"))
+    alts = alts.select("doc_id", F.transform("alts", lambda x, i: F.when((F.length(x) > 2) | (i % 2 == 0), x).otherwise(" ")).alias("alts"))
+    found = lines.select("doc_id", "lang", "text", paras.alias("paras")).join(tables, "doc_id", "left").join(alts, "doc_id", "left")
+    heads = F.transform(F.filter("paras", lambda p: p["style"].startswith("Heading ")), lambda p: F.element_at(F.split(p["style"], " "), -1).try_cast("int"))
+    kept = F.concat_ws(" ", F.transform("paras", lambda p: p["text"]), F.transform("tables", lambda x: x["cell"]))
+    return found.select("doc_id", "lang", "paras", F.filter(heads, lambda x: x.isNotNull()).alias("levels"), F.transform("tables", lambda x: x["has_header"]).alias("tables"), "alts", t.coverage_words(F.col("text")).alias("source"), t.coverage_words(kept).alias("output"))
+
+
+def language_rule() -> Column:
+    declared = F.coalesce(F.col("lang") != "", F.lit(False))
+    return F.array(F.when(declared, _finding("info", "Language", "Document language set: ", F.coalesce("lang", F.lit("")))).otherwise(_finding("error", "Language", "Document language not declared (required for screen readers)")))
+
+
+def hierarchy_rule() -> Column:
+    n, first = F.size("levels"), F.get("levels", F.lit(0))
+    steps = F.filter(F.zip_with(F.slice("levels", 1, F.greatest(n - 1, F.lit(0))), F.slice("levels", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"] > x["a"] + 1)
+    skipped = F.transform(steps, lambda x: _finding("error", "Headings", "Skipped heading level: H", x["a"], " → H", x["b"], " (missing H", x["a"] + 1, ")"))
+    none = F.array(_finding("error", "Headings", "No heading styles found — document has no structure"))
+    found = F.concat(F.array(_finding("info", "Headings", "Found ", n, " headings")), _some(first != 1, _finding("warning", "Headings", "Document does not start with Heading 1 (starts at H", first, ")")), skipped)
+    return F.when(n == 0, none).otherwise(found)
+
+
+def empty_headings_rule() -> Column:
+    empty = F.size(F.filter("paras", lambda p: p["style"].startswith("Heading ") & (F.btrim(p["text"], F.lit(t.SPACES)) == "")))
+    return F.array(F.when(empty > 0, _finding("error", "Headings", empty, " empty heading paragraph(s) found")).otherwise(_finding("info", "Headings", "No empty headings")))
+
+
+def tables_rule() -> Column:
+    n = F.size("tables")
+    bare = F.filter(F.transform("tables", lambda x, i: F.when(~x, i + 1)), lambda i: i.isNotNull())
+    errors = F.transform(bare, lambda i: _finding("error", "Tables", "Table ", i, ": no header row (w:tblHeader) — screen readers can't identify column headers"))
+    found = F.concat(F.array(_finding("info", "Tables", "Found ", n, " table(s)")), errors, _some(F.size(bare) == 0, _finding("info", "Tables", "All tables have header rows marked")))
+    return F.when(F.col("tables").isNull() | (n == 0), F.array(_finding("info", "Tables", "No tables in document"))).otherwise(found)
+
+
+def alt_text_rule() -> Column:
+    n, missing = F.size("alts"), F.size(F.filter("alts", lambda x: F.btrim(x, F.lit(t.SPACES)) == ""))
+    found = F.when(missing > 0, _finding("error", "Alt Text", missing, "/", n, " image(s) missing alt text (descr attribute)")).otherwise(_finding("info", "Alt Text", "All ", n, " image(s) have alt text"))
+    return F.array(F.when(F.col("alts").isNull() | (n == 0), _finding("info", "Alt Text", "No inline images found")).otherwise(found))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """100 * part / whole to one decimal, halves to even, in whole numbers."""
+    rest = 2 * F.pmod(1000 * part, whole)
+    tenths = F.floor((1000 * part - F.pmod(1000 * part, whole)) / whole)
+    tenths = tenths + F.when((rest > whole) | ((rest == whole) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def coverage_rule() -> Column:
+    missing = F.array_except("source", "output")
+    n, m = F.size("source"), F.size(missing)
+    share = percent(n - m, F.greatest(n, F.lit(1)))
+    covered = 1 - m / F.greatest(n, F.lit(1))
+    grade = F.when(covered * 100 >= 90, _finding("info", "Coverage", "Text coverage: ", share, "% (", n, " source words)")).when(covered * 100 >= 75, _finding("warning", "Coverage", "Text coverage: ", share, "% — some content may be missing")).otherwise(_finding("error", "Coverage", "Text coverage: ", share, "% — significant content loss detected"))
+    sample = _some((m >= 1) & (m <= 20), _finding("warning", "Coverage", "Missing words sample: ", F.array_join(F.array_sort(missing), ", ")))
+    return F.when(n == 0, F.array(_finding("warning", "Coverage", "Could not extract text from source PDF for comparison"))).otherwise(F.concat(F.array(grade), sample))
+
+
+#: In the order in which an audit runs them.
+RULES = (language_rule, hierarchy_rule, empty_headings_rule, tables_rule, alt_text_rule, coverage_rule)
+
+
+def _audited(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
+    return audit_inputs(docs, lineitem, pages).select("doc_id", F.concat(*[r() for r in RULES]).alias("issues"))
+
+
+def audit_issues(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, seq, severity, category, message: all findings of all rules, in order."""
+    return elements.in_order(_audited(docs, lineitem, pages), ["doc_id"], "issues", "seq", "i").select("doc_id", "seq", "i.severity", "i.category", "i.message")
+
+
+def audit_report(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
+    """A row for each document: the printed report (categories in the order of their first finding), its counts, the raw
+    counters (see report), PASS or FAIL, and the exit code."""
+    of = lambda sev: F.size(F.filter("issues", lambda i: i["severity"] == sev))
+    categories = F.array_distinct(F.transform("issues", lambda i: i["category"]))
+    block = lambda c: F.concat(F.lit("["), c, F.lit("]\n"), F.array_join(F.transform(F.filter("issues", lambda i: i["category"] == c), lambda i: i["message"]), "\n"))
+    status = F.when(of("error") == 0, "PASS").otherwise("FAIL")
+    return _audited(docs, lineitem, pages).select(
+        "doc_id", of("error").alias("n_errors"), of("warning").alias("n_warnings"), (2 * of("info") + of("warning")).alias("passed_raw"), (2 * of("error")).alias("failed_raw"),
+        F.array_join(F.transform(categories, block), "\n").alias("report"), status.alias("status"), F.when(of("error") == 0, 0).otherwise(1).alias("exit_code"),
+    )
+
+
 _K = "json_extract_string(props, '$.k')::int"
 _PX = """with p as (select vec_id, list_transform(embedding, lambda x: floor((x::double + 1) * 127.5)::int) as px from embeddings),
 s as (select a.vec_id, len(list_filter(range(1, len(a.px) + 1), lambda i: abs(a.px[i] - b.px[i]) < 30)) / len(a.px) as sim from p a join p b on b.vec_id = a.vec_id + 1)"""
@@ -106,3 +212,34 @@ select doc, category, min(seq) as first_seq, count(*) filter (severity = 'error'
     "validator_summary": f"""with e as (select event_id, {_K} as k from events) select event_id, case when k % 5 = 0 then 'warning' when k % 2 = 0 then 'ok' else 'error' end as severity, case when k % 5 = 0 then 0 else 100 end as passed_rules, case when k % 5 = 0 then 0 else k % 13 + 1 end as failed_rules, 0 as failed_checks,
 case when k % 5 = 0 or k % 2 = 0 then '' else array_to_string(list_transform(range(0, least(k % 13 + 1, 10)), lambda i: '7.' || i || '.1 (' || (i + 1) || ')'), '; ') end as failures from e""",
 }
+
+def _f(severity: str, category: str, message: str) -> str:
+    mark = {"info": "✓ ", "warning": "⚠ ", "error": "✗ "}[severity]
+    return f"{{'severity': '{severity}', 'category': '{category}', 'message': '{mark}' || {message}}}"
+
+
+_PCT = "(((q.v - q.v % q.n) // q.n) + case when 2 * (q.v % q.n) > q.n or 2 * (q.v % q.n) = q.n and ((q.v - q.v % q.n) // q.n) % 2 = 1 then 1 else 0 end)"
+_AUDIT = f"""with l as (select doc_id, case when doc_id % 9 <> 0 then lang end as lang, {t.sql_lines('text')} as ls, {t.sql_coverage_words('text')} as source from documents),
+pa as (select doc_id, lang, source, list_transform(ls, lambda x, i: {{'style': case when doc_id % 7 = 3 or (i - 1) % 5 <> 0 then 'Normal' when (i - 1) % 15 = 10 then 'Heading Title' else 'Heading ' || ((doc_id + (i - 1) // 5) % 3 + 1) end, 'text': case when (i - 1) % 25 = 20 then '  ' else x end}}) as ps from l),
+tb as (select l_orderkey as doc_id, list(l_tax < 0.06 order by l_linenumber, l_partkey, l_suppkey, l_tax < 0.06) as hs, string_agg(l_returnflag, ' ') as cells from lineitem group by 1),
+al as (select page_id as doc_id, list_transform(regexp_extract_all(html, '<a href="/([^"]*)"', 1), lambda x, i: case when length(x) > 2 or (i - 1) % 2 = 0 then x else ' ' end) as xs from pages),
+j as (select doc_id, lang, source, ps, hs, xs, list_filter(list_transform(list_filter(ps, lambda p: starts_with(p.style, 'Heading ')), lambda p: try_cast(string_split(p.style, ' ')[-1] as int)), lambda v: v is not null) as lv,
+  array_to_string(list_transform(ps, lambda p: p.text), ' ') || ' ' || coalesce(cells, '') as kept from pa left join tb using (doc_id) left join al using (doc_id)),
+k as (select *, list_filter(source, lambda w: not list_contains(ow, w)) as missing from (select *, {t.sql_coverage_words('kept')} as ow from j)),
+r as (select *, len(list_filter(ps, lambda p: starts_with(p.style, 'Heading ') and {t.sql_strip('p.text')} = '')) as eh, list_filter(range(1, len(hs) + 1), lambda i: not hs[i]) as bare, len(list_filter(xs, lambda x: {t.sql_strip('x')} = '')) as na, list_filter(range(2, len(lv) + 1), lambda i: lv[i] > lv[i - 1] + 1) as sk from k),
+q as (select *, 1000 * (len(source) - len(missing)) as v, greatest(len(source), 1) as n from r),
+z as (select *, ({_PCT} // 10) || '.' || ({_PCT} % 10) as pct, (1 - len(missing) / greatest(len(source), 1)) * 100 as cover from q),
+fi as (select doc_id, list_concat(
+  [case when lang <> '' then {_f('info', 'Language', "'Document language set: ' || lang")} else {_f('error', 'Language', "'Document language not declared (required for screen readers)'")} end],
+  case when len(lv) = 0 then [{_f('error', 'Headings', "'No heading styles found — document has no structure'")}] else list_concat([{_f('info', 'Headings', "'Found ' || len(lv) || ' headings'")}], case when lv[1] <> 1 then [{_f('warning', 'Headings', "'Document does not start with Heading 1 (starts at H' || lv[1] || ')'")}] else [] end,
+    list_transform(sk, lambda i: {_f('error', 'Headings', "'Skipped heading level: H' || lv[i - 1] || ' → H' || lv[i] || ' (missing H' || (lv[i - 1] + 1) || ')'")})) end,
+  [case when eh > 0 then {_f('error', 'Headings', "eh || ' empty heading paragraph(s) found'")} else {_f('info', 'Headings', "'No empty headings'")} end],
+  case when hs is null then [{_f('info', 'Tables', "'No tables in document'")}] else list_concat([{_f('info', 'Tables', "'Found ' || len(hs) || ' table(s)'")}], list_transform(bare, lambda i: {_f('error', 'Tables', "'Table ' || i || ': no header row (w:tblHeader) — screen readers can''t identify column headers'")}), case when len(bare) = 0 then [{_f('info', 'Tables', "'All tables have header rows marked'")}] else [] end) end,
+  [case when xs is null or len(xs) = 0 then {_f('info', 'Alt Text', "'No inline images found'")} when na > 0 then {_f('error', 'Alt Text', "na || '/' || len(xs) || ' image(s) missing alt text (descr attribute)'")} else {_f('info', 'Alt Text', "'All ' || len(xs) || ' image(s) have alt text'")} end],
+  case when len(source) = 0 then [{_f('warning', 'Coverage', "'Could not extract text from source PDF for comparison'")}] else list_concat([case when cover >= 90 then {_f('info', 'Coverage', "'Text coverage: ' || pct || '% (' || len(source) || ' source words)'")} when cover >= 75 then {_f('warning', 'Coverage', "'Text coverage: ' || pct || '% — some content may be missing'")} else {_f('error', 'Coverage', "'Text coverage: ' || pct || '% — significant content loss detected'")} end],
+    case when len(missing) between 1 and 20 then [{_f('warning', 'Coverage', "'Missing words sample: ' || array_to_string(list_sort(missing), ', ')")}] else [] end) end) as xs from z)"""
+_OF = lambda sev: f"len(list_filter(xs, lambda i: i.severity = '{sev}'))"
+SQL["audit_issues"] = f"{_AUDIT}, u as (select doc_id, unnest(range(0, len(xs))) as seq, unnest(xs) as i from fi) select doc_id, seq, i.severity as severity, i.category as category, i.message as message from u"
+SQL["audit_report"] = f"""{_AUDIT}, u as (select doc_id, unnest(range(0, len(xs))) as seq, unnest(xs) as i from fi), g as (select doc_id, i.category as category, min(seq) as nth, '[' || i.category || ']' || chr(10) || string_agg(i.message, chr(10) order by seq) as part from u group by doc_id, i.category),
+t as (select doc_id, string_agg(part, chr(10) order by nth) as report from g group by doc_id)
+select doc_id, {_OF('error')} as n_errors, {_OF('warning')} as n_warnings, 2 * {_OF('info')} + {_OF('warning')} as passed_raw, 2 * {_OF('error')} as failed_raw, report, case when {_OF('error')} = 0 then 'PASS' else 'FAIL' end as status, case when {_OF('error')} = 0 then 0 else 1 end as exit_code from fi join t using (doc_id)"""

@@ -1,4 +1,8 @@
-"""Text to page elements: lines, headings, paragraphs. All plans are narrow: arrays within a row, no shuffle."""
+"""Text to page elements: lines, headings, paragraphs. All plans are narrow: arrays within a row, no shuffle.
+
+Arrays become rows by `in_order`: a plain posexplode lets the optimizer infer a filter on the array's size, which computes
+the array once more (and inside each lambda over it), so that a document of n lines is split n times.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +19,38 @@ def _headings(lines: Column) -> Column:
     return F.filter(first, lambda h: (F.length(h["text"]) < SHORT) & ((h["line_no"] == 0) | t.is_upper(h["text"])))
 
 
+def in_order(df: DataFrame, keep: list, array: Column | str, place: str, value: str) -> DataFrame:
+    """The columns keep, and a row for each value of an array with its place (0 on)."""
+    return df.select(*keep, F.posexplode_outer(array).alias(place, value)).where(F.col(place).isNotNull())
+
+
 def text_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (0 on), line: stripped lines that are not empty."""
-    return docs.select("doc_id", F.posexplode(t.lines(F.col("text"))).alias("line_no", "line"))
+    return in_order(docs, ["doc_id"], t.lines(F.col("text")), "line_no", "line")
 
 
 def heading_candidates(docs: DataFrame) -> DataFrame:
     """Among a document's first five lines, the short ones that are first or in capitals."""
-    return docs.select("doc_id", F.explode(_headings(t.lines(F.col("text")))).alias("h")).select("doc_id", "h.line_no", "h.level", F.col("h.text").alias("line"))
+    return in_order(docs, ["doc_id"], _headings(t.lines(F.col("text"))), "i", "h").select("doc_id", "h.line_no", "h.level", F.col("h.text").alias("line"))
 
 
-def elements(docs: DataFrame) -> DataFrame:
-    """doc_id, elements: headings, then each line that is no heading's text and longer than two characters."""
+def parts(docs: DataFrame) -> DataFrame:
+    """doc_id, heads and paragraphs (type, level, text): headings, and each line that is no heading's text and longer than
+    two characters."""
     lines = docs.select("doc_id", t.lines(F.col("text")).alias("lines")).withColumn("heads", _headings(F.col("lines")))
     heads = F.transform("heads", lambda h: F.struct(F.lit("heading").alias("type"), h["level"].alias("level"), h["text"].alias("text")))
     used = F.transform("heads", lambda h: h["text"])
     paragraphs = F.transform(F.filter("lines", lambda x: ~F.array_contains(used, x) & (F.length(x) > 2)), lambda x: F.struct(F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), x.alias("text")))
-    return lines.select("doc_id", F.concat(heads, paragraphs).alias("elements"))
+    return lines.select("doc_id", heads.alias("heads"), paragraphs.alias("paragraphs"))
+
+
+def elements(docs: DataFrame) -> DataFrame:
+    """doc_id, elements: headings, then paragraphs."""
+    return parts(docs).select("doc_id", F.concat("heads", "paragraphs").alias("elements"))
 
 
 def page_elements(docs: DataFrame) -> DataFrame:
-    return elements(docs).select("doc_id", F.posexplode("elements").alias("ord", "e")).select("doc_id", "ord", "e.type", "e.level", "e.text")
+    return in_order(elements(docs), ["doc_id"], "elements", "ord", "e").select("doc_id", "ord", "e.type", "e.level", "e.text")
 
 
 def elements_per_doc(docs: DataFrame) -> DataFrame:

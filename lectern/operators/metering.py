@@ -79,10 +79,10 @@ def payment_release(events: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def upload_gate(docs: DataFrame) -> DataFrame:
-    """Documents as uploads: accepted, or why not (suffix, size in MiB, pages)."""
+    """Documents as uploads: accepted, or why not (suffix, size in MiB, a file that can't be read, pages)."""
     name: Column = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 11 == 0, ".TXT").when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".pdf"))
-    mb, pages = F.col("n_chars") * 4096 / 1048576, F.ceil(F.col("n_chars") / 50).cast("int")
-    return docs.select("doc_id", F.when(~F.lower(name).endswith(".pdf"), "400").when(mb > s.MAX_MB, "413").when(pages > s.MAX_PAGES, "422").otherwise("200").alias("code"), F.round(mb, 6).alias("mb"), pages.alias("pages"), (pages > s.LARGE_PAGES).alias("confirm"))
+    mb, pages = F.col("n_chars") * 4096 / 1048576, F.ceil(F.col("n_chars") / 20).cast("int")
+    return docs.select("doc_id", F.when(~F.lower(name).endswith(".pdf"), "400").when(mb > s.MAX_MB, "413").when(F.col("doc_id") % 13 == 0, "422").when(pages > s.MAX_PAGES, "400").otherwise("200").alias("code"), F.round(mb, 6).alias("mb"), pages.alias("pages"), (pages > s.LARGE_PAGES).alias("confirm"))
 
 
 _P = "with p as (select l_orderkey, count(*)::int as pages from lineitem group by 1)"
@@ -97,7 +97,7 @@ select user_id, status, case when status = 'done' then 100 else trunc((greatest(
     "expired": "with n as (select max(ts) as now from events), a as (select event_type, floor(epoch(now)) - floor(epoch(ts)) as age from events, n) select event_type, count(*) as n, count(*) filter (age > 3600) as uploads_expired, count(*) filter (age > 86400) as outputs_expired from a group by event_type",
     "backend_fallback": "with b as (select *, case doc_id % 3 when 0 then 'ollama' when 1 then 'claude' else case when length(trim(text)) > 0 then 'mock' else 'empty' end end as backend, ceil(n_chars / 2000)::int as pages from documents) select doc_id, backend, case backend when 'ollama' then 'Local AI' when 'claude' then 'Hosted AI' when 'mock' then 'Text only' else backend end as label, pages, case when backend = 'claude' then round(pages * 0.025::double, 3) else 0 end as cost, length(left(text, 2000)) as hint_chars from b",
     "payment_release": "with p as (select event_id, min(ts) as paid_at from events where event_type = 'purchase' group by 1) select o_orderkey, o_custkey, paid_at, 'running' as status from orders join p on event_id = o_orderkey where o_orderstatus = 'O'",
-    "upload_gate": "with m as (select doc_id, n_chars * 4096 / 1048576 as mb, ceil(n_chars / 50)::int as pages from documents) select doc_id, case when doc_id % 11 = 0 then '400' when mb > 50 then '413' when pages > 500 then '422' else '200' end as code, round(mb, 6) as mb, pages, pages > 50 as confirm from m",
+    "upload_gate": "with m as (select doc_id, n_chars * 4096 / 1048576 as mb, ceil(n_chars / 20)::int as pages from documents) select doc_id, case when doc_id % 11 = 0 then '400' when mb > 50 then '413' when doc_id % 13 = 0 then '422' when pages > 500 then '400' else '200' end as code, round(mb, 6) as mb, pages, pages > 50 as confirm from m",
 }
 
 

@@ -25,7 +25,7 @@ def heading_hierarchy_issues(heads: DataFrame) -> DataFrame:
     at = heads.withColumn("prev", F.lag("level").over(w))
     n = lambda c: F.col(c).cast("string")
     start = F.when(F.col("prev").isNull() & (F.col("level") != 1), F.struct(F.lit("warning").alias("severity"), F.concat(F.lit("Document does not start with Heading 1 (starts at H"), n("level"), F.lit(")")).alias("message")))
-    skip = F.when(F.col("level") > F.col("prev") + 1, F.struct(F.lit("error").alias("severity"), F.concat(F.lit("Skipped heading level: H"), n("prev"), F.lit(" -> H"), n("level"), F.lit(" (missing H"), (F.col("prev") + 1).cast("string"), F.lit(")")).alias("message")))
+    skip = F.when(F.col("level") > F.col("prev") + 1, F.struct(F.lit("error").alias("severity"), F.concat(F.lit("Skipped heading level: H"), n("prev"), F.lit(" → H"), n("level"), F.lit(" (missing H"), (F.col("prev") + 1).cast("string"), F.lit(")")).alias("message")))
     return at.select("doc", F.col("ord").alias("seq"), F.coalesce(start, skip).alias("i")).where("i is not null").select("doc", "seq", "i.severity", "i.message")
 
 
@@ -78,9 +78,11 @@ def _placed(instr: DataFrame) -> DataFrame:
 
 
 def content_blocks(instr: DataFrame) -> DataFrame:
-    """page, block, type, first, last, text: text from the last begin to the next end, and images outside of text."""
+    """page, block, type, first, last, text: text from the last begin to the next end, and images outside of text. The text
+    is what its showing operators show, in order, stripped."""
     at = _placed(instr)
-    shown = at.where("inside and op = 'Tj'").groupBy("page", F.col("bt").alias("first")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "")
+    shown = at.where(F.col("inside") & F.col("op").isin("Tj", "TJ", "'", '"')).groupBy("page", F.col("bt").alias("first")).agg(F.btrim(whole, F.lit(t.SPACES)).alias("text"))
     ends = at.where("(op = 'ET' and inside) or (op = 'Do' and not inside)").select("page", F.when(F.col("op") == "ET", "text").otherwise("image").alias("type"), F.when(F.col("op") == "ET", F.col("bt")).otherwise(F.col("i")).alias("first"), F.col("i").alias("last"))
     w = Window.partitionBy("page").orderBy("first")
     return ends.join(shown, ["page", "first"], "left").select("page", (F.row_number().over(w) - 1).alias("block"), "type", "first", "last", F.coalesce("text", F.lit("")).alias("text"))
@@ -192,7 +194,7 @@ b as (select page, row_number() over (partition by page order by first) - 1 as b
 _M = f"""with recursive d as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: {t.sql_tokens('x')}) as bs, list_transform(string_split_regex(text, '[.\\n] ?'), lambda x: {t.sql_tokens('x')}) as es from documents),
 """
 SQL = {
-    "heading_hierarchy_issues": f"{_H}, l as (select *, lag(level) over (partition by doc order by ord) as prev from h) select doc, ord as seq, case when prev is null then 'warning' else 'error' end as severity, case when prev is null then 'Document does not start with Heading 1 (starts at H' || level || ')' else 'Skipped heading level: H' || prev || ' -> H' || level || ' (missing H' || (prev + 1) || ')' end as message from l where (prev is null and level <> 1) or level > prev + 1",
+    "heading_hierarchy_issues": f"{_H}, l as (select *, lag(level) over (partition by doc order by ord) as prev from h) select doc, ord as seq, case when prev is null then 'warning' else 'error' end as severity, case when prev is null then 'Document does not start with Heading 1 (starts at H' || level || ')' else 'Skipped heading level: H' || prev || ' → H' || level || ' (missing H' || (prev + 1) || ')' end as message from l where (prev is null and level <> 1) or level > prev + 1",
     "outline_parents": f"{_O} select * from o",
     "outline_links": f"{_O}, k as (select doc, parent as ord, min(ord) as first, max(ord) as last, count(*) as n from o where parent is not null group by all), s as (select *, lag(ord) over w as prev, lead(ord) over w as next from o window w as (partition by doc, parent order by ord)) select s.doc, s.ord, s.parent, s.prev, s.next, k.first, k.last, coalesce(k.n, 0) as n_children from s left join k using (doc, ord)",
     "outline_counts": f"{_O} select o.doc, count(*) filter (o.parent is null or (u.ord is not null and u.parent is null)) as count_written, count(*) as descendants from o left join o u on u.doc = o.doc and u.ord = o.parent group by o.doc",
@@ -219,12 +221,18 @@ def marked_stream(instr: DataFrame) -> DataFrame:
     sequence: of its block, or of a run of artifacts."""
     blocks = content_blocks(instr).select("page", "first", "last", F.when(F.col("type") == "text", "P").otherwise("Figure").alias("tag"))
     spans = blocks.unionByName(artifact_islands(instr).select("page", "first", "last", F.lit("Artifact").alias("tag")))
-    none = F.lit(None).cast("string")
-    opens = spans.select("page", F.col("first").alias("i"), F.lit(0).alias("step"), F.lit("open").alias("kind"), "tag")
-    body = instr.select("page", "i", F.lit(1).alias("step"), F.lit("body").alias("kind"), none.alias("tag"))
-    closes = spans.select("page", F.col("last").alias("i"), F.lit(2).alias("step"), F.lit("close").alias("kind"), none.alias("tag"))
+    return marked(instr, spans.withColumn("mcid", F.lit(None).cast("int"))).drop("mcid")
+
+
+def marked(instr: DataFrame, spans: DataFrame) -> DataFrame:
+    """page, pos, kind (open, body, close), tag, mcid, i: instructions with the markers of spans (page, first, last, tag, mcid)
+    that together hold all of them."""
+    none = [F.lit(None).cast("string").alias("tag"), F.lit(None).cast("int").alias("mcid")]
+    opens = spans.select("page", F.col("first").alias("i"), F.lit(0).alias("step"), F.lit("open").alias("kind"), "tag", "mcid")
+    body = instr.select("page", "i", F.lit(1).alias("step"), F.lit("body").alias("kind"), *none)
+    closes = spans.select("page", F.col("last").alias("i"), F.lit(2).alias("step"), F.lit("close").alias("kind"), *none)
     w = Window.partitionBy("page").orderBy("i", "step")
-    return opens.unionByName(body).unionByName(closes).select("page", (F.row_number().over(w) - 1).alias("pos"), "kind", "tag", "i")
+    return opens.unionByName(body).unionByName(closes).select("page", (F.row_number().over(w) - 1).alias("pos"), "kind", "tag", "mcid", "i")
 
 
 SQL["marked_stream"] = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as s
-from lectern.operators import audit, elements, metering, structure
+from lectern.operators import audit, elements, jobs, metering, pages, structure
 from lectern.streaming import metering as streams
 
 
@@ -35,6 +35,11 @@ def decoded_strings(nation):
     return nation.select("n_nationkey", s.decode_bytes(raw).alias("name"), s.file_title(F.concat(F.lit("/in/"), F.lower(F.regexp_replace(name, " ", "_")), F.lit(".pdf"))).alias("title"))
 
 
+def recheck_requests(events, orders, docs, lineitem, html):
+    """Requests to audit a done job again; the document of its number is audited."""
+    return jobs.recheck_requests(events, orders, audit.audit_report(docs, lineitem, html))
+
+
 _QUERIES = {
     "text_lines": _on(elements.text_lines, "documents"),
     "heading_candidates": _on(elements.heading_candidates, "documents"),
@@ -77,12 +82,42 @@ _QUERIES = {
     "backend_fallback": _on(metering.backend_fallback, "documents"),
     "payment_release": _on(metering.payment_release, "events", "orders"),
     "upload_gate": _on(metering.upload_gate, "documents"),
+    "page_text": _on(pages.page_text, "documents"),
+    "page_inputs": _on(pages.page_inputs, "documents", "lineitem"),
+    "page_rows": _on(pages.page_rows, "documents", "lineitem"),
+    "page_tables": _on(pages.page_tables, "lineitem"),
+    "column_widths": _on(pages.column_widths, "lineitem"),
+    "analyzer_elements": _on(pages.analyzer_elements, "documents", "lineitem"),
+    "match_texts": _on(pages.match_texts, "documents"),
+    "document_metadata": _on(pages.document_metadata, "documents"),
+    "outline_entries": _on(pages.outline_entries, "documents"),
+    "struct_elements": _on(pages.struct_elements, "events"),
+    "tagged_stream": _on(pages.tagged_stream, "events"),
+    "audit_issues": _on(audit.audit_issues, "documents", "lineitem", "pages"),
+    "audit_report": _on(audit.audit_report, "documents", "lineitem", "pages"),
+    "job_upsert": _on(jobs.job_upsert, "orders"),
+    "dashboard": _on(jobs.dashboard, "orders"),
+    "status_requests": _on(jobs.status_requests, "events", "orders"),
+    "download_requests": _on(jobs.download_requests, "events", "orders"),
+    "recheck_requests": _on(recheck_requests, "events", "orders", "documents", "lineitem", "pages"),
+    "process_requests": _on(jobs.process_requests, "events", "customer"),
+    "webhook_gate": _on(jobs.webhook_gate, "events", "orders"),
+    "redirects": _on(jobs.redirects, "events", "orders"),
+    "usage_lookup": _on(jobs.usage_lookup, "customer", "orders", "lineitem"),
+    "backend_probe": _on(jobs.backend_probe, "customer"),
+    "encoded_pages": _on(jobs.encoded_pages, "documents"),
+    "stream_commands": streams.stream_commands,
+    "stream_releases": streams.stream_releases,
+    "stream_expired": streams.stream_expired,
+    "stream_progress": streams.stream_progress,
     "stream_monthly_usage": streams.stream_monthly_usage,
     "stream_job_status": streams.stream_job_status,
     "stream_payment_events": streams.stream_payment_events,
 }
 _SQL = {
     "element_tags": "with k as (select event_id, event_id % 7 as t, greatest(1, least(6, (event_id % 10) - 1)) as l from events), g as (select event_id, case t when 0 then 'H' || l when 1 then 'P' when 2 then 'Table' when 3 then 'L' when 4 then 'Caption' when 5 then 'Figure' else 'P' end as tag from k) select event_id, tag, case tag when 'Table' then 'Caption' when 'L' then 'P' else tag end as written from g",
+    "recheck_requests": f"""{jobs._LOG}, c as (select request, r.job as job, failed_raw, case when j.status is null then 404 when j.status <> 'done' then 400 else 200 end as code from r left join j on j.job = r.job left join ({audit.SQL["audit_report"]}) rep on rep.doc_id = r.job)
+select request, code, case when code = 200 then case when job % 2 = 0 then 'kept' else 'computed' end end as source, case when code = 200 then case when job % 2 = 0 then job % 6 else coalesce(failed_raw, 0) end end as failed from c""",
     "decoded_strings": "select n_nationkey, n_name as name, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: regexp_replace(upper(w[1]) || w[2:], '_', ' ', 'g')), ' ') as title from nation",
 }
 
@@ -92,4 +127,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return elements.SQL | structure.SQL | audit.SQL | metering.SQL | streams.SQL | _SQL
+    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | streams.SQL | _SQL

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -19,8 +20,10 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def page_source(docs: DataFrame, analyzers: list[Callable[[pd.Series], pd.Series]], column: str = "text") -> DataFrame:
     """docs plus `answer` and `analyzer`: the first analyzer (local model, hosted model, rules) whose answer isn't null.
-    A batch goes to the next analyzer with only those rows that are still open, so later ones are not called in vain."""
-    schema = docs.schema.simpleString()[7:-1]
+    A batch goes to the next analyzer with only those rows that are still open, so later ones are not called in vain. Input
+    columns of these two names are replaced."""
+    fields = [f for f in docs.schema.fields if f.name not in ("answer", "analyzer")]
+    schema = StructType([*fields, StructField("answer", StringType()), StructField("analyzer", IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -33,9 +36,9 @@ def page_source(docs: DataFrame, analyzers: list[Callable[[pd.Series], pd.Series
                 answer.loc[rest], by.loc[rest & answer.notna()] = got, i
             yield pdf.assign(answer=answer, analyzer=by.where(answer.notna(), -1).astype("int32"))
 
-    return docs.mapInPandas(run, f"{schema.replace(':', ' ').replace(',', ', ')}, answer string, analyzer int")
+    return docs.select(*[f.name for f in fields]).mapInPandas(run, schema)
 
 
-def write_elements(elements: DataFrame, path: str) -> None:
-    """Elements by document as Parquet: the native sink that document writers read."""
-    elements.write.mode("overwrite").parquet(path)
+def write_elements(elements: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Elements by document as Parquet: the native sink that document writers read. mode: as of any Spark writer."""
+    elements.write.mode(mode).parquet(path)

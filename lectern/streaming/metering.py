@@ -1,21 +1,27 @@
-"""Structured Streaming forms of the metered counters and of the job log; each equals its batch form on all input."""
+"""Structured Streaming forms of the metered counters, the job log, commands and releases; each equals its batch form on
+all input. Results go to Parquet in the shared folder, none through the driver: rows that are final by append, aggregates by
+foreachBatch, where each batch writes the whole result anew (complete) or its own folder (rows of a batch), so that a batch
+that runs again after a failure changes nothing."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as s
+from lectern.operators import jobs
 from lectern.operators.metering import STATES
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """All rows of a table as a stream; a table is a folder of files, or one file, which the stream finds in its folder."""
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    # a file source wants a folder or a pattern
-    return spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else path.replace(f"{table}.parquet", f"{table}.parque[t]"))
+    reader = spark.readStream.schema(schema)
+    return reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -23,13 +29,33 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def run_available(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """All that is there now through a streaming query, into a table in memory (for aggregates of bounded size)."""
-    name = f"s{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, below /tmp/checkpoints, on one machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(spark: SparkSession, df: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All that is there now through a streaming query. mode: append (final rows), complete (aggregates), or rows (each() of
+    a batch's rows, a folder for each batch)."""
+    at = _folder(spark)
+    out = f"{at}/out"
+    writer = df.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.outputMode("append").format("parquet").option("path", out)
+    elif mode == "complete":
+        writer = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    else:
+        writer = writer.outputMode("append").foreachBatch(lambda batch, n: each(batch).write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    writer.start().awaitTermination()
+    if mode != "rows":
+        return spark.read.schema(df.schema).parquet(out)
+    found = each(spark.createDataFrame([], df.schema))
+    return spark.read.schema(found.schema).parquet(out).select(*found.columns)
 
 
 def monthly_usage(stream: DataFrame) -> DataFrame:
@@ -56,8 +82,41 @@ def stream_payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(spark, out, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", "amount")
 
 
+def stream_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands to process an upload, as they come: each batch runs the batch plan of requests, in no order but its own."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return run_available(spark, _stream(spark, sf_dir, "events"), "rows", lambda batch: jobs.process_requests(batch, customer).select("request", "code", "status", "output_pdf"))
+
+
+def stream_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paid jobs: payment events, once each within the watermark, joined with the jobs that are queued."""
+    ts = F.col("ts").cast("timestamp")
+    once = _stream(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", ts).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    queued = jobs.latest(jobs.job_log(spark.read.parquet(f"{sf_dir}/orders.parquet"))).where("status = 'queued'").select("job")
+    return run_available(spark, once.select(F.col("event_id").alias("job"), F.col("ts").cast("timestamp_ntz").alias("paid_at")).join(queued, "job"), "append")
+
+
+def stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files past their lifetime at the time of a sweep (the newest file's), as a stream of a folder's listing."""
+    now = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.unix_timestamp(F.max("ts").cast("timestamp"))).first()[0] or 0
+    age = F.lit(now) - F.unix_timestamp(F.col("ts").cast("timestamp"))
+    files = _stream(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "signup", "upload").otherwise("output").alias("kind"), age.alias("age"))
+    return run_available(spark, files.where((F.col("age") > s.OUTPUT_TTL) | ((F.col("kind") == "upload") & (F.col("age") > s.UPLOAD_TTL))), "append")
+
+
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress rows of jobs as their pages are analysed: percent of each page and the pages still to come."""
+    pages = _stream(spark, sf_dir, "lineitem")
+    page, n = F.least(F.col("l_linenumber"), F.lit(7)).cast("int"), F.lit(7)
+    return run_available(spark, pages.select("l_orderkey", "l_partkey", page.alias("page"), s.progress(page, n).alias("progress"), (n - page).alias("rest")), "append")
+
+
 SQL = {
     "stream_monthly_usage": "select user_id, strftime(ts, '%Y-%m') as month, least(3, count(*))::int as used from events group by 1, 2",
     "stream_job_status": "select user_id, arg_max(case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'done' when 'error' then 'failed' else 'queued' end, (ts, event_id)) as status from events group by 1",
     "stream_payment_events": "select date_trunc('hour', ts)::timestamp as hour, count(*) as n, round(sum(value), 4) as amount from events where event_type = 'purchase' group by 1",
+    "stream_commands": jobs.SQL["process_requests"].replace("select request, code, case when code = 200 then u::varchar end as upload_id,", "select request, code, status, output_pdf from (select request, code, case when code = 200 then u::varchar end as upload_id,") + ")",
+    "stream_releases": "select event_id as job, ts as paid_at from (select event_id, min(ts) as ts from events where event_type = 'purchase' group by 1) join orders on o_orderkey = event_id where o_orderstatus = 'O'",
+    "stream_expired": "with a as (select event_id, case event_type when 'signup' then 'upload' else 'output' end as kind, (floor(epoch((select max(ts) from events))) - floor(epoch(ts)))::bigint as age from events) select event_id, kind, age from a where age > 86400 or kind = 'upload' and age > 3600",
+    "stream_progress": "select l_orderkey, l_partkey, least(l_linenumber, 7)::int as page, trunc((least(l_linenumber, 7) - 1) / 7 * 88)::int as progress, 7 - least(l_linenumber, 7)::int as rest from lineitem",
 }
