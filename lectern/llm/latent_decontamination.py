@@ -4,17 +4,22 @@
 2. Randomised SVD of the corpus's TF-IDF passage matrix A in one pass: every task adds up its part of Y = A'A Omega for one
    Gaussian Omega; singular vectors and values of A follow from Y and Omega'Y (Nystroem form for a positive matrix).
 3. Words are counted without any weights (`probe`): a stretch of text that has fewer of an item's words than a leak needs
-   can't be one; every other stretch is a candidate. Half-overlapping windows of a candidate and those of its item are
-   projected to the latent space, components scaled by one over the singular value; candidates of greater cosine come
-   first, and what they settle is not looked at again. So verdicts depend on no limit of the cosine or of words' weights.
+   can't be one; every other stretch is a candidate. A leak leaves out few of an item's words, so it holds some of any
+   few that are chosen: lists of the corpus's rarest words of each item (`_lists`) lead from a text's words to the items
+   worth counting, exactly, and the work follows the hits of rare words, not texts times items. Half-overlapping windows
+   of a candidate and those of its item are projected to the latent space, components scaled by one over the singular
+   value; candidates of greater cosine come first, and what they settle is not looked at again. So verdicts depend on no
+   limit of the cosine or of words' weights.
 4. The longest common subsequence decides: a leak if it has STRONG of the item's words, or WEAK of them and the item's
    answer (the words of its last clause) in it, in some stretch of the item's length and a half (`_reach`).
 
-The benchmark is broadcast in blocks of at most ITEMS items, one narrow pass over the documents for each block. What the
-driver gathers (VOCABULARY counts, a VOCABULARY x RANK matrix) doesn't grow with the corpus.
+The benchmark is broadcast in blocks of at most ITEMS items and ITEM_BYTES, one narrow pass over the documents for each
+block. What the driver gathers (VOCABULARY counts, a VOCABULARY x RANK matrix) doesn't grow with the corpus; the parts of
+that matrix are added up in two levels, so no task gathers one from every task.
 
 Defined cases: null and empty texts hold no leak; items without words leak nowhere; ids may be null or repeat (each row is
-judged); empty tables give empty results (an empty benchmark: no leaks); other columns are kept in `row`.
+judged), an item's id too (its leaks count once, by the greatest share); empty tables give empty results (an empty
+benchmark: no leaks); other columns are kept in `row`.
 """
 
 from __future__ import annotations
@@ -23,17 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of, texts
+from .common import slices, text_of, texts, tidy
 
 VOCABULARY, RANK, SEED = 1 << 15, 48, 5
 #: Words of a passage (for counts and SVD) and of a search window; windows start at every half.
 PASSAGE, HALF = 24, 12
-ITEMS = 10_000
-#: Items whose words are counted together, and halves of texts counted at once.
-GROUP, HALVES = 256, 1 << 14
+ITEMS, ITEM_BYTES = 10_000, 16 << 20
+#: Hits of an item's rarest words that a candidate must have; the more, the longer the lists of such words must be.
+HITS = 2
 STRONG, WEAK, ANSWER = 0.7, 0.5, 0.8
 SLICE = 1 << 20
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -125,8 +131,8 @@ def inverse_frequency(frequency: np.ndarray, n: int) -> np.ndarray:
     return np.log((n + 1) / (np.minimum(frequency, n) + 1)) + 0.1
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Passages of the corpus that hold each word bucket, and the number of passages."""
+def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Passages of the corpus that hold each word bucket, the number of passages, and that of the tasks that counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(VOCABULARY, np.int64), 0
@@ -140,16 +146,16 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total += np.bincount(own[new], minlength=VOCABULARY)
                 n += len(first)
         some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], n))], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2]).astype(np.int32)), pa.array(np.append(total[some], [n, 1]))], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out, n = np.zeros(VOCABULARY), 0
+    rows = docs.select("text").mapInArrow(tidy(count), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out, sums = np.zeros(VOCABULARY), {-1: 0, -2: 0}
     for bucket, k in zip(rows["bucket"], rows["n"], strict=True):
         if bucket < 0:
-            n = int(k)
+            sums[bucket] = int(k)
         else:
             out[bucket] = k
-    return out, n
+    return out, sums[-1], sums[-2]
 
 
 def _sketch(y: np.ndarray, ids: np.ndarray, sizes: np.ndarray, weighted: np.ndarray, w: np.ndarray) -> None:
@@ -165,9 +171,10 @@ def _sketch(y: np.ndarray, ids: np.ndarray, sizes: np.ndarray, weighted: np.ndar
         column += np.bincount(own, values[row], VOCABULARY) * w[:VOCABULARY]
 
 
-def latent_space(docs: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(right singular vectors: VOCABULARY x RANK, singular values) of the TF-IDF passages, rows of unit length."""
-    group = 32
+def latent_space(docs: DataFrame, idf: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(right singular vectors: VOCABULARY x RANK, singular values) of the TF-IDF passages, rows of unit length. tasks: how
+    many tasks read docs; their parts are added up among those of equal number modulo its square root, then over these."""
+    group, sums = 32, max(1, round(tasks**0.5))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega = np.random.default_rng(SEED).standard_normal((VOCABULARY, RANK)).astype(np.float32)
@@ -179,17 +186,25 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
             if not len(ids):
                 continue
             _sketch(y, ids, sizes, weighted, w)
-        parts = np.ascontiguousarray(y.T.astype(np.float32)).reshape(VOCABULARY // group, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "y"])
+        parts = np.ascontiguousarray(y.T).reshape(VOCABULARY // group, -1)
+        by = np.full(len(parts), TaskContext.get().partitionId() % sums, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(by), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["part", "by", "y"])
 
-    def add(table: pa.Table) -> pa.Table:
+    def total_of(table: pa.Table, kind) -> pa.Table:
         total = np.zeros(group * RANK)
         for x in table.column("y").to_pylist():
-            total += np.frombuffer(x, np.float32)
-        return pa.table({"part": [table.column("part")[0].as_py()], "y": pa.array([total.tobytes()], pa.binary())}, schema=pa.schema([("part", pa.int32()), ("y", pa.binary())]))
+            total += np.frombuffer(x, kind)
+        return pa.table({"part": table.column("part")[:1], "y": pa.array([total.tobytes()], pa.binary())}, schema=pa.schema([("part", pa.int32()), ("y", pa.binary())]))
+
+    def add(table: pa.Table) -> pa.Table:
+        return total_of(table, np.float32)
+
+    def add_sums(table: pa.Table) -> pa.Table:
+        return total_of(table, np.float64)
 
     y = np.zeros((VOCABULARY // group, group * RANK))
-    for r in docs.select("text").mapInArrow(sketch, "part int, y binary").groupBy("part").applyInArrow(add, "part int, y binary").collect():
+    some = docs.select("text").mapInArrow(tidy(sketch), "part int, by int, y binary").groupBy("part", "by").applyInArrow(add, "part int, y binary")
+    for r in some.groupBy("part").applyInArrow(add_sums, "part int, y binary").collect():
         y[r["part"]] = np.frombuffer(bytes(r["y"]))
     y = y.reshape(VOCABULARY, RANK)
     omega = np.random.default_rng(SEED).standard_normal((VOCABULARY, RANK)).astype(np.float32).astype(float)
@@ -205,7 +220,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Searcher:
     """Finds the leaks of a block of benchmark items in texts."""
 
-    def __init__(self, items: list[tuple[int, bytes]], idf: np.ndarray, vectors: np.ndarray, values: np.ndarray):
+    def __init__(self, items: list[tuple[int, bytes]], frequency: np.ndarray, idf: np.ndarray, vectors: np.ndarray, values: np.ndarray):
         scale = 1 / np.maximum(values, 1e-3 * max(values.max(initial=0), 1e-12))
         self.words = _padded((vectors * scale * idf[:, None]).astype(np.float32))
         self.items, self.ids, self.answers = [], [], []
@@ -214,14 +229,14 @@ class Searcher:
                 self.ids.append(k)
                 self.items.append(t)
                 self.answers.append(_answer(text))
-        order = sorted(range(len(self.items)), key=lambda i: len(self.items[i]))  # so that a span's items are neighbours
-        self.items, self.ids, self.answers = ([x[i] for i in order] for x in (self.items, self.ids, self.answers))
         windows, self.start = [], [0]
         for t in self.items:
             for a in [*range(0, max(len(t) - 2 * HALF, 0), HALF), max(len(t) - 2 * HALF, 0)]:
                 windows.append(t[a : a + 2 * HALF])
             self.start.append(len(windows))
         self.queries = self._project(windows)
+        if self.items:
+            self._prepare(frequency)
 
     def _project(self, windows: list[list[bytes]]) -> np.ndarray:
         ids, sizes = _hashed([b" ".join(w) for w in windows])
@@ -268,71 +283,80 @@ class Searcher:
             return
         first, text = _chunks(sizes, HALF)
         begin, past = (np.cumsum(sizes) - sizes)[text], np.cumsum(sizes)[text]
-        end = np.searchsorted(text, text, side="right")
-        for g in range(0, len(self.items), GROUP):
-            words, held, times = self._slots(g)
-            n, need, weak, answer = self._needs(g)
-            reach = np.array([self._reach(k) + HALF - 1 for k in range(g, g + len(n))])
-            span = -(-reach // HALF)
-            for lo in range(0, len(first), HALVES):
-                hi = min(lo + HALVES, len(first))
-                till = min(hi + int(span.max()), len(first))
-                part = ids[first[lo] : first[till] if till < len(first) else len(ids)]
-                own = first[lo:till] - first[lo]
-                count = np.zeros((len(own) + 1, held.shape[1]), np.int32)
-                np.cumsum(_sums(held, part, own, HALF), axis=0, dtype=np.int32, out=count[1:])
-                rows, items = [], []
-                for w in np.unique(span):
-                    of = slice(*np.searchsorted(span, [w, w + 1]))
-                    to = np.minimum(np.arange(lo, hi) + w, end[lo:hi]) - lo
-                    c = count[to, of] - count[: hi - lo, of]
-                    some, k = np.divmod(np.flatnonzero(c >= weak[of].astype(np.int32)), c.shape[1])
-                    c, k = c[some, k], of.start + k
-                    fit = (c >= need[k]) | (count[to[some], len(n) + k] - count[some, len(n) + k] >= answer[k])
-                    rows.append(some[fit] + lo)
-                    items.append(k[fit])
-                a, k = np.concatenate(rows), np.concatenate(items)
-                order = np.argsort(k, kind="stable")
-                a, k = a[order], k[order]
-                step = max(1, (1 << 20) // max(int(reach.max()), times.shape[1]))
-                for i in range(0, len(a), step):  # each word counts as often as the item has it, no more
-                    x, y = a[i : i + step], k[i : i + step]
-                    at = first[x][:, None] + np.arange(int(reach[y].max()))
-                    inside = at < np.minimum(first[x] + reach[y], past[x])[:, None]
-                    slot = np.where(inside, words[ids[np.minimum(at, len(ids) - 1)], y[:, None]], 0)
-                    key = (slot + np.arange(len(x))[:, None] * times.shape[1]).ravel()
-                    have = np.minimum(np.bincount(key, minlength=len(x) * times.shape[1]).reshape(len(x), -1), times[y]).sum(axis=1)
-                    good = have >= weak[y]
-                    x, y = x[good], y[good]
-                    yield from zip(text[x].tolist(), (first[x] - begin[x]).tolist(), (y + g).tolist(), strict=True)
-
-    def _slots(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of items g on: the number of each bucket among an item's own (0: not in it); whether it is in the item, and (as
-        many columns again) in its answer; how often an item has each of its buckets."""
-        if not hasattr(self, "_made"):
-            self._made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        if g in self._made:
-            return self._made[g]
-        items = self.items[g : g + GROUP]
-        words, answers = np.zeros((VOCABULARY + 1, len(items)), np.int32), np.zeros((VOCABULARY + 1, len(items)), np.uint8)
-        times = np.zeros((len(items), max(map(len, items)) + 1), np.int64)
-        for k, t in enumerate(items):
-            own, n = np.unique(_hashed([b" ".join(t)])[0], return_counts=True)
-            words[own, k] = np.arange(1, len(own) + 1)
-            times[k, 1 : len(own) + 1] = n
-            answers[_hashed([b" ".join(self.answers[g + k])])[0], k] = 1
-        out = words, np.hstack([(words > 0).view(np.uint8), answers]), times
-        if len(self._made) < 2:  # further groups are made anew for each slice
-            self._made[g] = out
-        return out
-
-    def _needs(self, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of items g on: words; least common words of a leak without and with the answer; least words of the answer."""
-        n = np.array([len(t) for t in self.items[g : g + GROUP]])
-        m = np.array([len(t) for t in self.answers[g : g + GROUP]])
+        opening = np.searchsorted(text, text)  # first half of the same text
+        half = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        starts, items = self._starts(ids, half, opening)
+        edges = np.nonzero(np.diff(items, prepend=-1, append=-1))[0]
+        row = np.zeros(VOCABULARY, np.int16)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k = int(items[lo])
+            buckets, times, answer = self.own[k]
+            row[buckets] = np.arange(1, len(buckets) + 1)
+            for i in range(lo, hi, 1 << 12):  # each word counts as often as the item has it, no more
+                x = starts[i : min(i + (1 << 12), hi)]
+                at = first[x][:, None] + np.arange(self.reach[k])
+                slot = np.where(at < past[x][:, None], row[ids[np.minimum(at, len(ids) - 1)]], 0) + np.arange(len(x))[:, None] * (len(buckets) + 1)
+                n = np.bincount(slot.ravel(), minlength=len(x) * (len(buckets) + 1)).reshape(len(x), -1)[:, 1:]
+                have = np.minimum(n, times).sum(axis=1)
+                x = x[(have >= self.need[k]) | (have >= self.weak[k]) & (np.minimum(n, answer).sum(axis=1) >= self.answer[k])]
+                yield from zip(text[x].tolist(), (first[x] - begin[x]).tolist(), [k] * len(x), strict=True)
+            row[buckets] = 0
+
+    def _starts(self, ids: np.ndarray, half: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(half, item), by item, of the stretches in which enough words of an item's lists lie."""
+        found = [np.zeros(0, np.int64)]
+        for ends, items, hits in self.lists:
+            lo, n = ends[ids], ends[ids.astype(np.int64) + 1] - ends[ids]
+            word = np.repeat(np.arange(len(ids)), n)
+            if not len(word):
+                continue
+            k = items[lo[word] + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
+            key, count = np.unique(k * (len(half) + 1) + half[word], return_counts=True)
+            k, h = np.divmod(key, len(half) + 1)
+            # a hit counts for the stretches that begin in its half or up to span - 1 halves before, in its text
+            back = np.minimum(self.span[k], h - opening[h] + 1)
+            of = np.repeat(np.arange(len(key)), back)
+            start = h[of] - (np.arange(len(of)) - np.repeat(np.cumsum(back) - back, back))
+            key, at = np.unique(k[of] * (len(half) + 1) + start, return_inverse=True)
+            found.append(key[np.bincount(at, count[of]) >= hits[key // (len(half) + 1)]])
+        k, a = np.divmod(np.unique(np.concatenate(found)), len(half) + 1)
+        return a, k
+
+    def _prepare(self, frequency: np.ndarray) -> None:
+        """What probe() looks up: needs, reaches, the buckets of each item, and lists of items by rare bucket."""
         least = lambda share, of: np.ceil(share * of - 1e-9).astype(np.int64)
-        need = least(STRONG, n)
-        return n, need, np.where(m >= 3, least(WEAK, n), need), np.where(m >= 3, least(ANSWER, m), 1 << 30)
+        n, m = np.array([len(t) for t in self.items]), np.array([len(t) for t in self.answers])
+        self.need = least(STRONG, n)
+        self.weak, self.answer = np.where(m >= 3, least(WEAK, n), self.need), np.where(m >= 3, least(ANSWER, m), 1 << 30)
+        self.reach = np.array([self._reach(k) + HALF - 1 for k in range(len(n))])
+        self.span = -(-self.reach // HALF)
+        own = [np.unique(_hashed([b" ".join(t)])[0], return_counts=True) for t in self.items]
+        self.own = []  # of each item: its buckets, how often it has them, how often its answer has them
+        pairs: list[list[tuple[int, int]]] = [[], []]
+        hits = np.ones((2, len(n)), np.int64)
+        for k, (buckets, count) in enumerate(own):
+            in_answer = np.zeros(len(buckets), np.int64)
+            self.own.append((buckets, count, in_answer))
+            self._choose(k, buckets, count, int(n[k] - self.need[k]), int(self.need[k]), frequency, pairs[0], hits[0])
+            if m[k] >= 3:
+                part, count = np.unique(_hashed([b" ".join(self.answers[k])])[0], return_counts=True)
+                in_answer[np.searchsorted(buckets, part)] = count
+                self._choose(k, part, count, int(m[k] - self.answer[k]), int(self.answer[k]), frequency, pairs[1], hits[1])
+        self.lists = []
+        for of, h in zip(pairs, hits, strict=True):
+            bucket, item = np.array(of or [(VOCABULARY, 0)], np.int64).T
+            order = np.argsort(bucket, kind="stable")
+            self.lists.append((np.searchsorted(bucket[order], np.arange(VOCABULARY + 1)), item[order].astype(np.int32), h))
+
+    def _choose(self, k: int, buckets: np.ndarray, count: np.ndarray, missing: int, need: int, frequency: np.ndarray, out: list, hits: np.ndarray) -> None:
+        """The rarest buckets of which a leak, lacking no more than `missing` words, has hits[k] words at least."""
+        hits[k] = min(HITS, need)
+        total = 0
+        for b in np.argsort(frequency[buckets], kind="stable"):
+            if total >= missing + hits[k]:
+                break
+            out.append((int(buckets[b]), k))
+            total += int(count[b])
 
     def _reach(self, k: int) -> int:
         """Words of text that an item may be spread over."""
@@ -402,28 +426,34 @@ def latent_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> `row` (the input columns as a struct), items (ids of leaked items, ascending), shares."""
     kind = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
     out = docs.select(F.struct(*docs.columns).alias("row"), F.expr("cast(array() as array<bigint>) as items"), F.expr("cast(array() as array<double>) as shares"))
-    frequency, n = document_frequency(docs)
+    frequency, n, tasks = document_frequency(docs)
     idf = inverse_frequency(frequency, n)
-    vectors, values = latent_space(docs, idf)
+    vectors, values = latent_space(docs, idf, tasks)
     block: list[tuple[int, bytes]] = []
 
     def search(df: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
-        searcher = Searcher(items, idf, vectors, values)
+        searcher = Searcher(items, frequency, idf, vectors, values)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, "row", SLICE):
                 found = searcher.leaks(texts(text_of(b)))
                 before = zip(b.column("items").to_pylist(), b.column("shares").to_pylist(), strict=True)
-                merged = [sorted([*zip(i, s, strict=True), *f.items()]) for (i, s), f in zip(before, found, strict=True)]
+                merged = []
+                for (i, s), f in zip(before, found, strict=True):
+                    for k, share in zip(i, s, strict=True):
+                        f[k] = max(share, f.get(k, 0.0))
+                    merged.append(sorted(f.items()))
                 yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([[i for i, _ in m] for m in merged], pa.list_(pa.int64())), pa.array([[s for _, s in m] for m in merged], pa.list_(pa.float64()))], ["row", "items", "shares"])
 
-        return df.mapInArrow(run, f"row {kind}, items array<bigint>, shares array<double>")
+        return df.mapInArrow(tidy(run), f"row {kind}, items array<bigint>, shares array<double>")
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("k"), F.encode("text", "UTF-8").alias("t")).orderBy("k", "t")
+    size = 0
     for r in rows.toLocalIterator():
         block.append((r["k"], bytes(r["t"])))
-        if len(block) == ITEMS:
-            out, block = search(out, block), []
+        size += len(r["t"])
+        if len(block) == ITEMS or size >= ITEM_BYTES:
+            out, block, size = search(out, block), [], 0
     return search(out, block) if block else out
 
 

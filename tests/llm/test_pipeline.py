@@ -65,3 +65,30 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, equal rows, a long text, a hot source, columns with the stages' names."""
+    import random
+
+    r = random.Random(1)
+    words = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in "rstvz"]
+    text = lambda n: " ".join(r.choice(words) + str(r.randrange(40)) for _ in range(n))
+    own = [text(60) for _ in range(60)]
+    rows = [(i if i % 3 else None, t, "en", "hot" if i % 4 else "cold", len(t), "k", i) for i, t in enumerate(own)]
+    rows += [(7, t, "en", "hot", len(t), "k", 0) for t in (text(50), text(70))] + [(5, own[5], "en", "hot", 0, "k", 0)] * 2
+    long = "\n".join(text(12) for _ in range(9000))
+    rows += [(900, long, None, None, 1, None, None), (901, None, "en", "hot", 0, "k", 0), (None, "", "en", "hot", 0, "k", 0), (902, f"{text(30)} {own[1]} {text(5)}", "en", "new", 0, "k", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, keys string, row int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    leak = text(25)
+    spark.createDataFrame([(1, leak), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == before.columns
+            assert {x.doc_id for x in docs.collect()} <= {x.doc_id for x in before.collect()}
+    kept = {x.text for x in docs.collect()}
+    assert len(kept) > 10 and "" not in kept
