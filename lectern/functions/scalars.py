@@ -70,6 +70,7 @@ def file_title(path: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def title(x: pd.Series) -> pd.Series:
+    """Title case that begins anew after any character that isn't a letter; the built-in does so after spaces alone."""
     return x.str.title()
 
 

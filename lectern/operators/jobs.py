@@ -17,6 +17,7 @@ from . import metering
 LABELS = {"ollama": "Local AI (Ollama)", "claude": "Claude API", "mock": "Text extraction (no AI — install Ollama for better results)", "unknown": "Detecting…"}
 PDF, DOCX = "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 MODEL = "vision:7b"
+TIMEOUT = 3600
 PAID = "checkout.session.completed"
 #: A schema of JSON bodies that start a job.
 COMMAND = "upload_id string, use_claude boolean, email string"
@@ -66,6 +67,16 @@ def job_upsert(orders: DataFrame) -> DataFrame:
     return latest(log.where("seq = 0").unionByName(log.where("seq > 0")).unionByName(log.where("seq > 0 and job % 3 = 0")))
 
 
+def job_timeouts(orders: DataFrame) -> DataFrame:
+    """job, waited (seconds), status: running jobs at the time of the newest record; those over TIMEOUT have failed."""
+    log = job_log(orders)
+    now = log.agg(F.max("ts").alias("now"))  # one row
+    last = log.groupBy("job").agg(F.max(F.struct("ts", "seq", "status")).alias("x")).where("x.status = 'running'")
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    waited = seconds("now") - seconds("x.ts")
+    return last.join(F.broadcast(now)).select("job", waited.alias("waited"), F.when(waited > TIMEOUT, "failed").otherwise("running").alias("status"))
+
+
 def _jobs(orders: DataFrame) -> DataFrame:
     backend = F.when(F.col("job") % 4 == 0, "ollama").when(F.col("job") % 4 == 1, "claude").when(F.col("job") % 4 == 2, "mock").otherwise("unknown")
     return latest(job_log(orders)).select("*", *[c.alias(n) for n, c in paths(F.col("job")).items()], backend.alias("backend"))
@@ -233,6 +244,7 @@ _KEY = SECRET.encode().ljust(64, b"\0")
 _PAD = {x: "unhex('" + bytes(b ^ x for b in _KEY).hex() + "')" for x in (0x36, 0x5C)}
 SQL = {
     "job_upsert": f"{_LOG} select job, status, progress, current_page, total_pages, error, created_at, completed_at from j",
+    "job_timeouts": f"{_LOG}, a as (select o_orderkey as job, o_orderdate + interval 1 hour as ts from orders where o_orderstatus = 'P'), n as (select max(o_orderdate + case o_orderstatus when 'O' then interval 0 hour when 'P' then interval 1 hour else interval 2 hour end) as now from orders), w as (select job, (floor(epoch(now)) - floor(epoch(ts)))::bigint as waited from a, n) select job, waited, case when waited > {TIMEOUT} then 'failed' else 'running' end as status from w",
     "dashboard": f"{_LOG} select left(md5(job::varchar), 8) || '…' as id, job || '.pdf' as file, status, progress || '%' as progress, current_page || '/' || total_pages as pages, left(created_at, 19) as created, coalesce(left(completed_at, 19), '—') as completed, case when status = 'done' then case when job % 6 = 0 then '✓' else '✗' end else '—' end as check from j",
     "status_requests": f"""{_LOG} select request, case when status is null then 404 else 200 end as code, case when status is not null then '{{"job":' || job || ',"status":"' || status || '","progress":' || progress || ',"current_page":' || current_page || ',"total_pages":' || total_pages || ',"error":' || coalesce('"' || error || '"', 'null') || ',"check_report":' || case when status = 'done' then '{{"failed":' || job % 6 || '}}' else 'null' end
 || ',"completed_at":' || coalesce('"' || completed_at || '"', 'null') || ',"backend":"' || backend || '","backend_label":"' || case backend {_LABEL} end || '","has_pdf":' || has_pdf || ',"has_docx":' || has_docx || '}}' end as body from r left join j using (job)""",

@@ -137,6 +137,11 @@ def outline_entries(docs: DataFrame) -> DataFrame:
     return elements.in_order(heads, ["doc_id"], named, "idx", "h").select("doc_id", "idx", "h.level", "h.text")
 
 
+def document_outline(docs: DataFrame) -> DataFrame:
+    """The outline's links (see structure.outline_links) of every document, by its own headings."""
+    return structure.outline_links(outline_entries(docs).select(F.col("doc_id").alias("doc"), F.col("idx").alias("ord"), "level"))
+
+
 # ---- tagged content streams ----
 
 
@@ -260,3 +265,4 @@ s as (select page, first, last, coalesce(tag, 'Artifact') as tag, mcid from b le
 v as (select page, first as i, 0 as step, 'open' as kind, tag, mcid from s union all select page, i, 1, 'body', null, null from i union all select page, last, 2, 'close', null, null from s)
 select page, row_number() over (partition by page order by i, step) - 1 as pos, kind, tag, mcid, i from v""",
 }
+SQL["document_outline"] = structure.SQL["outline_links"].replace(structure._H, f"with h as (select doc_id as doc, idx as ord, level from ({SQL['outline_entries']}) q)")

@@ -149,9 +149,12 @@ def best_match(docs: DataFrame) -> DataFrame:
 
 def parent_tree(docs: DataFrame, bucket: int = 65536) -> DataFrame:
     """doc_id, tree_idx (dense over documents that have matches), n_slots, slots: elements in the order of their ids. The
-    dense index is a count of earlier buckets plus a rank within the bucket: no task orders all documents."""
+    dense index is a count of earlier buckets plus a rank within the bucket. Buckets are equal ranges of ids, as many as
+    `bucket` documents each would make, however sparse the ids are: no task orders all documents."""
+    least, most, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    width = max(1, -(-((most or 0) - (least or 0) + 1) // max(1, -(-n // bucket))))
     slots = block_element_match(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("mcid", "element"))).alias("x"))
-    slots = slots.withColumn("bucket", F.floor(F.col("doc_id") / bucket))
+    slots = slots.withColumn("bucket", F.floor((F.col("doc_id") - F.lit(least or 0)) / width))
     before = slots.groupBy("bucket").count()
     before = before.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1

@@ -91,11 +91,13 @@ _QUERIES = {
     "match_texts": _on(pages.match_texts, "documents"),
     "document_metadata": _on(pages.document_metadata, "documents"),
     "outline_entries": _on(pages.outline_entries, "documents"),
+    "document_outline": _on(pages.document_outline, "documents"),
     "struct_elements": _on(pages.struct_elements, "events"),
     "tagged_stream": _on(pages.tagged_stream, "events"),
     "audit_issues": _on(audit.audit_issues, "documents", "lineitem", "pages"),
     "audit_report": _on(audit.audit_report, "documents", "lineitem", "pages"),
     "job_upsert": _on(jobs.job_upsert, "orders"),
+    "job_timeouts": _on(jobs.job_timeouts, "orders"),
     "dashboard": _on(jobs.dashboard, "orders"),
     "status_requests": _on(jobs.status_requests, "events", "orders"),
     "download_requests": _on(jobs.download_requests, "events", "orders"),

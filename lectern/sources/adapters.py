@@ -12,12 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from lectern.functions.scalars import MAX_MB
+
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, modified, bytes of the files under a folder of any store; contents are read only if asked for."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
 
 
+def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that land in a folder, as a stream: path, name, mb, code (400: no PDF, 413: too large, 200) without content."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    name, mb = F.element_at(F.split("path", "/"), -1), F.col("length") / 1048576
+    code = F.when(~F.lower(name).endswith(".pdf"), 400).when(mb > MAX_MB, 413).otherwise(200)
+    return spark.readStream.format("binaryFile").schema(schema).load(folder).select("path", name.alias("name"), mb.alias("mb"), code.alias("code"))
+
+
 def page_source(docs: DataFrame, analyzers: list[Callable[[pd.Series], pd.Series]], column: str = "text") -> DataFrame:
     """docs plus `answer` and `analyzer`: the first analyzer (local model, hosted model, rules) whose answer isn't null.
     A batch goes to the next analyzer with only those rows that are still open, so later ones are not called in vain. Input

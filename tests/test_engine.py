@@ -165,7 +165,7 @@ def test_put_again_changes_nothing(spark):
 
 
 def test_requests(spark):
-    orders = spark.createDataFrame([(4, "O"), (5, "F"), (8, "F"), (9, "F"), (36, "F")], "o_orderkey bigint, o_orderstatus string").withColumn("o_orderdate", F.timestamp_ntz_from_parts(F.lit(1998), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5.5))) if hasattr(F, "timestamp_ntz_from_parts") else spark.createDataFrame([(4, "O"), (5, "F"), (8, "F"), (9, "F"), (36, "F")], "o_orderkey bigint, o_orderstatus string").withColumn("o_orderdate", F.lit("1998-01-02 03:04:05.5").cast("timestamp_ntz"))
+    orders = spark.createDataFrame([(4, "O"), (5, "F"), (8, "F"), (9, "F"), (36, "F")], "o_orderkey bigint, o_orderstatus string").withColumn("o_orderdate", F.lit("1998-01-02 03:04:05.5").cast("timestamp_ntz"))
     events = spark.createDataFrame([(i,) for i in (4, 5, 8, 9, 36, 77, 7, 405)], "event_id bigint")
     got = {r.request: (r.code, r.filename) for r in jobs.download_requests(events, orders).collect()}
     assert got == {4: (400, None), 5: (200, "5_ada_compliant.pdf"), 8: (200, "8_accessible.docx"), 9: (500, None), 36: (500, None), 77: (404, None), 7: (404, None), 405: (200, "5_accessible.docx")}
@@ -197,6 +197,21 @@ def test_files_and_sink(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.bytes) for r in adapters.files(spark, f"{tmp_path}/in", "*.pdf").select("path", "bytes").collect()] == [("x.pdf", 5)]
 
 
+def test_uploads_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, n in (("a.PDF", 10), ("b.txt", 10), ("c.pdf", 51 << 20)):
+        (tmp_path / "in" / name).write_bytes(b"x" * n)
+    out = f"{tmp_path}/out"
+    adapters.uploads(spark, f"{tmp_path}/in").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.name, r.code) for r in spark.read.parquet(out).collect()) == [("a.PDF", 200), ("b.txt", 400), ("c.pdf", 413)]
+
+
+def test_dense_index_of_sparse_ids(spark):
+    rows = [(i * 10**12 - 5, "a b c\na b c") for i in range(40)]
+    got = structure.parent_tree(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).orderBy("doc_id").collect()
+    assert [r.tree_idx for r in got] == list(range(40))
+
+
 def test_source_keeps_any_schema(spark):
     df = spark.createDataFrame([(1, "a", {"x": [1]}, "old")], "i int, text string, `odd name` struct<x: array<int>>, answer string")
     got = adapters.page_source(df, [lambda x: x.str.upper()])
