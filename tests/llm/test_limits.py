@@ -284,9 +284,10 @@ def test_singular_vectors_are_those_of_the_matrix(spark):
             own = ids[i : i + latent_decontamination.PASSAGE]
             rows.append(v * idf / math.sqrt((idf[own] ** 2).sum()))
     a = np.array(rows)
-    _, want, vt = np.linalg.svd(a, full_matrices=False)
+    used = np.nonzero(a.any(axis=0))[0]
+    _, want, vt = np.linalg.svd(a[:, used], full_matrices=False)
     assert len(rows) == n and tasks == 5 and np.allclose(s[:6], want[:6], rtol=1e-3)
-    assert np.linalg.norm(vt[:6] @ u, axis=1).min() > 0.999
+    assert np.linalg.norm(vt[:6] @ u[used], axis=1).min() > 0.999
 
 
 @pytest.mark.parametrize("items", [3, 10_000])
