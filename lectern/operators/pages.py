@@ -7,6 +7,9 @@ rows of a table and the sizes of a document's pages, a user's events are a page'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,12 @@ def page_inputs(docs: DataFrame, lineitem: DataFrame) -> DataFrame:
     return at.select("doc_id", "page", F.left(F.coalesce("text", F.lit("")), F.lit(HINT_CHARS)).alias("hint"), w.alias("w"), h.alias("h"), s.orientation(w, h).alias("orientation"))
 
 
+def sized_pages(docs: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """doc_id, page, n_chars, w: pages that both the analysis and the file have, by position; what either has beyond goes."""
+    both = page_text(docs).join(page_sizes(lineitem), ["doc_id", "page"])
+    return both.select("doc_id", "page", F.length("text").alias("n_chars"), "w")
+
+
 def page_rows(docs: DataFrame, lineitem: DataFrame) -> DataFrame:
     """doc_id, page, kind (page_break or section), w, h, orientation: what a writer puts after a page that has elements and
     isn't the last: a break, and a section where both pages have sizes that differ. Pages without elements get neither."""
@@ -169,29 +178,20 @@ def page_structure(events: DataFrame) -> DataFrame:
 
 def assign(pages: DataFrame) -> DataFrame:
     """page, blocks (block, type, tokens, in order), elements (tag, tokens) -> page, block, tag, mcid. An image takes the next
-    id as a figure; a text block takes the unused element of the greatest overlap over the larger token count, the earliest
-    of equals, if above MATCH_SCORE, and the next id; others get none. One fold over a page's blocks."""
-    state = F.struct(F.expr("cast(array() as array<int>)").alias("used"), F.expr("cast(array() as array<struct<block: int, tag: string, mcid: int>>)").alias("out"))
-
-    def put(acc, block, tag):
-        return F.concat(acc["out"], F.array(F.struct(block.cast("int").alias("block"), tag.alias("tag"), F.size(acc["out"]).alias("mcid"))))
-
-    def step(acc, b):
-        def score(e, j):
-            common = F.size(F.array_intersect(b["tokens"], e["tokens"])) / F.greatest(F.size(b["tokens"]), F.size(e["tokens"]))
-            return F.when((F.size(e["tokens"]) > 0) & ~F.array_contains(acc["used"], j), F.struct(common.alias("score"), (-j).alias("e"), e["tag"].alias("tag")))
-
-        hit = F.array(F.struct(acc.alias("a"), F.array_max(F.transform("elements", score)).alias("b")))
-
-        def take(_, x):
-            done = F.struct(F.concat(x["a"]["used"], F.array((-x["b"]["e"]).cast("int"))).alias("used"), put(x["a"], b["block"], x["b"]["tag"]).alias("out"))
-            return F.when(x["b"].isNotNull() & (x["b"]["score"] > s.MATCH_SCORE), done).otherwise(x["a"])
+    id as a figure; a text block takes an element (see structure.greedy) and the next id, or neither."""
 
-        image = F.struct(acc["used"].alias("used"), put(acc, b["block"], F.lit("Figure")).alias("out"))
-        return F.when(b["type"] == "image", image).when(F.size(b["tokens"]) == 0, acc).otherwise(F.aggregate(hit, state, take))
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i in range(batch.num_rows):
+                blocks, made = batch.column("blocks")[i].as_py(), batch.column("elements")[i].as_py()
+                own = structure.greedy([None if b["type"] == "image" else b["tokens"] for b in blocks], [e["tokens"] for e in made])
+                rows += [i] * len(own)
+                found += [(blocks[b]["block"], "Figure" if e < 0 else made[e]["tag"], k) for k, (b, e) in enumerate(own)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(rows, pa.int64())), *columns], ["page", "block", "tag", "mcid"])
 
-    found = pages.select("page", F.aggregate("blocks", state, step).alias("m"))
-    return found.select("page", F.explode("m.out").alias("x")).select("page", "x.block", "x.tag", "x.mcid")
+    return pages.select("page", "blocks", "elements").mapInArrow(match, f"page {pages.schema['page'].dataType.simpleString()}, block int, tag string, mcid int")
 
 
 def assignments(events: DataFrame) -> DataFrame:
@@ -248,6 +248,7 @@ from n left join (select * from pt where doc_id % 5 <> 0) using (doc_id, page) l
 z as (select a.doc_id, a.page, x.w as w, y.w as nw, y.h as nh from a left join ps x on x.doc_id = a.doc_id and x.page = a.page left join ps y on y.doc_id = a.doc_id and y.page = a.page + 1)
 select doc_id, page, 'page_break' as kind, null::double as w, null::double as h, null::varchar as orientation from z
 union all select doc_id, page, 'section', nw, nh, case when nw > nh then 'LANDSCAPE' else 'PORTRAIT' end from z where abs(nw - w) > 0.1""",
+    "sized_pages": f"{_PT}, {_PS} select doc_id, page, length(text) as n_chars, w from pt join ps using (doc_id, page)",
     "page_tables": f"with {_TR} select doc_id, row, row = 0 as is_header, case when row = 0 then '{HEADER_FILL}' end as fill, cells from tk",
     "column_widths": "with g as (select l_orderkey as doc_id, [sum(case when l_orderkey % 4 = 0 then 0 else l_quantity end), sum(case when l_orderkey % 4 = 0 then 0 else l_discount end), sum(case when l_orderkey % 4 = 0 then 0 else l_tax end)] as ws from lineitem group by 1) select doc_id, unnest([0, 1, 2]) as col, unnest(list_transform(ws, lambda w: round(7.0::double * w / case when list_sum(ws) = 0 then 1 else list_sum(ws) end, 6))) as width from g",
     "analyzer_elements": f"""{_LS}, {_TR}, ex as (select doc_id, ls, {_HEADS} as hs from l), tt as (select doc_id, string_agg(cells, chr(10) order by row) as rows from tk group by doc_id),

@@ -5,6 +5,10 @@ Order within a document (page, user) is a window over that document's own rows;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,29 +112,45 @@ def blocks_and_elements(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", blocks.alias("blocks"), elements.alias("elements"))
 
 
-def block_element_match(docs: DataFrame) -> DataFrame:
-    """doc_id, block, element, mcid: each block in order takes the unused element of the greatest overlap over the larger
-    token count, the earliest of equals, if above 0.2. One fold for each document, no shuffle."""
-    state = F.struct(F.expr("cast(array() as array<int>)").alias("used"), F.expr("cast(array() as array<struct<block: int, element: int, mcid: int>>)").alias("out"))
-
-    def step(acc, b):
-        def score(e, j):
-            common = F.size(F.array_intersect(b["tokens"], e)) / F.greatest(F.size(b["tokens"]), F.size(e))
-            return F.when((F.size(e) > 0) & ~F.array_contains(acc["used"], j), F.struct(common.alias("score"), (-j).alias("e")))
-
-        best = F.array_max(F.transform("elements", score))
-        hit = F.array(F.struct(acc.alias("a"), best.alias("b")))
-
-        def take(_, x):
-            j = (-x["b"]["e"]).cast("int")
-            done = F.struct(F.concat(x["a"]["used"], F.array(j)).alias("used"), F.concat(x["a"]["out"], F.array(F.struct(b["i"].alias("block"), j.alias("element"), F.size(x["a"]["out"]).alias("mcid")))).alias("out"))
-            return F.when(x["b"].isNotNull() & (x["b"]["score"] > s.MATCH_SCORE), done).otherwise(x["a"])
+def greedy(blocks: list[list[str] | None], elements: list[list[str]], least: float = s.MATCH_SCORE) -> list[tuple[int, int]]:
+    """(block, element) of blocks in order: each takes the unused element of the greatest overlap over the larger token
+    count, the earliest of equals, if above `least`. Token sets; None: a block that takes an id but no element (-1).
+    Elements are found by their tokens, so a block costs what its tokens' lists hold, and one look at all scores."""
+    where: dict[str, list[int]] = {}
+    for j, tokens in enumerate(elements):
+        for w in tokens:
+            where.setdefault(w, []).append(j)
+    size, free, out = np.array([len(e) for e in elements], float), np.ones(len(elements), bool), []
+    for i, tokens in enumerate(blocks):
+        if tokens is None:
+            out.append((i, -1))
+            continue
+        hits = [j for w in tokens for j in where.get(w, ())]
+        if hits:
+            score = np.bincount(hits, minlength=len(elements)) / np.maximum(size, len(tokens)) * free
+            best = int(score.argmax())
+            if score[best] > least:
+                out.append((i, best))
+                free[best] = False
+    return out
 
-        return F.when(F.size(b["tokens"]) == 0, acc).otherwise(F.aggregate(hit, state, take))
 
-    blocks = F.transform("blocks", lambda b, i: F.struct(b.alias("tokens"), i.cast("int").alias("i")))
-    found = blocks_and_elements(docs).withColumn("m", F.aggregate(blocks, state, step))
-    return found.select("doc_id", F.explode("m.out").alias("x")).select("doc_id", "x.block", "x.element", "x.mcid")
+def block_element_match(docs: DataFrame) -> DataFrame:
+    """doc_id, block, element, mcid: greedy() over each document's blocks. What a block may take depends on all before it,
+    so a document is one step of Python, a row of a batch at a time; no shuffle."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i in range(batch.num_rows):
+                own = greedy(batch.column("blocks")[i].as_py() or [], batch.column("elements")[i].as_py() or [])
+                rows += [i] * len(own)
+                found += [(b, e, k) for k, (b, e) in enumerate(own)]
+            columns = [pa.array([f[k] for f in found], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *columns], ["doc_id", "block", "element", "mcid"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return blocks_and_elements(docs).mapInArrow(match, f"doc_id {kind}, block int, element int, mcid int")
 
 
 def best_match(docs: DataFrame) -> DataFrame:

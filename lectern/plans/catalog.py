@@ -84,6 +84,7 @@ _QUERIES = {
     "upload_gate": _on(metering.upload_gate, "documents"),
     "page_text": _on(pages.page_text, "documents"),
     "page_inputs": _on(pages.page_inputs, "documents", "lineitem"),
+    "sized_pages": _on(pages.sized_pages, "documents", "lineitem"),
     "page_rows": _on(pages.page_rows, "documents", "lineitem"),
     "page_tables": _on(pages.page_tables, "lineitem"),
     "column_widths": _on(pages.column_widths, "lineitem"),
