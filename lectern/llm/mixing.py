@@ -10,8 +10,8 @@ documents in hashed order within them, until the source's token budget is met; t
 Per-source totals stay a table: a round of the bisection asks it for sums at POINTS exponents at once (exact decimals, so
 that any order of adding gives the same), and only those sums come to the driver; weights and budgets are joined as a table
 that Spark broadcasts if it is small. So the number of sources has no limit. Prefix sums run over blocks within a source and
-over documents within a block, so a source with a third of all rows is no task's group: the blocks of a source are as few
-as its tokens over BLOCK_TOKENS.
+over documents within a block (by parts of it, then within one part), so a source with a third of all rows is no task's
+group: the blocks of a source are as few as its tokens over BLOCK_TOKENS.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens: they cost no budget and come with
 every full pass; sources without tokens get weight zero and are left out; ids may be null or repeat (each row is a document
@@ -121,11 +121,23 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, entropy_share: floa
     passes = passes.withColumn("place", F.row_number().over(order) - 1).withColumn("before", F.sum("size").over(order) - F.col("size") + F.col("pass") * F.col("total"))
     visited = materialize(passes.where("before < budget").select("s", "block", "pass", "place", "before", "weight", "budget", "size"))
     inside = visited.where("before + size <= budget").select("s", "block", "pass", "place", "weight")
-    # the block in which a source's budget ends: documents in hashed order until it is met
+    # the block in which a source's budget ends: documents in hashed order until it is met; those of a first byte of the hash
+    # are drawn as a whole but for the byte in which it ends
     edge = visited.where("before + size > budget")
     cut = entry.select("s", "block", "h", "n").join(edge, (entry["s"].eqNullSafe(edge["s"])) & (entry["block"] == edge["block"])).select(edge["s"].alias("s"), edge["block"].alias("block"), "h", "n", "pass", "place", "before", "budget", "weight")
-    run = Window.partitionBy("s", "block", "pass").orderBy(key("pass", "h"), "h")
-    some = cut.withColumn("so_far", F.sum("n").over(run) - F.col("n")).where("before + so_far < budget").select("s", "block", "pass", "place", "weight", "h")
+    cut = cut.withColumn("order", key("pass", "h")).withColumn("sub", F.shiftright("order", 56))  # the hash's first byte keeps its order
+    group = ["s", "block", "pass"]
+    sums = cut.groupBy(*group, "sub").agg(F.sum("n").alias("size"))
+    upto = Window.partitionBy(*group).orderBy("sub")
+    sums = sums.withColumn("earlier", F.sum("size").over(upto) - F.col("size"))  # over 256 rows at most
+    of = sums.select(F.col("s").alias("s2"), F.col("block").alias("b2"), F.col("pass").alias("p2"), F.col("sub").alias("sub2"), "size", "earlier")
+    cut = cut.join(of, F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")) & (F.col("pass") == F.col("p2")) & (F.col("sub") == F.col("sub2")))
+    start = F.col("before") + F.col("earlier")
+    drawn = ["s", "block", "pass", "place", "weight", "h"]
+    some = cut.where(start + F.col("size") < F.col("budget")).select(*drawn)
+    last = cut.where((start < F.col("budget")) & (start + F.col("size") >= F.col("budget")))
+    run = Window.partitionBy(*group, "sub").orderBy("order", "h")
+    some = some.unionByName(last.withColumn("so_far", F.sum("n").over(run) - F.col("n")).where(start + F.col("so_far") < F.col("budget")).select(*drawn))
     taken = some.groupBy("h", "s", "block", "weight").agg(F.collect_list(F.struct("pass", "place")).alias("extra"))
     whole = inside.groupBy("s", "block", "weight").agg(F.collect_list(F.struct("pass", "place")).alias("draws"))
     named = rows.withColumn("h", key(F.col("row.doc_id"), F.md5(text.cast("binary")))).withColumn("n_tokens", edges.cast("bigint"))
