@@ -3,8 +3,8 @@
 A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Python emits each row's distinct key
 hashes (128 bits); Spark counts distinct documents per hash, pre-aggregated before the shuffle; the frequent hashes go
 back to the rows that hold them, where lines are dropped and the others keep their order. What is joined is written to the
-shared folder first: adaptive execution splits the partition of a line that all documents hold, and a small side is
-broadcast by its real size.
+shared folder first, so adaptive execution splits the partition of a line that all documents hold. Joins are by merging at
+every size: the frequent lines of a corpus grow with it.
 
 Defined cases: a null or empty text is one empty line; keys shorter than min_chars (so empty lines) never go; rows with
 the same doc_id, or with a null one, count as one document; repeated rows are all returned; an empty table gives an empty
@@ -50,7 +50,7 @@ def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = materialize(docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(tidy(hashes), f"doc_id {kind}, t bigint, key binary"))
     often = materialize(pairs.select("doc_id", "key").distinct().groupBy("key").count().where(F.col("count") >= min_docs).select("key"))
-    keys = materialize(pairs.join(often, "key").groupBy("doc_id", "t").agg(F.collect_set("key").alias("keys")))
+    keys = materialize(pairs.join(often.hint("merge"), "key").groupBy("doc_id", "t").agg(F.collect_set("key").alias("keys")))
     for df in (pairs, often):
         drop_materialized(df)
     return keys
@@ -61,7 +61,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     names = docs.columns
     at = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("k"), F.xxhash64("text").alias("t"))
     keys = frequent_keys(docs, min_docs, min_chars).toDF("k2", "t2", "keys")
-    joined = at.join(keys, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left").select("row", "keys")
+    joined = at.join(keys.hint("merge"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left").select("row", "keys")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "row"):
