@@ -176,9 +176,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         return pa.table({"block": _same(table, len(value)), "anchor": value.view(np.int64), "n": n})
 
     seen = materialize(by_block(blocks).applyInArrow(seeds, "block int, anchor bigint, n bigint"))
-    often = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    repeated = materialize(seen.join(often, "anchor").select("block", "anchor"))
-    drop_materialized(seen)
+    # what is joined is written first, and merged at every size: adaptive execution splits a common anchor's partition
+    often = materialize(seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), False)
+    repeated = materialize(seen.join(often.hint("merge"), "anchor").select("block", "anchor"))
+    for df in (seen, often):
+        drop_materialized(df)
 
     def extend(table: pa.Table, marked: pa.Table) -> pa.Table:
         flags, rows = np.sort(marked.column("anchor").to_numpy().view(np.uint64)), []
@@ -196,9 +198,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     parts = materialize(by_block(blocks).cogroup(by_block(repeated)).applyInArrow(extend, "block int, anchor bigint, lo bigint, hi int, n bigint"))
     drop_materialized(repeated)
     classes = materialize(parts.groupBy("anchor", "lo", "hi").agg(F.sum("n").alias("n")))
-    mixed = classes.groupBy("anchor").count().where(F.col("count") > 1).select("anchor")
+    mixed = materialize(classes.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), False)
     # of these anchors, classes of two or more are settled, but their windows count for the other classes
-    open_ = materialize(parts.join(mixed, "anchor").select("block", "anchor").distinct())
+    open_ = materialize(parts.join(mixed.hint("merge"), "anchor").select("block", "anchor").distinct())
 
     def windows_of(table: pa.Table, marked: pa.Table) -> pa.Table:
         flags, keys = np.sort(marked.column("anchor").to_numpy().view(np.uint64)), [np.empty(0, [("lo", "<i8"), ("hi", "<i4")])]
@@ -212,10 +214,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     each = materialize(by_block(blocks).cogroup(by_block(open_)).applyInArrow(windows_of, "block int, lo bigint, hi int, n bigint"))
     drop_materialized(open_)
-    twice = each.groupBy("lo", "hi").agg(F.sum("n").alias("n")).where("n > 1").select("lo", "hi")
-    whole = classes.where("n > 1").select("lo", "hi").distinct()
-    marks = materialize(each.join(twice, ["lo", "hi"]).select("block", F.lit(False).alias("whole"), "lo", "hi").unionByName(parts.join(whole, ["lo", "hi"]).select("block", F.lit(True).alias("whole"), "lo", "hi").distinct()))
-    for df in (each, parts, classes):
+    twice = materialize(each.groupBy("lo", "hi").agg(F.sum("n").alias("n")).where("n > 1").select("lo", "hi"), False)
+    whole = materialize(classes.where("n > 1").select("lo", "hi").distinct(), False)
+    of_windows = each.join(twice.hint("merge"), ["lo", "hi"]).select("block", F.lit(False).alias("whole"), "lo", "hi")
+    of_classes = parts.join(whole.hint("merge"), ["lo", "hi"]).select("block", F.lit(True).alias("whole"), "lo", "hi").distinct()
+    marks = materialize(of_windows.unionByName(of_classes))
+    for df in (each, parts, classes, mixed, twice, whole):
         drop_materialized(df)
 
     def cut(table: pa.Table, marked: pa.Table) -> pa.Table:
