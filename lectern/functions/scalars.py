@@ -17,6 +17,8 @@ MATCH_SCORE = 0.2
 TAGS = {"paragraph": "P", "table": "Table", "list": "L", "caption": "Caption", "image_alt": "Figure"}
 GROUPING = {"Table": "Caption", "L": "P"}
 BACKENDS = {"ollama": "Local AI", "claude": "Hosted AI", "mock": "Text only"}
+#: Endings of output files.
+DOCX_END, PDF_END, DOWNLOAD_END = "_accessible.docx", "_ada.pdf", "_ada_compliant.pdf"
 
 
 def lookup(names: dict[str, str], key: Column, default: Column) -> Column:

@@ -35,8 +35,8 @@ def with_ids(uploads: DataFrame) -> DataFrame:
 
 
 def paths(key: Column) -> dict[str, Column]:
-    docx = F.concat(F.lit("/out/"), key.cast("string"), F.lit("_accessible.docx"))
-    return {"pdf_path": F.concat(F.lit("/up/"), key.cast("string"), F.lit(".pdf")), "output_path": docx, "output_pdf": F.replace(docx, F.lit(".docx"), F.lit("_ada.pdf"))}
+    docx = F.concat(F.lit("/out/"), key.cast("string"), F.lit(s.DOCX_END))
+    return {"pdf_path": F.concat(F.lit("/up/"), key.cast("string"), F.lit(".pdf")), "output_path": docx, "output_pdf": F.replace(docx, F.lit(".docx"), F.lit(s.PDF_END))}
 
 
 # ---- the job store ----
@@ -133,7 +133,7 @@ def download_requests(events: DataFrame, orders: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.element_at(F.split("pdf_path", "/"), -1), r"\.[^.]*$", "")
     ok = found.withColumn("code", code).withColumn("pdf", pdf)
     pick = lambda a, b: F.when(F.col("code") == 200, F.when(F.col("pdf"), a).otherwise(b))
-    return ok.select("request", "code", pick(F.col("output_pdf"), F.col("output_path")).alias("path"), pick(F.lit(PDF), F.lit(DOCX)).alias("media"), pick(F.concat(stem, F.lit("_ada_compliant.pdf")), F.element_at(F.split("output_path", "/"), -1)).alias("filename"))
+    return ok.select("request", "code", pick(F.col("output_pdf"), F.col("output_path")).alias("path"), pick(F.lit(PDF), F.lit(DOCX)).alias("media"), pick(F.concat(stem, F.lit(s.DOWNLOAD_END)), F.element_at(F.split("output_path", "/"), -1)).alias("filename"))
 
 
 def recheck_requests(events: DataFrame, orders: DataFrame, report: DataFrame) -> DataFrame:

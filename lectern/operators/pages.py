@@ -135,8 +135,8 @@ def document_metadata(docs: DataFrame) -> DataFrame:
     stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_final"))
     given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Given "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, "")
     title = F.coalesce(F.nullif(given, F.lit("")), s.file_title(F.concat(F.lit("/in/"), stem, F.lit(".pdf"))))
-    docx = F.concat(F.lit("/out/"), stem, F.lit("_accessible.docx"))
-    return docs.select("doc_id", title.alias("title"), F.lit("en-US").alias("language"), F.lit("1").alias("part"), F.lit(True).alias("display_title"), docx.alias("docx"), F.replace(docx, F.lit(".docx"), F.lit("_ada.pdf")).alias("pdf"))
+    docx = F.concat(F.lit("/out/"), stem, F.lit(s.DOCX_END))
+    return docs.select("doc_id", title.alias("title"), F.lit("en-US").alias("language"), F.lit("1").alias("part"), F.lit(True).alias("display_title"), docx.alias("docx"), F.replace(docx, F.lit(".docx"), F.lit(s.PDF_END)).alias("pdf"))
 
 
 def outline_entries(docs: DataFrame) -> DataFrame:
