@@ -200,7 +200,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     classes = materialize(parts.groupBy("anchor", "lo", "hi").agg(F.sum("n").alias("n")))
     mixed = materialize(classes.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), False)
     # of these anchors, classes of two or more are settled, but their windows count for the other classes
-    open_ = materialize(parts.join(mixed.hint("merge"), "anchor").select("block", "anchor").distinct())
+    open_ = materialize(parts.join(mixed.hint("merge"), "anchor").select("block", "anchor"))  # some twice; the blocks don't mind
 
     def windows_of(table: pa.Table, marked: pa.Table) -> pa.Table:
         flags, keys = np.sort(marked.column("anchor").to_numpy().view(np.uint64)), [np.empty(0, [("lo", "<i8"), ("hi", "<i4")])]
@@ -217,7 +217,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     twice = materialize(each.groupBy("lo", "hi").agg(F.sum("n").alias("n")).where("n > 1").select("lo", "hi"), False)
     whole = materialize(classes.where("n > 1").select("lo", "hi").distinct(), False)
     of_windows = each.join(twice.hint("merge"), ["lo", "hi"]).select("block", F.lit(False).alias("whole"), "lo", "hi")
-    of_classes = parts.join(whole.hint("merge"), ["lo", "hi"]).select("block", F.lit(True).alias("whole"), "lo", "hi").distinct()
+    of_classes = parts.join(whole.hint("merge"), ["lo", "hi"]).select("block", F.lit(True).alias("whole"), "lo", "hi")
     marks = materialize(of_windows.unionByName(of_classes))
     for df in (each, parts, classes, mixed, twice, whole):
         drop_materialized(df)
