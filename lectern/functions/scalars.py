@@ -76,17 +76,14 @@ def title(x: pd.Series) -> pd.Series:
     return x.str.title()
 
 
-@F.pandas_udf(StringType())
-def decode_bytes(x: pd.Series) -> pd.Series:
+def decoded(b: bytes) -> str:
     """A PDF string: UTF-16 by its byte-order mark, else Windows-1252; undecodable bytes are replaced."""
+    for mark, name in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
+        if b.startswith(mark):
+            return b[2:].decode(name, "replace")
+    return b.decode("cp1252", "replace")
 
-    def one(b):
-        if b is None:
-            return None
-        b = bytes(b)
-        for mark, name in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
-            if b.startswith(mark):
-                return b[2:].decode(name, "replace")
-        return b.decode("cp1252", "replace")
 
-    return x.map(one)
+@F.pandas_udf(StringType())
+def decode_bytes(x: pd.Series) -> pd.Series:
+    return x.map(lambda b: None if b is None else decoded(bytes(b)))

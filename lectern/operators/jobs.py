@@ -229,7 +229,7 @@ def backend_probe(customer: DataFrame) -> DataFrame:
 
 def encoded_pages(docs: DataFrame) -> DataFrame:
     """doc_id, data: bytes of a page (here its text) in base 64 without line breaks, as a model's request holds them."""
-    return docs.select("doc_id", F.translate(F.base64(F.encode(F.left(F.coalesce("text", F.lit("")), F.lit(200)), "UTF-8")), "\r\n", "").alias("data"))
+    return docs.select("doc_id", F.translate(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "\r\n", "").alias("data"))
 
 
 _LOG = """with o as (select o_orderkey as job, o_orderstatus as st, o_orderdate as d, (o_orderkey % 30 + 1)::int as n, greatest(1, (o_orderkey % 30 + 1) // 2)::int as p from orders),
@@ -264,5 +264,5 @@ select request, code, t.job as job, coalesce(status = 'queued' and request = min
     "backend_probe": f"""with c as (select c_custkey as id, c_custkey % 3 = 0 as ollama, c_custkey % 2 = 0 and c_custkey % 10 <> 0 as claude, (c_custkey % 90 + 1)::int as pages from customer), d as (select *, floor(pages * 25 / 10 + 0.5)::int as cents from c)
 select id, ollama, claude, not ollama and not claude or id % 8 = 0 as mock, case when ollama then 'ollama' when claude then 'claude' else 'mock' end as active, case when claude and not ollama then round(pages * 0.025::double, 3) else 0 end as cost,
 case when ollama then 'Local model ({MODEL}) — $0.00' || case when claude then ' + Claude fallback at $0.025/page if needed' else '' end when claude then 'Claude API only — ~$' || cents // 100 || '.' || lpad((cents % 100)::varchar, 2, '0') || ' (' || pages || ' pages × $0.025)' else 'No AI backend available — will fail' end as note from d""",
-    "encoded_pages": "select doc_id, base64(encode(left(coalesce(text, ''), 200))) as data from documents",
+    "encoded_pages": "select doc_id, base64(encode(coalesce(text, ''))) as data from documents",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars as s
 from lectern.operators import audit, elements, jobs, metering, pages, structure
+from lectern.sources import content
+from lectern.streaming import lifecycle
 from lectern.streaming import metering as streams
 
 
@@ -109,6 +111,12 @@ _QUERIES = {
     "usage_lookup": _on(jobs.usage_lookup, "customer", "orders", "lineitem"),
     "backend_probe": _on(jobs.backend_probe, "customer"),
     "encoded_pages": _on(jobs.encoded_pages, "documents"),
+    "page_instructions": content.page_instructions,
+    "event_instructions": content.event_instructions,
+    "shown_text": content.shown_text,
+    "stored_jobs": streams.stored_jobs,
+    "job_transitions": lifecycle.job_transitions,
+    "paid_jobs": lifecycle.paid_jobs,
     "stream_commands": streams.stream_commands,
     "stream_releases": streams.stream_releases,
     "stream_expired": streams.stream_expired,
@@ -130,4 +138,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | streams.SQL | _SQL
+    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | content.SQL | lifecycle.SQL | streams.SQL | _SQL

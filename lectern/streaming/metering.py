@@ -1,11 +1,10 @@
 """Structured Streaming forms of the metered counters, the job log, commands and releases; each equals its batch form on
-all input. Results go to Parquet in the shared folder, none through the driver: rows that are final by append, aggregates by
-foreachBatch, where each batch writes the whole result anew (complete) or its own folder (rows of a batch), so that a batch
-that runs again after a failure changes nothing."""
+all final input. Results go to Parquet in the shared folder, none through the driver: rows that are final by append, rows of
+a batch to a folder of its own, counters and latest states into a keyed store, of which a batch rewrites the buckets it
+touches. A batch that runs again after a failure changes nothing, and no result is written anew as a whole."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +13,11 @@ from pyspark.sql import functions as F
 from lectern.functions import scalars as s
 from lectern.operators import jobs
 from lectern.operators.metering import STATES
+from lectern.sources.keyed import KeyedStore, latest_by, summed
+from lectern.sources.shared import folder
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """All rows of a table as a stream; a table is a folder of files, or one file, which the stream finds in its folder."""
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
@@ -29,28 +30,16 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below /tmp/checkpoints, on one machine alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def run_available(spark: SparkSession, df: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All that is there now through a streaming query. mode: append (final rows), complete (aggregates), or rows (each() of
-    a batch's rows, a folder for each batch)."""
-    at = _folder(spark)
+    """All that is there now through a streaming query. mode: append (final rows), or rows (each() of a batch's rows, a
+    folder for each batch)."""
+    at = folder(spark, "stream")
     out = f"{at}/out"
-    writer = df.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    writer = df.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append")
     if mode == "append":
-        writer = writer.outputMode("append").format("parquet").option("path", out)
-    elif mode == "complete":
-        writer = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        writer = writer.format("parquet").option("path", out)
     else:
-        writer = writer.outputMode("append").foreachBatch(lambda batch, n: each(batch).write.mode("overwrite").parquet(f"{out}/batch={n}"))
+        writer = writer.foreachBatch(lambda batch, n: each(batch).write.mode("overwrite").parquet(f"{out}/batch={n}"))
     writer.start().awaitTermination()
     if mode != "rows":
         return spark.read.schema(df.schema).parquet(out)
@@ -58,40 +47,80 @@ def run_available(spark: SparkSession, df: DataFrame, mode: str, each: Callable[
     return spark.read.schema(found.schema).parquet(out).select(*found.columns)
 
 
-def monthly_usage(stream: DataFrame) -> DataFrame:
-    """user, month, used: calendar months can't be windows, so the month is a key; counters are capped."""
-    return stream.groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.least(F.lit(s.FREE_PAGES), F.count("*")).cast("int").alias("used"))
+def run_into(spark: SparkSession, df: DataFrame, keys: list[str], merge: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame], DataFrame]) -> KeyedStore:
+    """All that is there now into a keyed store: each() of a batch's rows is merged into the buckets that it touches."""
+    at = folder(spark, "stream")
+    store = KeyedStore(spark, f"{at}/store", keys, merge)
+    writer = df.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode("append")
+    writer.foreachBatch(lambda batch, n: store.upsert(each(batch), n) and None).start().awaitTermination()
+    if not store.manifest()["version"]:
+        store.upsert(each(spark.createDataFrame([], df.schema)), 0)
+    return store
+
+
+def monthly_usage(rows: DataFrame) -> DataFrame:
+    """user, month, n of a batch: calendar months can't be windows, so the month is a key."""
+    return rows.groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
 def stream_monthly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_available(spark, monthly_usage(_stream(spark, sf_dir, "events")), "complete")
+    """Counters in a keyed store, which each batch adds to once; capped as they are read."""
+    keys = ["user_id", "month"]
+    store = run_into(spark, stream_of(spark, sf_dir, "events"), keys, summed(keys, "n"), monthly_usage)
+    return store.table().select("user_id", "month", F.least(F.lit(s.FREE_PAGES), F.col("n")).cast("int").alias("used"))
+
+
+def job_states(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id", "ts", "event_id", s.lookup(STATES, F.col("event_type"), F.lit("queued")).alias("status"))
 
 
 def stream_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest state for each user; repeated deliveries change nothing, as the latest (ts, event_id) wins."""
-    state = s.lookup(STATES, F.col("event_type"), F.lit("queued"))
-    last = _stream(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", state.alias("status"))).alias("x"))
-    return run_available(spark, last, "complete").select("user_id", F.col("x.status").alias("status"))
+    """Latest state for each user in a keyed store; repeated deliveries change nothing, as the latest (ts, event_id) wins."""
+    store = run_into(spark, stream_of(spark, sf_dir, "events"), ["user_id"], latest_by(["user_id"], "ts", "event_id"), job_states)
+    return store.table().select("user_id", "status")
+
+
+def stored_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job store after batches of queued, running and ended records and a repeated batch: what readers of the store see."""
+    store = KeyedStore(spark, f"{folder(spark, 'jobs')}/store", ["job"], merged_jobs)
+    log = job_records(jobs.job_log(spark.read.parquet(f"{sf_dir}/orders.parquet")))
+    for n, rows in enumerate((log.where("seq = 0"), log.where("seq = 1"), log.where("seq = 2"))):
+        store.upsert(rows, n)
+    store.upsert(log.where("seq = 1"), 1)
+    return store.table().drop("ts", "seq")
+
+
+def job_records(log: DataFrame) -> DataFrame:
+    ended = F.when(F.col("status").isin("done", "failed"), jobs.iso(F.col("ts")))
+    return log.select("*", jobs.iso(F.col("ts")).alias("created_at"), ended.alias("completed_at"))
+
+
+def merged_jobs(rows: DataFrame) -> DataFrame:
+    """Of each job the latest record, with the time of its first."""
+    rest = [c for c in rows.columns if c not in ("job", "created_at")]
+    now = rows.groupBy("job").agg(F.max(F.struct("ts", "seq", *[c for c in rest if c not in ("ts", "seq")])).alias("x"), F.min("created_at").alias("created_at"))
+    return now.select("job", "x.*", "created_at")
 
 
 def stream_payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payment events of each hour, delivered at least once, counted once: duplicates go within the watermark."""
+    """Payment events of each hour, delivered at least once, counted once: duplicates go within the watermark, and an hour's
+    row leaves, and its state with it, when the watermark has passed the hour."""
     ts = F.col("ts").cast("timestamp")
-    once = _stream(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", ts).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    once = stream_of(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", ts).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     out = once.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("amount"))
-    return run_available(spark, out, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", "amount")
+    return run_available(spark, out, "append").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", "amount")
 
 
 def stream_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands to process an upload, as they come: each batch runs the batch plan of requests, in no order but its own."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return run_available(spark, _stream(spark, sf_dir, "events"), "rows", lambda batch: jobs.process_requests(batch, customer).select("request", "code", "status", "output_pdf"))
+    return run_available(spark, stream_of(spark, sf_dir, "events"), "rows", lambda batch: jobs.process_requests(batch, customer).select("request", "code", "status", "output_pdf"))
 
 
 def stream_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paid jobs: payment events, once each within the watermark, joined with the jobs that are queued."""
     ts = F.col("ts").cast("timestamp")
-    once = _stream(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", ts).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    once = stream_of(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", ts).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     queued = jobs.latest(jobs.job_log(spark.read.parquet(f"{sf_dir}/orders.parquet"))).where("status = 'queued'").select("job")
     return run_available(spark, once.select(F.col("event_id").alias("job"), F.col("ts").cast("timestamp_ntz").alias("paid_at")).join(queued, "job"), "append")
 
@@ -100,13 +129,13 @@ def stream_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files past their lifetime at the time of a sweep (the newest file's), as a stream of a folder's listing."""
     now = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.unix_timestamp(F.max("ts").cast("timestamp"))).first()[0] or 0
     age = F.lit(now) - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    files = _stream(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "signup", "upload").otherwise("output").alias("kind"), age.alias("age"))
+    files = stream_of(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "signup", "upload").otherwise("output").alias("kind"), age.alias("age"))
     return run_available(spark, files.where((F.col("age") > s.OUTPUT_TTL) | ((F.col("kind") == "upload") & (F.col("age") > s.UPLOAD_TTL))), "append")
 
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress rows of jobs as their pages are analysed: percent of each page and the pages still to come."""
-    pages = _stream(spark, sf_dir, "lineitem")
+    pages = stream_of(spark, sf_dir, "lineitem")
     page, n = F.least(F.col("l_linenumber"), F.lit(7)).cast("int"), F.lit(7)
     return run_available(spark, pages.select("l_orderkey", "l_partkey", page.alias("page"), s.progress(page, n).alias("progress"), (n - page).alias("rest")), "append")
 
@@ -114,7 +143,8 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "stream_monthly_usage": "select user_id, strftime(ts, '%Y-%m') as month, least(3, count(*))::int as used from events group by 1, 2",
     "stream_job_status": "select user_id, arg_max(case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'done' when 'error' then 'failed' else 'queued' end, (ts, event_id)) as status from events group by 1",
-    "stream_payment_events": "select date_trunc('hour', ts)::timestamp as hour, count(*) as n, round(sum(value), 4) as amount from events where event_type = 'purchase' group by 1",
+    "stream_payment_events": "with p as (select date_trunc('hour', ts)::timestamp as hour, value, max(ts) over () - interval 1 day as mark from events where event_type = 'purchase') select hour, count(*) as n, round(sum(value), 4) as amount from p where hour + interval 1 hour <= mark group by 1",
+    "stored_jobs": jobs.SQL["job_upsert"],
     "stream_commands": jobs.SQL["process_requests"].replace("select request, code, case when code = 200 then u::varchar end as upload_id,", "select request, code, status, output_pdf from (select request, code, case when code = 200 then u::varchar end as upload_id,") + ")",
     "stream_releases": "select event_id as job, ts as paid_at from (select event_id, min(ts) as ts from events where event_type = 'purchase' group by 1) join orders on o_orderkey = event_id where o_orderstatus = 'O'",
     "stream_expired": "with a as (select event_id, case event_type when 'signup' then 'upload' else 'output' end as kind, (floor(epoch((select max(ts) from events))) - floor(epoch(ts)))::bigint as age from events) select event_id, kind, age from a where age > 86400 or kind = 'upload' and age > 3600",
