@@ -103,8 +103,8 @@ def _some(condition: Column, finding: Column) -> Column:
     return F.filter(F.array(F.when(condition, finding)), lambda x: x.isNotNull())
 
 
-def audit_inputs(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, lang, source, output and missing words, paras (style, text), levels of headings, tables (has a header), alts of images.
+def document_parts(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, lang, text, paras (style, text), tables (has_header, cell), alts of images.
     Lines of a document stand in for styled paragraphs (every fifth a heading; of every seventh document none), lines of an
     order for a document's tables, links of a page for its images, their text as the alternative text."""
     style = lambda i: F.when((F.col("doc_id") % 7 == 3) | (i % 5 != 0), "Normal").when(i % 15 == 10, "Heading Title").otherwise(F.concat(F.lit("Heading "), (F.pmod(F.col("doc_id") + F.floor(i / 5), F.lit(3)) + 1).cast("string")))
@@ -114,7 +114,13 @@ def audit_inputs(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> Data
     alts = alts.select("doc_id", F.transform("alts", lambda x, i: F.when((F.length(x) > 2) | (i % 2 == 0), x).otherwise(" ")).alias("alts"))
     # texts alone are shuffled; what is made of them comes after the joins, in as many tasks as these have
     found = docs.select("doc_id", F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang"), "text").join(tables, "doc_id", "left").join(alts, "doc_id", "left")
-    found = found.withColumn("lines", t.lines(F.col("text"))).withColumn("paras", paras)
+    found = found.withColumn("lines", t.lines(F.col("text")))
+    return found.select("doc_id", "lang", "text", paras.alias("paras"), "tables", "alts")
+
+
+def audit_inputs(found: DataFrame) -> DataFrame:
+    """doc_id, lang, source, output and missing words of parts (see document_parts), paras, levels of headings, tables (has a
+    header), alts."""
     heads = F.transform(F.filter("paras", lambda p: p["style"].startswith("Heading ")), lambda p: F.element_at(F.split(p["style"], " "), -1).try_cast("int"))
     kept = F.concat_ws(" ", F.transform("paras", lambda p: p["text"]), F.transform("tables", lambda x: x["cell"]))
     found = found.select("doc_id", "lang", "paras", F.filter(heads, lambda x: x.isNotNull()).alias("levels"), F.transform("tables", lambda x: x["has_header"]).alias("tables"), "alts", t.coverage_words(F.col("text")).alias("source"), t.coverage_words(kept).alias("output"))
@@ -176,23 +182,27 @@ def coverage_rule() -> Column:
 RULES = (language_rule, hierarchy_rule, empty_headings_rule, tables_rule, alt_text_rule, coverage_rule)
 
 
-def _audited(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
-    return audit_inputs(docs, lineitem, pages).select("doc_id", F.concat(*[r() for r in RULES]).alias("issues"))
+def _audited(parts: DataFrame) -> DataFrame:
+    return audit_inputs(parts).select("doc_id", F.concat(*[r() for r in RULES]).alias("issues"))
 
 
 def audit_issues(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, seq, severity, category, message: all findings of all rules, in order."""
-    return elements.in_order(_audited(docs, lineitem, pages), ["doc_id"], "issues", "seq", "i").select("doc_id", "seq", "i.severity", "i.category", "i.message")
+    return elements.in_order(_audited(document_parts(docs, lineitem, pages)), ["doc_id"], "issues", "seq", "i").select("doc_id", "seq", "i.severity", "i.category", "i.message")
 
 
 def audit_report(docs: DataFrame, lineitem: DataFrame, pages: DataFrame) -> DataFrame:
+    return report_of(document_parts(docs, lineitem, pages))
+
+
+def report_of(parts: DataFrame) -> DataFrame:
     """A row for each document: the printed report (categories in the order of their first finding), its counts, the raw
     counters (see report), PASS or FAIL, and the exit code."""
     of = lambda sev: F.size(F.filter("issues", lambda i: i["severity"] == sev))
     categories = F.array_distinct(F.transform("issues", lambda i: i["category"]))
     block = lambda c: F.concat(F.lit("["), c, F.lit("]\n"), F.array_join(F.transform(F.filter("issues", lambda i: i["category"] == c), lambda i: i["message"]), "\n"))
     status = F.when(of("error") == 0, "PASS").otherwise("FAIL")
-    return _audited(docs, lineitem, pages).select(
+    return _audited(parts).select(
         "doc_id", of("error").alias("n_errors"), of("warning").alias("n_warnings"), (2 * of("info") + of("warning")).alias("passed_raw"), (2 * of("error")).alias("failed_raw"),
         F.array_join(F.transform(categories, block), "\n").alias("report"), status.alias("status"), F.when(of("error") == 0, 0).otherwise(1).alias("exit_code"),
     )
@@ -241,7 +251,11 @@ fi as (select doc_id, list_concat(
   case when len(source) = 0 then [{_f('warning', 'Coverage', "'Could not extract text from source PDF for comparison'")}] else list_concat([case when cover >= 90 then {_f('info', 'Coverage', "'Text coverage: ' || pct || '% (' || len(source) || ' source words)'")} when cover >= 75 then {_f('warning', 'Coverage', "'Text coverage: ' || pct || '% — some content may be missing'")} else {_f('error', 'Coverage', "'Text coverage: ' || pct || '% — significant content loss detected'")} end],
     case when len(missing) between 1 and 20 then [{_f('warning', 'Coverage', "'Missing words sample: ' || array_to_string(list_sort(missing), ', ')")}] else [] end) end) as xs from z)"""
 _OF = lambda sev: f"len(list_filter(xs, lambda i: i.severity = '{sev}'))"
+SQL["package_paragraphs"] = f"{_AUDIT}, v as (select doc_id, unnest(range(0, len(ps))) as i, unnest(ps) as p from pa) select doc_id, 'Document ' || doc_id as title, i, p.style as style, p.text as text from v"
+SQL["package_tables"] = f"""{_AUDIT}, v as (select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_tax < 0.06, l_returnflag) - 1 as i, l_tax < 0.06 as has_header, l_returnflag as cell from lineitem)
+select doc_id, coalesce(len(xs), 0) as n_images, coalesce(na, 0) as n_without_alt, i, has_header, cell from v join r using (doc_id)"""
 SQL["audit_issues"] = f"{_AUDIT}, u as (select doc_id, unnest(range(0, len(xs))) as seq, unnest(xs) as i from fi) select doc_id, seq, i.severity as severity, i.category as category, i.message as message from u"
 SQL["audit_report"] = f"""{_AUDIT}, u as (select doc_id, unnest(range(0, len(xs))) as seq, unnest(xs) as i from fi), g as (select doc_id, i.category as category, min(seq) as nth, '[' || i.category || ']' || chr(10) || string_agg(i.message, chr(10) order by seq) as part from u group by doc_id, i.category),
 t as (select doc_id, string_agg(part, chr(10) order by nth) as report from g group by doc_id)
 select doc_id, {_OF('error')} as n_errors, {_OF('warning')} as n_warnings, 2 * {_OF('info')} + {_OF('warning')} as passed_raw, 2 * {_OF('error')} as failed_raw, report, case when {_OF('error')} = 0 then 'PASS' else 'FAIL' end as status, case when {_OF('error')} = 0 then 0 else 1 end as exit_code from fi join t using (doc_id)"""
+SQL["package_report"] = SQL["audit_report"]

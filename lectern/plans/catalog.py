@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as s
-from lectern.operators import audit, elements, jobs, metering, pages, structure
-from lectern.sources import content
+from lectern.operators import answers, audit, elements, jobs, metering, pages, rasters, runs, structure
+from lectern.sources import content, docx
 from lectern.streaming import lifecycle
 from lectern.streaming import metering as streams
 
@@ -114,6 +114,13 @@ _QUERIES = {
     "page_instructions": content.page_instructions,
     "event_instructions": content.event_instructions,
     "shown_text": content.shown_text,
+    "raster_similarity": _on(rasters.raster_similarity, "embeddings"),
+    "answer_fields": _on(answers.answer_fields, "events"),
+    "dispatched_pages": answers.dispatched_pages,
+    "executed_jobs": runs.executed_jobs,
+    "package_paragraphs": docx.package_paragraphs,
+    "package_tables": docx.package_tables,
+    "package_report": docx.package_report,
     "stored_jobs": streams.stored_jobs,
     "job_transitions": lifecycle.job_transitions,
     "paid_jobs": lifecycle.paid_jobs,
@@ -138,4 +145,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | content.SQL | lifecycle.SQL | streams.SQL | _SQL
+    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | content.SQL | rasters.SQL | answers.SQL | runs.SQL | lifecycle.SQL | streams.SQL | _SQL
