@@ -3,13 +3,12 @@
 1. Document frequencies of hashed words over all passages of all documents.
 2. Randomised SVD of the corpus's TF-IDF passage matrix A in one pass: every task adds up its part of Y = A'A Omega for one
    Gaussian Omega; singular vectors and values of A follow from Y and Omega'Y (Nystroem form for a positive matrix).
-3. Words are counted without any weights (`probe`): a stretch of text that has fewer of an item's words than a leak needs
-   can't be one; every other stretch is a candidate. A leak leaves out few of an item's words, so it holds some of any
-   few that are chosen: lists of the corpus's rarest words of each item (`_lists`) lead from a text's words to the items
-   worth counting, exactly, and the work follows the hits of rare words, not texts times items. Half-overlapping windows
-   of a candidate and those of its item are projected to the latent space, components scaled by one over the singular
-   value; candidates of greater cosine come first, and what they settle is not looked at again. So verdicts depend on no
-   limit of the cosine or of words' weights.
+3. Half-overlapping windows of every text and of every item are projected to the latent space, components scaled by one over
+   the singular value. A text's window and an item of whose windows one has a cosine of NEAR or more make a candidate
+   (`near`). What can't be a leak is then dropped by exact counts (`probe`): a leak leaves out few of an item's words, so it
+   holds some of any few that are chosen, here the corpus's rarest of each item (`_lists`), and a stretch with fewer of an
+   item's words than a leak needs is none. Items whose windows have no direction in that space, as their words together
+   weigh less than a few chance neighbours do, are searched by these counts alone (`directed`).
 4. The longest common subsequence decides: a leak if it has STRONG of the item's words, or WEAK of them and the item's
    answer (the words of its last clause) in it, in some stretch of the item's length and a half (`_reach`).
 
@@ -35,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_of, texts, tidy
 
 VOCABULARY, RANK, SEED = 1 << 15, 48, 5
+#: Least cosine of a candidate, and item windows that are compared with a slice of texts at once.
+NEAR, QUERIES = 0.25, 512
 #: Words of a passage (for counts and SVD) and of a search window; windows start at every half.
 PASSAGE, HALF = 24, 12
 ITEMS, ITEM_BYTES = 10_000, 16 << 20
@@ -236,8 +237,18 @@ class Searcher:
             self.start.append(len(windows))
         self.queries = self._project(windows)
         if self.items:
+            self.directed = self._directed(windows, frequency, idf)
             self._prepare(frequency)
 
+    def _directed(self, windows: list[list[bytes]], frequency: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Of each item, whether all its windows have a direction: they outweigh the words that may stand beside a part of
+        them in a text's window (a quarter of one, of the corpus's mean weight)."""
+        ids, sizes = _hashed([b" ".join(w) for w in windows])
+        first = np.cumsum(sizes) - sizes
+        weight = _sums(_padded(idf[:, None] ** 2), ids, first, 2 * HALF)[:, 0]
+        stray = HALF / 2 * (frequency * idf**2).sum() / max(frequency.sum(), 1)
+        return np.logical_and.reduceat(weight >= stray, self.start[:-1])
+
     def _project(self, windows: list[list[bytes]]) -> np.ndarray:
         ids, sizes = _hashed([b" ".join(w) for w in windows])
         first = np.cumsum(sizes) - sizes
@@ -250,32 +261,29 @@ class Searcher:
             return out
         lines = [normal(t) for t in docs]
         split: dict[int, list[bytes]] = {}  # words of the few texts that have candidates
-        for d, at, k in self.ranked(list(self.probe(lines)), lines, split):
+        for d, at, k in self.probe(lines):
+            if d not in split:
+                split[d] = lines[d].split()
             if out[d].get(self.ids[k], 0.0) < 1 and (share := self.stretches(split[d], at, k)):
                 out[d][self.ids[k]] = max(share, out[d].get(self.ids[k], 0.0))
         return out
 
-    def ranked(self, found: list[tuple[int, int, int]], lines: list[bytes], split: dict[int, list[bytes]]) -> list[tuple[int, int, int]]:
-        """Candidates by falling cosine of their likest windows. split gets the words of their texts."""
-        for d, _, _ in found:
-            if d not in split:
-                split[d] = lines[d].split()
-        windows, of = [], []
-        for i, (d, at, k) in enumerate(found):
-            for a in range(at, at + max(self._reach(k) - HALF, 1), HALF):
-                if part := split[d][a : a + 2 * HALF]:
-                    windows.append(part)
-                    of.append(i)
-        best = np.full(len(found), -1.0)
-        if windows:
-            v = self._project(windows)
-            for i, x in zip(of, v, strict=True):
-                own = self.queries[self.start[found[i][2]] : self.start[found[i][2] + 1]]
-                best[i] = max(best[i], float((own @ x).max()))
-        return [found[i] for i in np.argsort(-best, kind="stable")]
+    def near(self, ids: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """item * (halves + 1) + half, ascending, of the candidates: windows that begin at a half and items near them."""
+        vectors = _sums(self.words, ids, first, HALF)
+        same = np.nonzero(text[1:] == text[:-1])[0]
+        vectors[same] += vectors[same + 1]  # a fresh copy on the right, so halves are those of before
+        windows, found, k = np.ascontiguousarray(_unit(vectors).T), [np.zeros(0, np.int64)], 0
+        while k < len(self.items):
+            to = max(k + 1, int(np.searchsorted(self.start, self.start[k] + QUERIES, side="right")) - 1)
+            cosines = self.queries[self.start[k] : self.start[to]] @ windows
+            item, half = np.nonzero(np.maximum.reduceat(cosines, np.array(self.start[k:to]) - self.start[k], axis=0) >= NEAR)
+            found.append((item + k).astype(np.int64) * (len(first) + 1) + half)
+            k = to
+        return np.concatenate(found)
 
     def probe(self, lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(text, first word in the text, item) of all stretches that have enough of an item's words for a leak. A stretch
+        """(text, first word in the text, item) of the stretches around candidates that have enough of an item's words for a leak. A stretch
         from one half's start on holds all those of `_reach` words that begin in the half. Counted in buckets, so words that
         share one only add candidates: none is lost."""
         ids, sizes = _hashed(lines)
@@ -286,6 +294,12 @@ class Searcher:
         opening = np.searchsorted(text, text)  # first half of the same text
         half = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
         starts, items = self._starts(ids, half, opening)
+        # of these stretches, those in which a candidate window lies
+        candidates, key = self.near(ids, first, text), items * (len(first) + 1) + starts
+        after = np.searchsorted(text, text[starts], side="right") if len(starts) else starts
+        ends = items * (len(first) + 1) + np.minimum(starts + self.span[items], after)
+        kept = (np.searchsorted(candidates, ends) > np.searchsorted(candidates, key)) | ~self.directed[items]
+        starts, items = starts[kept], items[kept]
         edges = np.nonzero(np.diff(items, prepend=-1, append=-1))[0]
         row = np.zeros(VOCABULARY, np.int16)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
