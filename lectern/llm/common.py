@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,18 @@ def drop_materialized(df: DataFrame) -> None:
 
 
 def with_block(df: DataFrame, text: str, *keys: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Add `block`: a hash of the row's keys and text, modulo a count that grows with the bytes of text. Equal at every
-    recomputation, and no source, language or group of near copies shares a block by design."""
+    """Add `block`: a hash of the row's keys, text and place in its file, modulo a count that grows with the bytes of text.
+    Equal at every recomputation; no source, language or group of copies shares a block by design, and neither do rows that
+    are equal in all columns. Rows that don't come straight from files are written first, so that they have a place."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = materialize(df)
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(math.ceil(total / block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.withColumn("block", F.pmod(F.xxhash64(*keys, F.md5(text)), F.lit(n)).cast("int"))
+    place = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return df.withColumn("block", F.pmod(F.xxhash64(*keys, F.md5(text), *place), F.lit(n)).cast("int"))
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

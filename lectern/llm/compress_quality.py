@@ -3,9 +3,8 @@
 Texts are cut into pieces; each piece is compressed with either dictionary, and the difference of the two sizes over their
 sum says which class it resembles. A logistic curve over that difference and the compressed shares, fitted on labelled
 rows that the dictionaries have not seen, turns it into a probability. At most `per_class` labelled rows of each class are
-used for fitting (a documented bound; one row of a repeated id). A dictionary is made from pieces spread evenly over each
-whole text (DICT_PIECES at most of one text, so that no long text fills it); the curve is fitted on sizes of whole texts,
-measured where the rows are; scoring reads every byte of every text.
+used for fitting (a documented bound; one row of a repeated id). A dictionary is made from all pieces of all their texts;
+the curve is fitted on sizes of whole texts, measured where the rows are; scoring reads every byte of every text.
 
 Defined cases: a null or empty text gets the share of good labels as its score; without labels of both classes every score
 is 0.5; with a single label of one class, which no dictionary can be made without, the curve has fixed weights; ids may repeat or be null; empty tables give empty results; inputs of a score are the text alone.
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_materialized, held_out, labelled_sample, materialize, one_text_each, slices, text_of, texts, tidy
 
-PER_CLASS, PIECE, DICT_PIECES, DICT_BYTES, LEVEL = 1200, 1024, 16, 110_000, 3
+PER_CLASS, PIECE, DICT_BYTES, LEVEL = 1200, 1024, 110_000, 3
 RIDGE = 0.1
 
 
@@ -34,15 +33,6 @@ def pieces(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip(cut, cut[1:], strict=False)] if text else []
 
 
-def spread(text: bytes) -> list[bytes]:
-    """At most DICT_PIECES of a text's pieces, evenly over its whole length."""
-    n = max(1, round(len(text) / PIECE))
-    if n <= DICT_PIECES:
-        return pieces(text)
-    at = [i * (n - 1) // (DICT_PIECES - 1) for i in range(DICT_PIECES)]
-    return [text[len(text) * i // n : len(text) * (i + 1) // n] for i in at]
-
-
 def dictionary(some: list[bytes]) -> bytes:
     """A dictionary of the given pieces."""
     try:
@@ -121,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([spread(t) if t.strip() else [] for t in texts(b.column("text"))], pa.list_(pa.binary()))], ["doc_id", "y", "pieces"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([pieces(t) if t.strip() else [] for t in texts(b.column("text"))], pa.list_(pa.binary()))], ["doc_id", "y", "pieces"])
 
     found = [(r["doc_id"], r["y"], [bytes(p) for p in r["pieces"]]) for r in rows.mapInArrow(tidy(cut), f"doc_id {kind}, y int, pieces array<binary>").collect()]
     found = sorted((r for r in found if r[2]), key=lambda r: (hash_order(r[0]), str(r[0])))

@@ -9,8 +9,11 @@ rejected node is taken. Narrow plan: no shuffle; a page's HTML is read whole.
 Text of taken nodes: character references decoded, white space inside a block turned into one space and trimmed; blocks are
 joined in page order by one \n.
 
-Defined cases: null, empty or blank HTML gives an empty text; a run of text in the body itself is a node like any other,
-and where no node is taken those runs are the text; broken markup is repaired as far as unclosed, stray and nested tags go; page ids may be null or repeat; empty tables
+Defined cases: null, empty or blank HTML gives an empty text; a run of text in the body itself is a node like any other; where
+no node is taken the text is empty; the text of formulas (math) counts, but for their annotations; fallback content of
+object, canvas, audio and video doesn't; time is linear in the page, whatever is unclosed or stray, and features are held
+for 2^14 nodes at once, so a very long page needs a few hundred bytes for each of its blocks; of equal likelihoods the
+labelling that rejects is taken; broken markup is repaired as far as unclosed, stray and nested tags go; page ids may be null or repeat; empty tables
 give empty results; other columns are kept in `row`.
 """
 
@@ -20,7 +23,8 @@ import html
 import math
 import random
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,8 +42,10 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Fixed values of the HTML standard: elements without content, of raw text, never shown as text, and that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
-HIDDEN = frozenset("noscript template object svg math select button canvas audio video".split())  # with tags inside
+HIDDEN = frozenset("noscript template object svg annotation annotation-xml select button canvas audio video".split())  # with tags inside
 ANY_HIDDEN = re.compile("<(?:" + "|".join(sorted(HIDDEN)) + r")\b", re.I)
+#: Nodes whose features are held at once.
+CHUNK = 1 << 14
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head".split())
 ENDS_P = BLOCK - frozenset("body html head caption legend li dd dt td th tr tbody thead tfoot summary figcaption".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("thead tbody tfoot tr td th", ("table",)), "tfoot": ("thead tbody tfoot tr td th", ("table",))}
@@ -69,20 +75,35 @@ FEATURES = (*(f"tag_{t}" for t in TAG_NAMES), *(f"own_{p}" for p in PART_NAMES),
 SWITCH = 1.5
 
 
+_NONE: frozenset = frozenset()
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "children", "items", "chars", "links", "blocks", "marks", "paragraphs", "nodes", "depth")
+    __slots__ = ("tag", "parent", "parts", "children", "items", "chars", "links", "blocks", "marks", "paragraphs", "nodes", "depth", "above", "boxed", "place", "taken", "left")
 
     def __init__(self, tag: str, parent: Node | None, parts: frozenset):
         self.tag, self.parent, self.parts = tag, parent, parts
-        self.children: list[Node] = []
+        self.children: list[Node] | tuple = ()  # most nodes have none
         self.items: list[str | Node] = []  # blocks of own text, and children, in page order
         self.chars = self.links = self.blocks = self.marks = self.paragraphs = self.nodes = 0
         self.depth = parent.depth + 1 if parent else 0
+        # what lies above: named parts, and whether a menu, footer or the like; the place among its siblings
+        self.above: frozenset = _NONE
+        self.boxed = self.place = 0
+        self.taken = self.left = 0.0  # log-likelihoods, see decode()
+
+    def add(self, child: Node) -> None:
+        child.place = len(self.children)
+        if self.children:
+            self.children.append(child)
+        else:
+            self.children = [child]
+        self.items.append(child)
 
 
 def _parts(attributes: str) -> frozenset:
     if "=" not in attributes:
-        return frozenset()
+        return _NONE
     return frozenset(PART_OF[w] for m in ATTRIBUTE.finditer(attributes) for w in (x.lower() for x in WORD.findall(m[1] or m[2] or m[3] or "")) if w in PART_OF)
 
 
@@ -90,6 +111,7 @@ def _hidden(page: str) -> dict[int, int]:
     """Start and end of the elements in HIDDEN that have an end tag of their own, before the block around them ends."""
     out: dict[int, int] = {}
     opened: list[tuple[str, int]] = []
+    names: Counter[str] = Counter()  # of the open ones, so that a stray end tag costs nothing
     skip_to = 0
     for m in TOKEN.finditer(page):
         if m.start() < skip_to:
@@ -103,13 +125,15 @@ def _hidden(page: str) -> dict[int, int]:
                 skip_to = stop.end() if stop else len(page)
             elif name in HIDDEN or name in BLOCK:
                 opened.append((name, m.start()))
-        elif m[1] and ((name := m[1].lower()) in HIDDEN or name in BLOCK):
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == name:
-                    if name in HIDDEN:
-                        out[opened[i][1]] = m.end()
-                    del opened[i:]
+                names[name] += 1
+        elif m[1] and ((name := m[1].lower()) in HIDDEN or name in BLOCK) and names[name]:
+            while True:
+                last, start = opened.pop()
+                names[last] -= 1
+                if last == name:
                     break
+            if name in HIDDEN:
+                out[start] = m.end()
     return out
 
 
@@ -117,6 +141,8 @@ def parse(page: str) -> Node:
     """The tree of block elements below a body."""
     root = Node("body", None, frozenset())
     now, stack = root, []  # stack: open elements (name, node that was current before it)
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name, and of all blocks
+    blocks: list[int] = []
     run: list[str] = []
     linked = run_links = 0
 
@@ -135,17 +161,19 @@ def parse(page: str) -> Node:
                     own = Node("text", now, frozenset())
                     own.items.append(now.items.pop())
                     own.chars, own.links, own.blocks, own.marks = len(text), min(run_links, len(text)), 1, text.count(",") + text.count(".")
-                    now.items.append(own)
-                    now.children.append(own)
+                    now.add(own)
             run, run_links = [], 0
 
     def close(upto: int) -> None:
         nonlocal now, linked
-        if any(name in BLOCK for name, _ in stack[upto:]):
+        if blocks and blocks[-1] >= upto:
             flush()
         for name, before in reversed(stack[upto:]):
             now = before
             linked -= name == "a"
+            places[name].pop()
+            if name in BLOCK:
+                blocks.pop()
         del stack[upto:]
 
     hidden = _hidden(page) if ANY_HIDDEN.search(page) else {}
@@ -162,15 +190,11 @@ def parse(page: str) -> Node:
         end, name = m[1], m[2]
         if end:
             end = end.lower()
-            if end == "p" and all(n != "p" for n, _ in stack) or end == "br":
+            if end == "p" and not places["p"] or end == "br":
                 flush() if end == "p" else run.append(" ")
                 continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == end:
-                    close(i)
-                    break
-                if end not in BLOCK and stack[i][0] in BLOCK:  # an inline end tag does not close a block
-                    break
+            if places[end] and (end in BLOCK or not blocks or places[end][-1] > blocks[-1]):  # an inline end tag does not close a block
+                close(places[end][-1])
             if end in BLOCK:
                 flush()
         elif name:
@@ -196,19 +220,14 @@ def parse(page: str) -> Node:
                 if name in ("html", "body"):
                     continue
                 if name in ENDS_P:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == "p":
-                            close(i)
-                            break
-                        if stack[i][0] in BLOCK:
-                            break
+                    if blocks and stack[blocks[-1]][0] == "p":
+                        close(blocks[-1])
                 elif name in CLOSES:
                     mine, walls = CLOSES[name]
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in walls:
-                            break
-                        if stack[i][0] in mine.split():
-                            close(i)
+                    wall = max((places[w][-1] for w in walls if places[w]), default=-1)
+                    ends = [places[x][i] for x in mine.split() if (i := bisect_right(places[x], wall)) < len(places[x])]
+                    if ends:
+                        close(min(ends))
                 flush()
                 if name == "hr":
                     continue
@@ -216,11 +235,13 @@ def parse(page: str) -> Node:
                 continue
             if name in BLOCK:
                 child = Node(name, now, _parts(m[3]))
-                now.children.append(child)
-                now.items.append(child)
+                now.add(child)
+                blocks.append(len(stack))
+                places[name].append(len(stack))
                 stack.append((name, now))
                 now = child
             else:
+                places[name].append(len(stack))
                 stack.append((name, now))
                 linked += name == "a"
     if at < len(page):
@@ -245,26 +266,31 @@ def nodes_of(root: Node) -> list[Node]:
     return out[1:]
 
 
-def features(root: Node, nodes: list[Node]) -> np.ndarray:
-    x = np.zeros((len(nodes), len(FEATURES)))
-    above: dict[int, tuple[frozenset, int]] = {id(root): (frozenset(), 0)}
+def features(root: Node, nodes: list[Node]) -> Iterator[np.ndarray]:
+    """Features of the nodes, CHUNK of them at a time, parents before children."""
     base = len(TAG_NAMES) + 2 * len(PART_NAMES)
     total = max(root.chars, 1)
-    order = {id(c): i for n in (root, *nodes) for i, c in enumerate(n.children)}
-    tags = {id(n): Counter(c.tag for c in n.children) for n in (root, *nodes) if n.children}
-    for i, n in enumerate(nodes):
-        row, p = x[i], n.parent
-        parts_above, tag_above = above[id(p)]
-        above[id(n)] = (parts_above | n.parts, max(tag_above, n.tag in ("nav", "footer", "aside", "header", "form")))
-        if n.tag in TAG_OF:
-            row[TAG_NAMES.index(TAG_OF[n.tag])] = 1
-        for k in n.parts:
-            row[len(TAG_NAMES) + PART_NAMES.index(k)] = 1
-        for k in parts_above:
-            row[len(TAG_NAMES) + len(PART_NAMES) + PART_NAMES.index(k)] = 1
-        siblings = p.children
-        row[base:] = (tag_above, n.depth, math.log1p(n.chars), n.links / max(n.chars, 1), n.chars / max(n.blocks, 1), n.marks / (n.chars / 50 + 1), math.log1p(n.paragraphs), math.log1p(n.nodes), n.chars / max(p.chars, 1), n.chars / total, order[id(n)] / max(len(siblings) - 1, 1), math.log1p(len(siblings)), tags[id(p)][n.tag] / len(siblings), math.log1p(n.blocks))
-    return x
+    tags: dict[int, Counter] = {}
+    for at in range(0, len(nodes), CHUNK):
+        x = np.zeros((min(CHUNK, len(nodes) - at), len(FEATURES)))
+        for row, n in zip(x, nodes[at : at + CHUNK], strict=True):
+            p = n.parent
+            parts_above, tag_above = p.above, p.boxed
+            n.above = parts_above | n.parts if n.parts else parts_above
+            n.boxed = max(tag_above, n.tag in ("nav", "footer", "aside", "header", "form"))
+            if n.tag in TAG_OF:
+                row[TAG_NAMES.index(TAG_OF[n.tag])] = 1
+            for k in n.parts:
+                row[len(TAG_NAMES) + PART_NAMES.index(k)] = 1
+            for k in parts_above:
+                row[len(TAG_NAMES) + len(PART_NAMES) + PART_NAMES.index(k)] = 1
+            siblings = p.children
+            if id(p) not in tags:
+                tags[id(p)] = Counter(c.tag for c in siblings)
+            row[base:] = (tag_above, n.depth, math.log1p(n.chars), n.links / max(n.chars, 1), n.chars / max(n.blocks, 1), n.marks / (n.chars / 50 + 1), math.log1p(n.paragraphs), math.log1p(n.nodes), n.chars / max(p.chars, 1), n.chars / total, n.place / max(len(siblings) - 1, 1), math.log1p(len(siblings)), tags[id(p)][n.tag] / len(siblings), math.log1p(n.blocks))
+            if n.place == len(siblings) - 1:  # the last one that asks
+                del tags[id(p)]
+        yield x
 
 
 class BoostedTrees:
@@ -318,16 +344,12 @@ class BoostedTrees:
 
 def decode(root: Node, nodes: list[Node], odds: np.ndarray) -> str:
     """The text of the likeliest labelling without a taken node below a rejected one."""
-    taken, left = {}, {}
-    for n, o in zip(reversed(nodes), reversed(odds.tolist()), strict=True):
-        yes, no = -math.log1p(math.exp(-max(-30.0, min(30.0, o)))), -math.log1p(math.exp(max(-30.0, min(30.0, o))))
-        taken[id(n)] = yes + sum(max(taken[id(c)], left[id(c)] - SWITCH) for c in n.children)
-        left[id(n)] = no + sum(left[id(c)] for c in n.children)
-    chosen = lambda n: taken[id(n)] > left[id(n)] - (SWITCH if n.parent is not root else 0)
-    found = [c for c in root.children if chosen(c)]
-    if not found:  # a body's own text counts where nothing else does
-        return "\n".join(n.items[0] for n in root.children if n.tag == "text")
-    out, todo = [], list(reversed(found))
+    for n, o in zip(reversed(nodes), reversed(odds), strict=True):
+        o = max(-30.0, min(30.0, float(o)))
+        n.taken = -math.log1p(math.exp(-o)) + sum(max(c.taken, c.left - SWITCH) for c in n.children)
+        n.left = -math.log1p(math.exp(o)) + sum(c.left for c in n.children)
+    chosen = lambda n: n.taken > n.left - (SWITCH if n.parent is not root else 0)
+    out, todo = [], [c for c in reversed(root.children) if chosen(c)]
     while todo:
         item = todo.pop()
         if isinstance(item, str):
@@ -442,6 +464,20 @@ def loose_pages(n: int = 300, seed: int = 12) -> list[tuple[str, str]]:
     return out
 
 
+def menu_pages(n: int = 60, seed: int = 13) -> list[tuple[str, str]]:
+    """Pages without main text: menus of links in the body itself, with a word or two beside them."""
+    r = random.Random(seed)
+    word = lambda: "x" + "".join(r.choice("aeioubcdlnrst") for _ in range(r.randint(1, 8)))
+    some = lambda k: " ".join(word() for _ in range(k))
+    out = []
+    for _ in range(n):
+        links = [f'<a href="/{i}">{some(r.randint(1, 3))}</a>' for i in range(r.randint(1, 12))]
+        body = r.choice([" | ", " ", "<br>", " &middot; ", "<hr>"]).join(links)
+        body = r.choice([body, f"{some(1)}: {body}", f"<p>{body}</p>", f"<div>{body}</div>", f"{body}<hr>&copy; {some(2)}", "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"])
+        out.append((f"<html><head><title>{some(4)}</title></head><body>{body}</body></html>", ""))
+    return out
+
+
 @cache
 def model() -> BoostedTrees:
     """A node's label: whether its subtree has main text."""
@@ -450,26 +486,44 @@ def model() -> BoostedTrees:
     def has_main(n: Node) -> bool:
         return any(has_main(i) if isinstance(i, Node) else i.startswith("m") for i in n.items)
 
-    for page, _ in (*training_pages(), *loose_pages()):
+    for page, _ in (*training_pages(), *loose_pages(), *menu_pages()):
         root = parse(page)
         nodes = nodes_of(root)
-        xs.append(features(root, nodes))
+        xs += features(root, nodes)
         ys += [has_main(n) for n in nodes]
     return BoostedTrees(np.concatenate(xs), np.array(ys, float))
 
 
 def extract(pages: list[str], trees: BoostedTrees) -> list[str]:
-    roots = [parse(p) if p and not p.isspace() else None for p in pages]
-    nodes = [nodes_of(r) if r else [] for r in roots]
-    x = [features(r, n) for r, n in zip(roots, nodes, strict=True) if n]
-    odds = trees.log_odds(np.concatenate(x)) if x else np.zeros(0)
-    out, at = [], 0
-    for r, n in zip(roots, nodes, strict=True):
-        out.append(decode(r, n, odds[at : at + len(n)]) if r else "")
-        at += len(n)
+    """Main texts of pages; small pages share a call of the trees."""
+    out: list[str] = [""] * len(pages)
+    held: list[tuple[int, Node, list[Node]]] = []
+    for i, page in enumerate(pages):
+        if page and not page.isspace():
+            root = parse(page)
+            held.append((i, root, nodes_of(root)))
+        if held and (i == len(pages) - 1 or sum(len(n) for _, _, n in held) >= CHUNK):
+            odds = _odds(held, trees)
+            for (k, root, nodes), own in zip(held, odds, strict=True):
+                out[k] = decode(root, nodes, own)
+            held = []
     return out
 
 
+def _odds(held: list[tuple[int, Node, list[Node]]], trees: BoostedTrees) -> list[np.ndarray]:
+    sizes, parts, small = [len(n) for _, _, n in held], [], []
+    for _, root, nodes in held:
+        for x in features(root, nodes):
+            small.append(x)
+            if sum(map(len, small)) >= CHUNK:
+                parts.append(trees.log_odds(np.concatenate(small)))
+                small = []
+    if small:
+        parts.append(trees.log_odds(np.concatenate(small)))
+    odds = np.concatenate([np.zeros(0), *parts])
+    return np.split(odds, np.cumsum(sizes)[:-1])
+
+
 def html_extract(pages: DataFrame) -> DataFrame:
     """pages (html, ...) -> `row` (the input columns as a struct) and text."""
     trees = model()
