@@ -268,19 +268,24 @@ class Searcher:
                 out[d][self.ids[k]] = max(share, out[d].get(self.ids[k], 0.0))
         return out
 
-    def near(self, ids: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """item * (halves + 1) + half, ascending, of the candidates: windows that begin at a half and items near them."""
+    def near(self, ids: np.ndarray, first: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which of some stretches (halves from starts on before ends, with an item each, by item) are candidates: a window
+        that begins in the stretch is near one of the item's. All windows of the texts are compared with those of a block of
+        items at once; a block of which no stretch is asked for is passed over."""
         vectors = _sums(self.words, ids, first, HALF)
         same = np.nonzero(text[1:] == text[:-1])[0]
         vectors[same] += vectors[same + 1]  # a fresh copy on the right, so halves are those of before
-        windows, found, k = np.ascontiguousarray(_unit(vectors).T), [np.zeros(0, np.int64)], 0
+        windows, found, k = np.ascontiguousarray(_unit(vectors).T), np.zeros(len(items), bool), 0
         while k < len(self.items):
             to = max(k + 1, int(np.searchsorted(self.start, self.start[k] + QUERIES, side="right")) - 1)
-            cosines = self.queries[self.start[k] : self.start[to]] @ windows
-            item, half = np.nonzero(np.maximum.reduceat(cosines, np.array(self.start[k:to]) - self.start[k], axis=0) >= NEAR)
-            found.append((item + k).astype(np.int64) * (len(first) + 1) + half)
+            lo, hi = np.searchsorted(items, [k, to])
+            if lo < hi:
+                best = np.maximum.reduceat(self.queries[self.start[k] : self.start[to]] @ windows, np.array(self.start[k:to]) - self.start[k], axis=0)
+                for j in range(int((ends[lo:hi] - starts[lo:hi]).max())):
+                    at = starts[lo:hi] + j
+                    found[lo:hi] |= (at < ends[lo:hi]) & (best[items[lo:hi] - k, np.minimum(at, len(first) - 1)] >= NEAR)
             k = to
-        return np.concatenate(found)
+        return found
 
     def probe(self, lines: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(text, first word in the text, item) of the stretches around candidates that have enough of an item's words for a leak. A stretch
@@ -294,11 +299,8 @@ class Searcher:
         opening = np.searchsorted(text, text)  # first half of the same text
         half = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
         starts, items = self._starts(ids, half, opening)
-        # of these stretches, those in which a candidate window lies
-        candidates, key = self.near(ids, first, text), items * (len(first) + 1) + starts
-        after = np.searchsorted(text, text[starts], side="right") if len(starts) else starts
-        ends = items * (len(first) + 1) + np.minimum(starts + self.span[items], after)
-        kept = (np.searchsorted(candidates, ends) > np.searchsorted(candidates, key)) | ~self.directed[items]
+        ends = np.minimum(starts + self.span[items], np.searchsorted(text, text[starts], side="right"))
+        kept = self.near(ids, first, text, starts, ends, items) | ~self.directed[items]
         starts, items = starts[kept], items[kept]
         edges = np.nonzero(np.diff(items, prepend=-1, append=-1))[0]
         row = np.zeros(VOCABULARY, np.int16)
