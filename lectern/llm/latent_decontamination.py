@@ -270,20 +270,31 @@ class Searcher:
 
     def near(self, ids: np.ndarray, first: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Which of some stretches (halves from starts on before ends, with an item each, by item) are candidates: a window
-        that begins in the stretch is near one of the item's. All windows of the texts are compared with those of a block of
-        items at once; a block of which no stretch is asked for is passed over."""
+        that begins in the stretch is near one of the item's. The windows of all stretches are compared with those of a block
+        of items at once; windows and blocks that no stretch asks for are passed over."""
+        if not len(items):
+            return np.zeros(0, bool)
         vectors = _sums(self.words, ids, first, HALF)
         same = np.nonzero(text[1:] == text[:-1])[0]
         vectors[same] += vectors[same + 1]  # a fresh copy on the right, so halves are those of before
-        windows, found, k = np.ascontiguousarray(_unit(vectors).T), np.zeros(len(items), bool), 0
+        asked = np.zeros(len(first) + 1, np.int64)
+        np.add.at(asked, starts, 1)
+        np.add.at(asked, ends, -1)
+        halves = np.nonzero(np.cumsum(asked[:-1]) > 0)[0]
+        column = np.zeros(len(first), np.int64)
+        column[halves] = np.arange(len(halves))
+        windows, found, k = np.ascontiguousarray(_unit(vectors[halves]).T), np.zeros(len(items), bool), 0
+        begin = np.array(self.start)
         while k < len(self.items):
-            to = max(k + 1, int(np.searchsorted(self.start, self.start[k] + QUERIES, side="right")) - 1)
+            to = max(k + 1, int(np.searchsorted(begin, begin[k] + QUERIES, side="right")) - 1)
             lo, hi = np.searchsorted(items, [k, to])
             if lo < hi:
-                best = np.maximum.reduceat(self.queries[self.start[k] : self.start[to]] @ windows, np.array(self.start[k:to]) - self.start[k], axis=0)
+                cosines, own = self.queries[begin[k] : begin[to]] @ windows, items[lo:hi]
                 for j in range(int((ends[lo:hi] - starts[lo:hi]).max())):
-                    at = starts[lo:hi] + j
-                    found[lo:hi] |= (at < ends[lo:hi]) & (best[items[lo:hi] - k, np.minimum(at, len(first) - 1)] >= NEAR)
+                    at = np.minimum(starts[lo:hi] + j, ends[lo:hi] - 1)
+                    for i in range(int((begin[own + 1] - begin[own]).max())):
+                        row = np.minimum(begin[own] + i, begin[own + 1] - 1) - begin[k]
+                        found[lo:hi] |= cosines[row, column[at]] >= NEAR
             k = to
         return found
 
