@@ -88,6 +88,14 @@ class KeyedStore:
         now = self.manifest()
         return self._read([now["buckets"][k] for k in sorted(now["buckets"])], self._schema(now))
 
+    def near(self, rows: DataFrame) -> DataFrame | None:
+        """What lies in the buckets that the keys of rows fall into; None of an empty store."""
+        now = self.manifest()
+        if not now["schema"]:
+            return None
+        touched = sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # numbers of buckets
+        return self._read([now["buckets"][str(b)] for b in touched if str(b) in now["buckets"]], self._schema(now))
+
     def get(self, *key) -> DataFrame:
         """The row of one key: its bucket alone is opened."""
         now, schema = self.manifest(), None
