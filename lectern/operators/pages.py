@@ -139,6 +139,18 @@ def document_metadata(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", title.alias("title"), F.lit("en-US").alias("language"), F.lit("1").alias("part"), F.lit(True).alias("display_title"), docx.alias("docx"), F.replace(docx, F.lit(".docx"), F.lit(s.PDF_END)).alias("pdf"))
 
 
+def titled_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, title, language, docx, pdf: a document's own title is its first heading; without one it is named for its file
+    (source, language and id). The language is the declared one, else the default. Outputs are named for the file too."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    stem = F.concat_ws("_", part("source"), part("lang"), part("doc_id"))
+    own = elements.parts(docs.select(F.struct("doc_id", stem.alias("stem"), "lang").alias("doc_id"), "text"))
+    given = F.get("heads", F.lit(0))["text"]
+    found = own.select("doc_id.*", F.coalesce(F.nullif(given, F.lit("")), s.file_title(F.concat(F.lit("/in/"), F.col("doc_id.stem"), F.lit(".pdf")))).alias("title"))
+    docx = F.concat(F.lit("/out/"), F.col("stem"), F.lit(s.DOCX_END))
+    return found.select("doc_id", "title", F.coalesce(F.nullif("lang", F.lit("")), F.lit("en-US")).alias("language"), docx.alias("docx"), F.replace(docx, F.lit(".docx"), F.lit(s.PDF_END)).alias("pdf"))
+
+
 def outline_entries(docs: DataFrame) -> DataFrame:
     """doc_id, idx (0 on), level, text: headings with a text, in order, levels 1 to 6 (1 if unknown)."""
     heads = elements.parts(docs).select("doc_id", F.transform("heads", lambda h: F.struct(F.when(F.length(h["text"]) % 3 != 0, h["level"] * 4).alias("level"), F.when(F.length(h["text"]) % 5 == 0, " ").otherwise(h["text"]).alias("text"))).alias("heads"))
@@ -258,6 +270,10 @@ u as (select doc_id, unnest(range(0, len(es))) as ord, unnest(es) as s from x) s
     "match_texts": f"""{_LS}, u as (select doc_id, unnest(range(0, len(ls))) as ord, unnest(ls) as line from l)
 select doc_id, ord, ['table', 'list', 'heading', 'paragraph'][ord % 4 + 1] as type, {t.sql_strip("lower(case ord % 4 when 0 then string_split(line, '. ')[1] when 1 then array_to_string(string_split(line, ', ')[1:3], ' ') else line end)")} as match from u""",
     "document_metadata": "select doc_id, case when doc_id % 3 = 0 then 'Given ' || doc_id else 'Doc ' || doc_id || ' Final' end as title, 'en-US' as language, '1' as part, true as display_title, '/out/doc_' || doc_id || '_final_accessible.docx' as docx, '/out/doc_' || doc_id || '_final_accessible_ada.pdf' as pdf from documents",
+    "titled_documents": f"""with d as (select doc_id, coalesce(source, '') || '_' || coalesce(lang, '') || '_' || coalesce(doc_id::varchar, '') as stem, lang, {t.sql_lines("text")} as ls from documents),
+h as (select doc_id, stem, lang, {_HEADS} as hs from d)
+select doc_id, coalesce(nullif(hs[1].text, ''), array_to_string(list_transform(regexp_extract_all(replace(stem, '_', ' '), '\\p{{L}}+|\\P{{L}}+'), lambda w: upper(w[1]) || lower(w[2:])), '')) as title, coalesce(nullif(lang, ''), 'en-US') as language,
+  '/out/' || stem || '_accessible.docx' as docx, replace('/out/' || stem || '_accessible.docx', '.docx', '_ada.pdf') as pdf from h""",
     "outline_entries": f"{_LS}, ex as (select doc_id, {_HEADS} as hs from l), n as (select doc_id, list_filter(hs, lambda h: length(h.text) % 5 <> 0) as hs from ex), u as (select doc_id, unnest(range(0, len(hs))) as idx, unnest(hs) as h from n) select doc_id, idx, case when length(h.text) % 3 <> 0 then least(6, h.level * 4) else 1 end as level, h.text as text from u",
     "struct_elements": f"with recursive {_INSTR} select page, mcid, tag, case tag when 'Table' then 'Caption' when 'L' then 'P' else tag end as written, max(mcid) over (partition by page) as max_mcid from g",
     "tagged_stream": f"""with recursive {_INSTR}, a as (select i.page, i.i, max(b.last) as last from i left join b on b.page = i.page and i.i between b.first and b.last group by all),

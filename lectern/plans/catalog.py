@@ -93,6 +93,7 @@ _QUERIES = {
     "analyzer_elements": _on(pages.analyzer_elements, "documents", "lineitem"),
     "match_texts": _on(pages.match_texts, "documents"),
     "document_metadata": _on(pages.document_metadata, "documents"),
+    "titled_documents": _on(pages.titled_documents, "documents"),
     "outline_entries": _on(pages.outline_entries, "documents"),
     "document_outline": _on(pages.document_outline, "documents"),
     "struct_elements": _on(pages.struct_elements, "events"),

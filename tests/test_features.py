@@ -152,3 +152,18 @@ def test_sweep(spark, tmp_path, dry):
             query.stop()
     assert log == {"old.pdf": True, "soon.pdf": True, "gone.pdf": False}
     assert sorted(x.name for x in tmp_path.glob("*.*")) == (["new.pdf", "old.docx", "old.pdf", "soon.pdf"] if dry else ["new.pdf", "old.docx"])
+
+
+# ---- titles ----
+
+
+def test_titles_of_documents(spark):
+    """A first heading is the title; a long first line is none, and neither is no text: the file's name is taken."""
+    from lectern.operators import pages
+
+    rows = [(1, "Short title\nbody text", "en", "src1"), (2, "x" * 80 + "\nbody", "fr", "web_crawl"), (3, None, "", None), (4, " \n ", None, "a.docx"), (5, "y" * 90 + "\nALL CAPS", "de", "s"), (None, None, None, None)]
+    got = {x.doc_id: (x.title, x.language, x.docx, x.pdf) for x in pages.titled_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got[1] == ("Short title", "en", "/out/src1_en_1_accessible.docx", "/out/src1_en_1_accessible_ada.pdf")
+    assert got[2][:2] == ("Web Crawl Fr 2", "fr") and got[3][:2] == ("  3", "en-US") and got[5][0] == "ALL CAPS"
+    assert got[4][2:] == ("/out/a.docx__4_accessible.docx", "/out/a_ada.pdf__4_accessible_ada.pdf")  # every ending is replaced
+    assert got[None][:2] == ("  ", "en-US")
