@@ -11,14 +11,18 @@ from lectern.operators import elements
 from lectern.sources import content
 
 
-def executed(pages: DataFrame, instructions: DataFrame) -> DataFrame:
-    """pages (page) and their instructions (page, i, op, operands, error) -> job, status, progress, message, n_elements, tags,
-    missing for each page's job. A fault in a stream, or a stream of nothing, is the job's message, and the job has failed;
-    the others are done."""
+def scanned(pages: DataFrame, instructions: DataFrame) -> DataFrame:
+    """pages (page) and their instructions (page, i, op, operands, error) -> doc_id, message, text: what each page shows, a
+    line for each string. A fault in a stream, or a stream of nothing, is the message."""
     line = F.when(F.col("op") == "Tj", F.struct("i", F.element_at("operands", 1)["value"].alias("x")))
-    scanned = instructions.where("op in ('BT', 'Tj') or error is not null").groupBy(F.col("page").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("x"), F.max("error").alias("message"))
-    scanned = pages.select(F.col("page").alias("doc_id")).distinct().join(scanned, "doc_id", "left").withColumn("message", F.when(F.col("x").isNull(), "nothing to read").otherwise(F.col("message")))
-    texts = scanned.select("doc_id", "message", F.array_join(F.transform("x", lambda y: y["x"]), "\n").alias("text"))
+    found = instructions.where("op in ('BT', 'Tj') or error is not null").groupBy(F.col("page").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("x"), F.max("error").alias("message"))
+    found = pages.select(F.col("page").alias("doc_id")).distinct().join(found, "doc_id", "left").withColumn("message", F.when(F.col("x").isNull(), "nothing to read").otherwise(F.col("message")))
+    return found.select("doc_id", "message", F.array_join(F.transform("x", lambda y: y["x"]), "\n").alias("text"))
+
+
+def finished(texts: DataFrame) -> DataFrame:
+    """Scanned pages (doc_id, message, text) -> job, status, progress, message, n_elements, tags, missing for each page's job.
+    A job with a message has failed; the others are done."""
     made = elements.elements(texts.where("message is null")).select(
         "doc_id", F.size("elements").alias("n_elements"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("elements", lambda e: s.tag(e["type"], e["level"])))), ",").alias("tags"),
@@ -32,6 +36,11 @@ def executed(pages: DataFrame, instructions: DataFrame) -> DataFrame:
     )
 
 
+def executed(pages: DataFrame, instructions: DataFrame) -> DataFrame:
+    """The whole run of pages and their instructions (see scanned and finished)."""
+    return finished(scanned(pages, instructions))
+
+
 def executed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = content.document_content(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return executed(streams, content.written(streams))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scalars as s
 from lectern.operators import answers, audit, elements, jobs, metering, pages, rasters, runs, structure
 from lectern.sources import content, docx
-from lectern.streaming import lifecycle, queue
+from lectern.streaming import desk, lifecycle, queue
 from lectern.streaming import metering as streams
 
 
@@ -126,6 +126,7 @@ _QUERIES = {
     "job_transitions": lifecycle.job_transitions,
     "paid_jobs": lifecycle.paid_jobs,
     "queued_jobs": queue.queued_jobs,
+    "desk_answers": desk.desk_answers,
     "stream_commands": streams.stream_commands,
     "stream_releases": streams.stream_releases,
     "stream_expired": streams.stream_expired,
@@ -147,4 +148,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | content.SQL | rasters.SQL | answers.SQL | runs.SQL | lifecycle.SQL | queue.SQL | streams.SQL | _SQL
+    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | content.SQL | rasters.SQL | answers.SQL | runs.SQL | lifecycle.SQL | queue.SQL | desk.SQL | streams.SQL | _SQL

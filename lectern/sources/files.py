@@ -13,14 +13,18 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lectern.sources.shared import opened
 
 MANIFEST = "manifest-{}.json"
+#: Bytes of files that leave a task in one batch.
+HELD = 16 << 20
 
 
 @dataclass
@@ -98,3 +102,30 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "name string, content binary")
     found = spark.read.format("binaryFile").load([f"{path}/{x}" for x in folders])
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def contents(rows: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """rows plus content: the bytes of the file that each row's path names, below root. Only these files are opened, each by
+    the task that has its row; what leaves it at once is at most HELD bytes, or one file. A missing file is null."""
+    schema = StructType([*[f for f in rows.schema.fields if f.name != "content"], StructField("content", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = opened(root)
+        for batch in batches:
+            begin, held, size = 0, [], 0
+            for i, name in enumerate(batch.column(path).to_pylist()):
+                held.append(_bytes(fs, f"{at}/{name}") if name else None)
+                size += len(held[-1] or b"")
+                if size > HELD or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(held)).columns, pa.array(held, pa.binary())], names=schema.names)
+                    begin, held, size = i + 1, [], 0
+
+    return rows.select(*schema.names[:-1]).mapInArrow(run, schema)
+
+
+def _bytes(fs: pafs.FileSystem, at: str) -> bytes | None:
+    try:
+        with fs.open_input_stream(at) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None

@@ -108,6 +108,10 @@ class KeyedStore:
             found = found.where(F.col(k).eqNullSafe(F.lit(v).cast(types[k])))
         return found
 
+    def remove(self, path: str) -> None:
+        """Delete a folder of the store's file system, if it is there."""
+        self._fs.delete(self._jpath(path), True)
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders and manifests that the last `keep` versions don't name; the names deleted."""
         names = self._manifests()
