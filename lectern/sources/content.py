@@ -87,13 +87,19 @@ def _gathered(kind: str, items: list) -> tuple:
 
 def instructions(data: bytes) -> Iterator[tuple[str, list[tuple]]]:
     """(operator, operands) in order; StreamError at the first fault."""
-    at, stack, kinds = 0, [[]], ["operands"]
+    return (x[:2] for x in located(data))
+
+
+def located(data: bytes) -> Iterator[tuple[str, list[tuple], int, int]]:
+    """(operator, operands, begin, end): instructions and the bytes that they take, first operand to operator."""
+    at, stack, kinds, begin = 0, [[]], ["operands"], None
     while at < len(data):
         if not (m := _TOKEN.match(data, at)):
             raise StreamError(f"unexpected byte {data[at]:#04x}")
         at, kind, token = m.end(), m.lastgroup, m[m.lastgroup]
         if kind == "space":
             continue
+        begin = m.start() if begin is None else begin
         if kind == "number":
             stack[-1].append(("number", _Number(token.decode())))
         elif kind == "name":
@@ -119,10 +125,11 @@ def instructions(data: bytes) -> Iterator[tuple[str, list[tuple]]]:
             if not (end := _IMAGE_END.search(data, at)):
                 raise StreamError("inline image without its end")
             at, stack = end.end(), [[]]
-            yield "INLINE IMAGE", []
+            yield "INLINE IMAGE", [], begin, at
+            begin = None
         elif token != b"BI":
-            yield token.decode("latin-1"), stack[0]
-            stack = [[]]
+            yield token.decode("latin-1"), stack[0], begin, at
+            stack, begin = [[]], None
     if len(stack) > 1:
         raise StreamError(f"{kinds[-1]} without its end")
     if stack[0]:

@@ -6,7 +6,7 @@ import re
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, kind: str) -> str:
@@ -20,6 +20,13 @@ def folder(spark: SparkSession, kind: str) -> str:
     return f"{base}/{kind}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows written to the shared folder and read again: for what is used more than once, or cuts a lineage."""
+    at = folder(rows.sparkSession, kind)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it; file:/a, as Spark writes it, is file:///a."""
     if path.startswith("/") or re.match(r"file:/", path):
