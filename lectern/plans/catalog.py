@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalars as s
 from lectern.operators import answers, audit, elements, jobs, metering, pages, rasters, runs, structure
-from lectern.sources import content, docx, tagging
+from lectern.sources import content, docx, pdf, tagging
 from lectern.streaming import desk, lifecycle, queue
 from lectern.streaming import metering as streams
 
@@ -116,6 +116,8 @@ _QUERIES = {
     "event_instructions": content.event_instructions,
     "shown_text": content.shown_text,
     "rewritten_streams": tagging.rewritten_streams,
+    "tagged_files": pdf.tagged_files,
+    "tagged_file_pages": pdf.tagged_file_pages,
     "raster_similarity": _on(rasters.raster_similarity, "embeddings"),
     "answer_fields": _on(answers.answer_fields, "events"),
     "dispatched_pages": answers.dispatched_pages,
@@ -149,4 +151,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | content.SQL | tagging.SQL | rasters.SQL | answers.SQL | runs.SQL | lifecycle.SQL | queue.SQL | desk.SQL | streams.SQL | _SQL
+    return elements.SQL | structure.SQL | pages.SQL | audit.SQL | metering.SQL | jobs.SQL | content.SQL | tagging.SQL | pdf.SQL | rasters.SQL | answers.SQL | runs.SQL | lifecycle.SQL | queue.SQL | desk.SQL | streams.SQL | _SQL
