@@ -112,6 +112,9 @@ class KeyedStore:
         """Delete a folder of the store's file system, if it is there."""
         self._fs.delete(self._jpath(path), True)
 
+    def has(self, path: str) -> bool:
+        return self._fs.exists(self._jpath(path))
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders and manifests that the last `keep` versions don't name; the names deleted."""
         names = self._manifests()

@@ -180,8 +180,10 @@ class Desk:
 
     def answered(self) -> DataFrame:
         """Answers of all batches."""
-        found = "request bigint, kind string, code int, job bigint, status string, detail string, released boolean"
-        return self.spark.read.schema(f"{found}, batch bigint").parquet(f"{self.path}/answers")
+        found = "request bigint, kind string, code int, job bigint, status string, detail string, released boolean, batch bigint"
+        if not self.store.has(f"{self.path}/answers"):
+            return self.spark.createDataFrame([], found)
+        return self.spark.read.schema(found).parquet(f"{self.path}/answers")
 
 
 def desk_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
