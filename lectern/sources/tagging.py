@@ -5,7 +5,9 @@ operators/pages.py); a page's spans then meet its bytes. Instructions are copied
 inline images keep their bytes; old marks go, and what lies between instructions becomes a line's end. A page whose stream
 has a fault is kept as it is, with the fault as its error; a stream of nothing but marks becomes empty.
 
-Nulls: a page without a number is kept as it is, with an error, as its spans can't be told. A page without bytes is an empty stream. A page without elements, or with null elements, is all artifacts. Pages of one number are an error of the join (each gets the spans of all): number pages apart.
+Nulls: a page without a number is kept as it is, with an error, as its spans can't be told. A page without bytes is an empty
+stream. A page without elements, or with null elements, is all artifacts. Pages of one number are an error of the join (each
+gets the spans of all): number pages apart.
 """
 
 from __future__ import annotations
