@@ -131,7 +131,7 @@ class Desk:
         return new.where(F.col("status") == WAITS).unionByName(self._executed(queued).select(*known.columns))
 
     def answers(self, m: DataFrame) -> DataFrame:
-        """request, kind, code, job, status, detail, released of a batch's messages."""
+        """request, kind, code, job, status, detail, media (of a download), released of a batch's messages."""
         record = self._known(m).select("job", F.struct(*[f.strip().split()[0] for f in RECORD.split(",")]).alias("r"))
         pages = self._commands(m).groupBy("request").agg(F.max("pages").alias("pages")).select("request", F.lit("command").alias("kind"), "pages")
         files = self._files(self.outputs_at).select("name")
@@ -144,6 +144,7 @@ class Desk:
         first = next(iter(FORMS))
         asked = F.coalesce("b.format", F.lit(first))
         file = F.coalesce(*[F.when(has[form] & (asked.isin(form, first)), F.col(form)) for form in FORMS])
+        media = F.coalesce(*[F.when(file == F.col(form), kind_of) for form, (kind_of, _) in FORMS.items()])
         paid = F.coalesce("b.paid", F.lit(False))
         code = (
             F.when(~F.col("ok"), 400)
@@ -160,7 +161,7 @@ class Desk:
         begun = F.when(kind == "command", F.when(F.col("r.cents") > 0, WAITS).otherwise("queued")).otherwise(status)
         good = F.col("code").isin(200, 307)
         out = found.withColumn("code", code)
-        return out.select("request", "kind", "code", "job", F.when(good & F.col("r").isNotNull(), begun).alias("status"), F.when(good, detail).alias("detail"), F.coalesce(F.col("frees") & (F.col("r.released_by") == F.col("request")), F.lit(False)).alias("released"))
+        return out.select("request", "kind", "code", "job", F.when(good & F.col("r").isNotNull(), begun).alias("status"), F.when(good, detail).alias("detail"), F.when(good & (kind == "download"), media).alias("media"), F.coalesce(F.col("frees") & (F.col("r.released_by") == F.col("request")), F.lit(False)).alias("released"))
 
     def step(self, batch: DataFrame, n: int) -> None:
         m = parsed(batch, self.secret).persist()
@@ -180,7 +181,7 @@ class Desk:
 
     def answered(self) -> DataFrame:
         """Answers of all batches."""
-        found = "request bigint, kind string, code int, job bigint, status string, detail string, released boolean, batch bigint"
+        found = "request bigint, kind string, code int, job bigint, status string, detail string, media string, released boolean, batch bigint"
         if not self.store.has(f"{self.path}/answers"):
             return self.spark.createDataFrame([], found)
         return self.spark.read.schema(found).parquet(f"{self.path}/answers")
@@ -220,9 +221,9 @@ p as (select event_id as request, event_type as type, event_type = 'signup' or e
 r as (select j.job, pages, cents, coalesce(cents > 0, false) as due, coalesce(cents > 0, false) and coalesce(frees, false) as released, case when coalesce(cents > 0, false) and not coalesce(frees, false) then '{WAITS}' else e.status end as status, case when not coalesce(cents > 0, false) or coalesce(frees, false) then e.message end as message,
   case when not coalesce(cents > 0, false) or coalesce(frees, false) then e.missing end as missing, upload from j left join p on p.request = j.job left join e on e.job = upload),
 q as (select p.*, r.* from p left join r on r.job = p.request)
-select request, 'command' as kind, case when upload is null then 400 when j.job is null then 404 else 200 end as code, request as job, case when j.job is not null then case when cents > 0 then '{WAITS}' else 'queued' end end as status, null::varchar as detail, false as released from (select c.request, c.upload, j.job, j.cents from c left join j on j.job = c.request) j
-union all select request, 'webhook', case when frees then 200 else 400 end, case when frees then request end, case when frees then status end, null, coalesce(frees and released, false) from q where type = 'purchase'
-union all select request, 'redirect', case when type = 'signup' and job is null then 404 else 307 end, request, status, case when type = 'error' then '/?cancelled=1' when job is not null then '/?job_id=' || request || '&paid=1' end, coalesce(frees and released, false) from q where type in ('signup', 'error')
-union all select request, 'status', case when job is null then 404 else 200 end, request, status, case when job is not null then '{{"job":' || job || ',"status":"' || status || '","pages":' || pages || ',"cents":' || coalesce(cents::varchar, 'null') || ',"message":' || coalesce('"' || message || '"', 'null') || ',"missing":' || coalesce(missing::varchar, 'null') || ',"has_pdf":false,"has_docx":' || (status = 'done') || '}}' end, false from q
-union all select request, 'download', case when job is null then 404 when status <> 'done' then 400 else 200 end, request, case when status = 'done' then status end, case when status = 'done' then upload || '{s.DOCX_END}' end, false from q""",
+select request, 'command' as kind, case when upload is null then 400 when j.job is null then 404 else 200 end as code, request as job, case when j.job is not null then case when cents > 0 then '{WAITS}' else 'queued' end end as status, null::varchar as detail, null::varchar as media, false as released from (select c.request, c.upload, j.job, j.cents from c left join j on j.job = c.request) j
+union all select request, 'webhook', case when frees then 200 else 400 end, case when frees then request end, case when frees then status end, null, null, coalesce(frees and released, false) from q where type = 'purchase'
+union all select request, 'redirect', case when type = 'signup' and job is null then 404 else 307 end, request, status, case when type = 'error' then '/?cancelled=1' when job is not null then '/?job_id=' || request || '&paid=1' end, null, coalesce(frees and released, false) from q where type in ('signup', 'error')
+union all select request, 'status', case when job is null then 404 else 200 end, request, status, case when job is not null then '{{"job":' || job || ',"status":"' || status || '","pages":' || pages || ',"cents":' || coalesce(cents::varchar, 'null') || ',"message":' || coalesce('"' || message || '"', 'null') || ',"missing":' || coalesce(missing::varchar, 'null') || ',"has_pdf":false,"has_docx":' || (status = 'done') || '}}' end, null, false from q
+union all select request, 'download', case when job is null then 404 when status <> 'done' then 400 else 200 end, request, case when status = 'done' then status end, case when status = 'done' then upload || '{s.DOCX_END}' end, case when status = 'done' then '{DOCX}' end, false from q""",
 }

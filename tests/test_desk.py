@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators.jobs import DOCX, PDF
 from lectern.sources import docx, files
 from lectern.streaming.desk import MESSAGE, Desk
 
@@ -74,6 +75,7 @@ def test_from_command_to_download(spark, desk):
     files.write_files(spark.createDataFrame([("1_ada.pdf", bytearray(b"%"))], "name string, content binary"), desk.outputs_at)
     got = send(spark, desk, (2, "download", ask), (3, "download", ask | {"format": "docx"}))
     assert (got[2, "download"][3], got[3, "download"][3]) == ("1_ada.pdf", "1_accessible.docx")
+    assert {(r.detail, r.media) for r in desk.answered().where("kind = 'download' and code = 200").collect()} == {("1_ada.pdf", PDF), ("1_accessible.docx", DOCX)}
     package = docx.read_packages(files.read_files(spark, desk.outputs_at).where("name like '%.docx'")).collect()
     assert [(r.name, r.title, [tuple(p) for p in r.paras]) for r in package] == [("1_accessible.docx", "TITLE", [("Heading 1", "TITLE"), ("Normal", "some longer line")])]
 
