@@ -7,7 +7,6 @@ lifetime; the join keeps payments and spans of states for as long as they may st
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from lectern.functions.scalars import OUTPUT_TTL
 from lectern.operators.jobs import TIMEOUT
-from lectern.streaming.metering import run_available, stream_of
+from lectern.streaming.metering import rocks, run_available, stream_of
 
 #: How much later than the newest row a row may come.
 DELAY = "35 hours"
@@ -26,7 +25,6 @@ BOUND = 120
 #: What an event asks of its job, and the states in which that means something.
 COMMANDS = {"signup": "submit", "view": "start", "click": "page", "purchase": "finish", "error": "fail"}
 TRANSITIONS = {("", "submit"): "queued", ("done", "submit"): "queued", ("failed", "submit"): "queued", ("queued", "start"): "running", ("queued", "fail"): "failed", ("running", "fail"): "failed", ("running", "finish"): "done"}
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 OUTPUT = "job bigint, at timestamp, before string, after string, pages int, reason string"
 
@@ -81,18 +79,6 @@ class JobMachine(StatefulProcessor):
         pass
 
 
-@contextlib.contextmanager
-def rocks(spark: SparkSession):
-    """Queries that start here keep their state in RocksDB, which keyed state with timers needs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old) if old else spark.conf.unset(key)
-
-
 def transitions(commands: DataFrame) -> DataFrame:
     """job, at, before, after, pages, reason of a stream of commands (job, ts, event_id, command)."""
     late = commands.withWatermark("ts", DELAY)

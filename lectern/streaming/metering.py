@@ -5,6 +5,7 @@ touches. A batch that runs again after a failure changes nothing, and no result
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from lectern.operators.metering import STATES
 from lectern.sources.keyed import KeyedStore, latest_by, summed
 from lectern.sources.shared import folder
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """All rows of a table as a stream; a table is a folder of files, or one file, which the stream finds in its folder."""
@@ -58,6 +61,18 @@ def run_into(spark: SparkSession, df: DataFrame, keys: list[str], merge: Callabl
     return store
 
 
+@contextlib.contextmanager
+def rocks(spark: SparkSession):
+    """Queries that start here keep their state in RocksDB, which keyed state with timers needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+
+
 def monthly_usage(rows: DataFrame) -> DataFrame:
     """user, month, n of a batch: calendar months can't be windows, so the month is a key."""
     return rows.groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
@@ -102,13 +117,26 @@ def merged_jobs(rows: DataFrame) -> DataFrame:
     return now.select("job", "x.*", "created_at")
 
 
+def hourly_payments(rows: DataFrame) -> DataFrame:
+    """hour, n, amount of a batch; amounts are rounded when they are read."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    hour = ts - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(ts), F.date_part(F.lit("second"), ts))
+    return rows.groupBy(hour.alias("hour")).agg(F.count("*").alias("n"), F.sum("value").alias("amount"))
+
+
+def counted_once(payments: DataFrame) -> DataFrame:
+    """A stream of payments that are delivered at least once, each once. Ids are kept as state for good, so no payment is
+    dropped as late and no duplicate counts however late it is; payments without an id can't be told apart, each counts."""
+    return payments.withColumn("_id", F.coalesce(F.col("event_id").cast("string"), F.uuid())).dropDuplicates(["_id"]).drop("_id")
+
+
 def stream_payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payment events of each hour, delivered at least once, counted once: duplicates go within the watermark, and an hour's
-    row leaves, and its state with it, when the watermark has passed the hour."""
-    ts = F.col("ts").cast("timestamp")
-    once = stream_of(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", ts).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
-    out = once.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("amount"))
-    return run_available(spark, out, "append").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", "amount")
+    """Payment events of each hour, delivered at least once, counted once: a keyed store of hours, to which each batch adds,
+    so the newest hours are in it as the others are, and late payments join theirs."""
+    payments = stream_of(spark, sf_dir, "events").where("event_type = 'purchase'")
+    with rocks(spark):
+        store = run_into(spark, counted_once(payments), ["hour"], summed(["hour"], "n", "amount"), hourly_payments)
+    return store.table().select("hour", "n", F.round("amount", 4).alias("amount"))
 
 
 def stream_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +171,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "stream_monthly_usage": "select user_id, strftime(ts, '%Y-%m') as month, least(3, count(*))::int as used from events group by 1, 2",
     "stream_job_status": "select user_id, arg_max(case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'done' when 'error' then 'failed' else 'queued' end, (ts, event_id)) as status from events group by 1",
-    "stream_payment_events": "with p as (select date_trunc('hour', ts)::timestamp as hour, value, max(ts) over () - interval 1 day as mark from events where event_type = 'purchase') select hour, count(*) as n, round(sum(value), 4) as amount from p where hour + interval 1 hour <= mark group by 1",
+    "stream_payment_events": "select date_trunc('hour', ts)::timestamp as hour, count(*) as n, round(sum(value), 4) as amount from events where event_type = 'purchase' group by 1",
     "stored_jobs": jobs.SQL["job_upsert"],
     "stream_commands": jobs.SQL["process_requests"].replace("select request, code, case when code = 200 then u::varchar end as upload_id,", "select request, code, status, output_pdf from (select request, code, case when code = 200 then u::varchar end as upload_id,") + ")",
     "stream_releases": "select event_id as job, ts as paid_at from (select event_id, min(ts) as ts from events where event_type = 'purchase' group by 1) join orders on o_orderkey = event_id where o_orderstatus = 'O'",
