@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,33 @@ CAPACITY, END = 1024, 2
 CACHED = 600_000
 #: Characters of a text that are cut to words at once.
 PIECE_CHARS = 1 << 20
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Letters, then nothing or what begins with another token: an ASCII sign that is no apostrophe.
 _CORE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~].*)?", re.S)
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Odd(Exception):
+    """A word that is empty, or has white space at an end."""
+
+
+class _Known(dict):
+    """Ids of words, made when they are first asked for, and kept while there is room."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Odd
+        ids = self.make(word)
+        if len(self) < CACHED:
+            self[word] = ids
+        return ids
 
 
 class Words:
@@ -56,7 +78,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.word)
         self.cores: dict[str, bytes] = {}
         # how byte-level BPE spells letters beyond ASCII, as the tokenizer itself has it
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -69,9 +91,12 @@ class Words:
 
     def word(self, word: str) -> bytes:
         """Ids of a space and a word without white space. The letters it begins with are a token of the first step."""
-        if not (m := _CORE.fullmatch(word)):
+        if word.isascii() and word.isalpha():
+            core, rest = word, None
+        elif m := _CORE.fullmatch(word):
+            core, rest = m.groups()
+        else:
             return self.plain(" " + word)
-        core, rest = m.groups()
         if (ids := self.cores.get(core)) is None:
             spelt = core if core.isascii() else core.translate(self.spelt)
             ids = _packed([t.id for t in self.model.tokenize(self.space + spelt)])
@@ -90,17 +115,11 @@ class Words:
         head, *words = text.split(" ")
         if not first:
             head = ""
+        if first and words and (not head or head[-1].isspace()):
+            return self.odd(text, first)
         try:
             done = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = set(words).difference(self.known)
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-                return self.odd(text, first)
-            own = {w: self.word(w) for w in new}
-            if len(self.known) < CACHED:
-                self.known.update(own)
-            done = b"".join([self.known.get(w) or own[w] for w in words])
-        if first and words and (not head or head[-1].isspace()):
+        except _Odd:
             return self.odd(text, first)
         return (self.plain(head) if head else b"") + done
 
