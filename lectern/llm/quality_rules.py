@@ -251,7 +251,7 @@ def _forest(known: DataFrame, shares: Shares) -> IsolationForest:
 def fit(counted: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
     """A forest and its threshold from all labelled rows; None unless both classes are there. counted: doc_id, h (a hash of
     the text; of rows with one id that of the least counts), counts."""
-    one = counted.join(labelled(labels, "quality"), "doc_id").groupBy("doc_id", F.col("y").cast("bigint").alias("y")).agg(F.min(F.struct("h", *COUNTS)).alias("c"))
+    one = counted.join(labelled(labels, "quality").where("y in (0, 1)"), "doc_id").groupBy("doc_id", F.col("y").cast("bigint").alias("y")).agg(F.min(F.struct("h", *COUNTS)).alias("c"))
     known = materialize(one.select("doc_id", "y", *[F.col(f"c.{n}") for n in COUNTS]))
     n = dict(known.groupBy((F.col("y") == 0).alias("odd")).count().collect())
     model = None

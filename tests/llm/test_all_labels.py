@@ -41,3 +41,9 @@ def test_good_rows_beyond_a_sample_count(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, quality int")
     kept = {r.doc_id for r in quality_rules.quality_rules(docs, labels).where("kept").select("row.doc_id").collect()}
     assert len([i for i in range(2500) if i not in kept]) <= quality_rules.GOOD_LOSS * 2500
+
+
+def test_other_labels_are_no_class(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(6)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 2), (2, None), (3, 3)], "doc_id bigint, quality int")
+    assert quality_rules.quality_rules(docs, labels).where("kept and anomaly = 0").count() == 6  # one class: the base rules alone
