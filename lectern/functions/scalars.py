@@ -70,6 +70,11 @@ def file_title(path: Column) -> Column:
     return title(F.regexp_replace(stem, "_", " "))
 
 
+def stem_title(stem: str) -> str:
+    """As file_title, of one file's stem."""
+    return stem.rsplit("/", 1)[-1].replace("_", " ").title()
+
+
 @F.pandas_udf(StringType())
 def title(x: pd.Series) -> pd.Series:
     """Title case that begins anew after any character that isn't a letter; the built-in does so after spaces alone."""

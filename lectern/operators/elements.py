@@ -44,6 +44,15 @@ def parts(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", heads.alias("heads"), paragraphs.alias("paragraphs"))
 
 
+def parts_of(text: str | None) -> tuple[list[str], list[tuple[int, str]], list[str]]:
+    """(lines, headings as (level, text), paragraphs) of one text, as text_lines and parts have them: Python's line
+    boundaries and white space are those of functions/text.py."""
+    lines = [y for x in (text or "").splitlines() if (y := x.strip())]
+    heads = [(1 if i == 0 else 2, x) for i, x in enumerate(lines[:FIRST_LINES]) if len(x) < SHORT and (i == 0 or x == x.upper() != x.lower())]
+    used = {x for _, x in heads}
+    return lines, heads, [x for x in lines if x not in used and len(x) > 2]
+
+
 def elements(docs: DataFrame) -> DataFrame:
     """doc_id, elements: headings, then paragraphs."""
     return parts(docs).select("doc_id", F.concat("heads", "paragraphs").alias("elements"))

@@ -42,6 +42,12 @@ def page_sizes(lineitem: DataFrame) -> DataFrame:
     return points.select("doc_id", "page", (F.when(F.col("q") < 25, 612).otherwise(792) / 72.0).alias("w"), F.lit(792 / 72.0).alias("h"))
 
 
+def sizes_by_document(lineitem: DataFrame) -> DataFrame:
+    """doc_id, sizes (page, w, h): page_sizes with a row for each document; lines meet once, by document."""
+    sizes = page_sizes(lineitem.select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey"))
+    return sizes.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("page", "w", "h")).alias("sizes"))
+
+
 def page_inputs(docs: DataFrame, lineitem: DataFrame) -> DataFrame:
     """doc_id, page, hint, w, h, orientation: what an analyzer is given of each page, at most MAX_PAGES of a document. Pages
     without a text layer (every fifth document has none) get an empty hint, pages without a size the default one."""

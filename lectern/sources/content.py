@@ -31,10 +31,14 @@ ARROW = pa.schema([("page", pa.int64()), ("i", pa.int64()), ("op", pa.string()),
 #: Instructions of a batch, and bytes of a file that make more than one partition.
 BATCH, LARGE_FILE = 4096, 64 << 20
 
-_TOKEN = re.compile(
-    rb"(?P<space>(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)++)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?![^\x00\t\n\x0c\r ()<>\[\]{}/%]))|/(?P<name>[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
-    rb"|(?P<mark><<|>>|[\[\]])|<(?P<hex>[0-9A-Fa-f\x00\t\n\x0c\r ]*)>|(?P<text>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)"
+_SKIP = rb"(?:[\x00\t\n\x0c\r ]|%[^\r\n]*)"
+#: A token and the space behind it, so that a token is one match; what is behind a string's beginning is its own.
+_TOKENS = (
+    rb"(?:(?P<space>" + _SKIP + rb"++)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?![^\x00\t\n\x0c\r ()<>\[\]{}/%]))|/(?P<name>[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
+    rb"|(?P<mark><<|>>|[\[\]])|<(?P<hex>[0-9A-Fa-f\x00\t\n\x0c\r ]*)>|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+))" + _SKIP + rb"*+|(?P<text>\()"
 )
+_TOKEN = re.compile(_TOKENS)
+_CODE = re.compile(rb"#([0-9A-Fa-f]{2})")
 _IN_TEXT = re.compile(rb"[^()\\\r]*")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _CONSTANTS = {b"true": ("bool", True), b"false": ("bool", False), b"null": ("null", None)}
@@ -103,7 +107,8 @@ def located(data: bytes) -> Iterator[tuple[str, list[tuple], int, int]]:
         if kind == "number":
             stack[-1].append(("number", _Number(token.decode())))
         elif kind == "name":
-            stack[-1].append(("name", "/" + re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes.fromhex(x[1].decode()), token).decode("utf-8", "replace")))
+            token = _CODE.sub(lambda x: bytes.fromhex(x[1].decode()), token) if b"#" in token else token
+            stack[-1].append(("name", "/" + token.decode("utf-8", "replace")))
         elif kind == "hex":
             digits = re.sub(rb"[\x00\t\n\x0c\r ]", b"", token).decode()
             stack[-1].append(("string", decoded(bytes.fromhex(digits + "0" * (len(digits) % 2)))))
@@ -122,13 +127,13 @@ def located(data: bytes) -> Iterator[tuple[str, list[tuple], int, int]]:
         elif len(stack) > 1 and token not in (b"BI",):
             raise StreamError("operator within an array or a dictionary")
         elif token == b"ID":
-            if not (end := _IMAGE_END.search(data, at)):
+            if not (end := _IMAGE_END.search(data, m.end("word"))):
                 raise StreamError("inline image without its end")
             at, stack = end.end(), [[]]
             yield "INLINE IMAGE", [], begin, at
             begin = None
         elif token != b"BI":
-            yield token.decode("latin-1"), stack[0], begin, at
+            yield token.decode("latin-1"), stack[0], begin, m.end("word")
             stack, begin = [[]], None
     if len(stack) > 1:
         raise StreamError(f"{kinds[-1]} without its end")

@@ -1,15 +1,19 @@
 """Rows (name, content) as files of a folder, with a commit: readers see all files of a job or none.
 
-Each task writes below a folder of its own attempt and reports what it wrote; the commit puts down one manifest of all tasks,
-and removes what attempts left that failed or lost a race; an abort removes the job's folder. A repeated name is an error
-at the commit. Files are written through Arrow's file systems, so a path or a URI of a store that Arrow knows may be named.
+Each task writes below a folder of its own attempt: the files, and a list of their names. It reports how many there are, so the
+commit puts down one manifest that names the attempts, a line for each task, and removes what attempts left that failed or lost
+a race; an abort removes the job's folder. Readers take the names from the lists, in tasks, and deal the files out by number
+and bytes; no folder is listed, and the driver holds no name. A repeated name is an error at the commit. Files are written
+through Arrow's file systems, so a path or a URI of a store that Arrow knows may be named.
 """
 
 from __future__ import annotations
 
+import io
 import json
+import math
 import uuid
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,45 +27,79 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from lectern.sources.shared import opened
 
 MANIFEST = "manifest-{}.json"
+#: An attempt's files, and the list of their names, a JSON string a line.
+FILES, NAMES = "files", "names.json"
 #: Bytes of files that leave a task in one batch.
 HELD = 16 << 20
+#: Bytes of files, and their number, that one task reads; names that a reader of lists holds at once.
+TASK_BYTES, TASK_FILES, LISTED = 32 << 20, 2000, 4096
 
 
 @dataclass
 class Written(WriterCommitMessage):
     attempt: str
-    names: list[str]
+    n: int
+    size: int
 
 
 class FileSetWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path, self.job = path, uuid.uuid4().hex
+    """later: the commit leaves the manifest to publish(), for who compares the names in tasks (see write_files)."""
+
+    def __init__(self, path: str, job: str | None = None, later: bool = False):
+        self.path, self.job, self.later = path, job or uuid.uuid4().hex, later
 
     def write(self, iterator: Iterator[Row]) -> Written:
         fs, at = opened(self.path)
-        attempt, names = uuid.uuid4().hex, []
+        attempt, n, size = uuid.uuid4().hex, 0, 0
         folder = f"{at}/{self.job}/{attempt}"
-        fs.create_dir(folder, recursive=True)
-        for row in iterator:
-            if not row.name or "/" in row.name or row.name.startswith(("_", ".")):
-                raise ValueError(f"no name of a file: {row.name!r}")
-            with fs.open_output_stream(f"{folder}/{row.name}") as out:
-                out.write(bytes(row.content or b""))
-            names.append(row.name)
-        return Written(attempt, names)
+        fs.create_dir(f"{folder}/{FILES}", recursive=True)
+        with fs.open_output_stream(f"{folder}/{NAMES}", buffer_size=1 << 16) as listed:
+            for row in iterator:
+                if not row.name or "/" in row.name or row.name.startswith(("_", ".")):
+                    raise ValueError(f"no name of a file: {row.name!r}")
+                content = bytes(row.content or b"")
+                with fs.open_output_stream(f"{folder}/{FILES}/{row.name}") as out:
+                    out.write(content)
+                listed.write(json.dumps(row.name).encode() + b"\n")
+                n, size = n + 1, size + len(content)
+        return Written(attempt, n, size)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, at = opened(self.path)
-        done = {m.attempt: m.names for m in messages if m}
-        twice = [n for n, k in Counter(n for names in done.values() for n in names).items() if k > 1]
-        if twice:
-            fs.delete_dir(f"{at}/{self.job}")
-            raise ValueError(f"{len(twice)} names come more than once, such as {min(twice)!r}")
+        done = {m.attempt: m for m in messages if m}
         for info in fs.get_file_info(pafs.FileSelector(f"{at}/{self.job}", allow_not_found=True)):
             if info.base_name not in done:
                 fs.delete_dir(info.path)
         with fs.open_output_stream(f"{at}/{MANIFEST.format(self.job)}.new") as out:
-            out.write(json.dumps({"job": self.job, "files": {f"{self.job}/{a}": sorted(names) for a, names in done.items() if names}}).encode())
+            out.write(json.dumps({"job": self.job, "attempts": [{"folder": f"{self.job}/{a}", "n": m.n, "size": m.size} for a, m in done.items() if m.n]}).encode())
+        if not self.later:
+            self.refuse(*self._twice(done))
+            self.publish()
+
+    def _twice(self, done: dict[str, Written]) -> tuple[int, str | None]:
+        """How many names come more than once, and the least: by a pass over the lists for each share of the names."""
+        fs, at = opened(self.path)
+        shares, n, least = max(1, math.ceil(sum(m.n for m in done.values()) / 100_000)), 0, None
+        for share in range(shares):
+            seen, again = set(), set()
+            for a in done:
+                for names in _listed(fs, f"{at}/{self.job}/{a}"):
+                    for name in names:
+                        if zlib.crc32(name.encode()) % shares == share:
+                            (again if name in seen else seen).add(name)
+            n, least = n + len(again), min([*again, *([least] if least is not None else [])], default=None)
+        return n, least
+
+    def refuse(self, n: int, least: str | None) -> None:
+        """An error, and the job's files go, if there are names that come more than once."""
+        if n:
+            fs, at = opened(self.path)
+            fs.delete_dir(f"{at}/{self.job}")
+            fs.delete_file(f"{at}/{MANIFEST.format(self.job)}.new")
+            raise ValueError(f"{n} names come more than once, such as {least!r}")
+
+    def publish(self) -> None:
+        fs, at = opened(self.path)
         fs.move(f"{at}/{MANIFEST.format(self.job)}.new", f"{at}/{MANIFEST.format(self.job)}")
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -81,27 +119,62 @@ class FileSet(DataSource):
     def writer(self, schema, overwrite: bool) -> FileSetWriter:
         if overwrite:
             raise ValueError("a file set is appended to")
-        return FileSetWriter(self.options["path"])
+        return FileSetWriter(self.options["path"], self.options.get("job"), self.options.get("later") == "true")
 
 
 def write_files(rows: DataFrame, path: str) -> None:
-    rows.sparkSession.dataSource.register(FileSet)
-    rows.select("name", "content").write.format("file_set").mode("append").save(path)
+    """All rows as one job's files. Names are compared in tasks, before the manifest is there."""
+    spark, writer = rows.sparkSession, FileSetWriter(path, later=True)
+    spark.dataSource.register(FileSet)
+    rows.select("name", "content").write.format("file_set").option("job", writer.job).option("later", "true").mode("append").save(path)
+    again = _names(spark, path, f"{MANIFEST.format(writer.job)}.new").groupBy("name").count().where("count > 1")
+    writer.refuse(*again.agg(F.count("*"), F.min("name")).first())
+    writer.publish()
+
+
+def _listed(fs: pafs.FileSystem, folder: str) -> Iterator[list[str]]:
+    """Names of an attempt's files, at most LISTED at once."""
+    with fs.open_input_stream(f"{folder}/{NAMES}") as f:
+        held = []
+        for line in io.BufferedReader(f, 1 << 16):
+            held.append(json.loads(line))
+            if len(held) == LISTED:
+                yield held
+                held = []
+        if held:
+            yield held
+
+
+def _attempts(spark: SparkSession, path: str, manifests: str) -> DataFrame:
+    """folder, n, size: committed attempts of tasks."""
+    found = spark.read.schema("job string, attempts array<struct<folder: string, n: bigint, size: bigint>>").json(f"{path}/{manifests}")
+    return found.select(F.explode("attempts").alias("a")).select("a.*")
+
+
+def _names(spark: SparkSession, path: str, manifests: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = opened(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                for names in _listed(fs, f"{at}/{folder}"):
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{FILES}/{x}" for x in names], pa.string()), pa.array(names, pa.string())], names=["path", "name"])
+
+    n = spark.sparkContext.defaultParallelism
+    return _attempts(spark, path, manifests).select("folder").repartition(n).mapInArrow(run, "path string, name string")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """path (below the folder), name: committed files, of all jobs. Attempts that aren't committed are not named."""
-    found = spark.read.schema("job string, files map<string, array<string>>").json(f"{path}/manifest-*.json")
-    return found.select(F.explode("files").alias("folder", "names")).select("folder", F.explode("names").alias("name")).select(F.concat_ws("/", "folder", "name").alias("path"), "name")
+    return _names(spark, path, MANIFEST.format("*"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, content of the committed files: the folders that manifests name, a few for each task."""
-    folders = [r.folder for r in manifest(spark, path).select(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).distinct().collect()]
-    if not folders:
+    """name, content of the committed files, dealt out to tasks by their number and bytes, to every core at least."""
+    n, size = _attempts(spark, path, MANIFEST.format("*")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if not n:
         return spark.createDataFrame([], "name string, content binary")
-    found = spark.read.format("binaryFile").load([f"{path}/{x}" for x in folders])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    tasks = max(min(n, spark.sparkContext.defaultParallelism), math.ceil(size / TASK_BYTES), math.ceil(n / TASK_FILES))
+    return contents(manifest(spark, path).repartition(tasks), path).select("name", "content")
 
 
 def contents(rows: DataFrame, root: str, path: str = "path") -> DataFrame:

@@ -53,12 +53,14 @@ def spans(instr: DataFrame, elements: DataFrame) -> DataFrame:
 
 def rewrite(data: bytes, marks: list[dict]) -> bytes:
     """The stream with marks (first, last, tag, mcid) about its instructions; StreamError if it has a fault."""
+    return _marked(data, [(i, op, begin, end) for i, (op, _, begin, end) in enumerate(content.located(data)) if op not in MARKS], marks)
+
+
+def _marked(data: bytes, found: list[tuple], marks: list[dict]) -> bytes:
     opens = {m["first"]: NAMED.get(m["tag"], b"") if m["mcid"] is None else f"/{m['tag']} <</MCID {m['mcid']}>> BDC".encode() for m in marks}
     closes = {m["last"] for m in marks}
     out = []
-    for i, (op, _, begin, end) in enumerate(content.located(data)):
-        if op in MARKS:
-            continue
+    for i, _, begin, end in found:
         if i in opens:
             out.append(opens[i])
         out.append(data[begin:end])
@@ -67,6 +69,51 @@ def rewrite(data: bytes, marks: list[dict]) -> bytes:
     return b"\n".join(out)
 
 
+def shown_by(op: str, operands: list[tuple]) -> str | None:
+    """As shown(), of an instruction as the parser has it."""
+    at = {"Tj": 0, "'": 0, '"': 2, "TJ": 0}.get(op)
+    if at is None or len(operands) <= at:
+        return None
+    kind, value = operands[at]
+    if op == "TJ":
+        return "".join(x for x in value if isinstance(x, str) and not isinstance(x, content._Number)) if kind == "array" else None
+    return content.operand(kind, value)["value"]
+
+
+def tagged_page(data: bytes, elements: list[tuple[str, list[str]]]) -> tuple[bytes, list[tuple[int, str]]]:
+    """A page's stream with its marks, and (mcid, tag) of these: what spans() and rewritten() make of many pages, of one whose
+    elements (tag, tokens) are at hand, in one reading of its bytes. A page is one step of the matcher anyhow."""
+    found, texts, blocks, bt, et = [], {}, [], None, None
+    for i, (op, operands, begin, end) in enumerate(content.located(data)):
+        if op in MARKS:
+            continue
+        found.append((i, op, begin, end))
+        inside = bt is not None and (et is None or bt > et)
+        if inside and op in pages.SHOW:
+            texts.setdefault(bt, []).append(shown_by(op, operands) or "")
+        elif op == "ET" and inside:
+            blocks.append((bt, i, True))
+        elif op == "Do" and not inside:
+            blocks.append((i, i, False))
+        bt, et = i if op == "BT" else bt, i if op == "ET" else et
+    blocks.sort()
+    own = dict(structure.greedy([list(dict.fromkeys("".join(texts.get(first, ())).lower().split())) if is_text else None for first, _, is_text in blocks], [tokens for _, tokens in elements]))
+    marks, until, run = [], -1, None
+    ids = {b: k for k, b in enumerate(own)}
+    for b, (first, last, _) in enumerate(blocks):
+        marks.append({"first": first, "last": last, "mcid": ids.get(b), "tag": "Artifact" if b not in own else "Figure" if own[b] < 0 else elements[own[b]][0]})
+    ends = {first: last for first, last, _ in blocks}
+    for i, *_ in found:
+        until = ends.get(i, until)
+        if until >= i:
+            run = None
+        elif run is None:
+            marks.append(run := {"first": i, "last": i, "mcid": None, "tag": "Artifact"})
+        else:
+            run["last"] = i
+    return _marked(data, found, marks), [(m["mcid"], m["tag"]) for m in marks if m["mcid"] is not None]
+
+
 def rewritten(streams: DataFrame, marked: DataFrame) -> DataFrame:
     """page, content, error: streams (page, content) with the marks of spans (see spans)."""
     by_page = marked.groupBy("page").agg(F.collect_list(F.struct("first", "last", "tag", "mcid")).alias("marks"))
