@@ -23,6 +23,16 @@ def test_small_files_share_a_task(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_tagged_files_write_files_alone(spark, tmp_path, monkeypatch):
+    """Neither instructions nor pages are written on the way, and nothing is joined but texts and sizes."""
+    kinds = []
+    monkeypatch.setattr(pdf, "folder", lambda spark, kind: kinds.append(kind) or f"{tmp_path}/{kind}")
+    monkeypatch.setattr(content, "folder", lambda spark, kind: kinds.append(kind) or f"{tmp_path}/{kind}")
+    monkeypatch.setattr("lectern.sources.shared.folder", lambda spark, kind: kinds.append(kind) or f"{tmp_path}/{kind}-{len(kinds)}")
+    assert pdf.tagged_files(spark, "/root/testdata/sf0.001").where("tag = 'H1'").count() > 0
+    assert kinds == ["files"]
+
+
 def test_parts_of_a_text_are_those_of_the_table(spark):
     docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id int, text string")
     want = {r.doc_id: ([(h.level, h.text) for h in r.heads], [p.text for p in r.paragraphs]) for r in elements.parts(docs).collect()}
@@ -66,3 +76,8 @@ def test_sizes_of_a_document(spark):
     lines = spark.createDataFrame([(1, 2, 1.0), (1, 2, 30.0), (1, 3, None), (2, 1, 5.0), (None, 1, 5.0)], "l_orderkey bigint, l_linenumber int, l_quantity double")
     got = {r.doc_id: sorted(map(tuple, r.sizes)) for r in pages.sizes_by_document(lines).collect()}
     assert got == {1: [(2, 11.0, 11.0), (3, 11.0, 11.0)], 2: [(1, 8.5, 11.0)]}
+
+
+def test_text_of_marks():
+    data = b"BT (no) Tj /P <</MCID 2>> BDC (a) Tj /Span <</X 1>> BDC [(b) 1 (c)] TJ EMC (no) Tj /P <</MCID 0>> BDC (d) Tj /Q BMC (no) Tj EMC /P <</MCID 5>> BDC (e) Tj (f"
+    assert pdf.shown_by_mark(data) == {2: "abc", 0: "d", 5: "e"}
