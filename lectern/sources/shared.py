@@ -27,6 +27,12 @@ def kept(rows: DataFrame, kind: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """The folder of any store that Spark writes to goes, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it; file:/a, as Spark writes it, is file:///a."""
     if path.startswith("/") or re.match(r"file:/", path):
