@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.operators import elements, pages, structure
-from lectern.sources import content, files, pdf, tagging
+from lectern.sources import content, docx, files, pdf, tagging
 
 ODD = ["", None, " \n\t", "TITLE\n\x0b a \r\nB B\x85c   d\x1c", "x" * 80 + "\n" + "É" * 3 + "\nß\nAB", "one\nONE\none\n　two  three ", "\x1f\na(\\)b\tc\n語 ü"]
 
@@ -81,3 +81,9 @@ def test_sizes_of_a_document(spark):
 def test_text_of_marks():
     data = b"BT (no) Tj /P <</MCID 2>> BDC (a) Tj /Span <</X 1>> BDC [(b) 1 (c)] TJ EMC (no) Tj /P <</MCID 0>> BDC (d) Tj /Q BMC (no) Tj EMC /P <</MCID 5>> BDC (e) Tj (f"
     assert pdf.shown_by_mark(data) == {2: "abc", 0: "d", 5: "e"}
+
+
+def test_packages_are_not_sent_to_the_driver(spark):
+    """The report's join knows the lists of names alone, yet deals packages and texts out by document."""
+    plan = docx.package_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
