@@ -1,5 +1,7 @@
 """File sets at size: names in lists, files dealt out to tasks by number and bytes; files of documents made from their rows."""
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +89,13 @@ def test_packages_are_not_sent_to_the_driver(spark):
     """The report's join knows the lists of names alone, yet deals packages and texts out by document."""
     plan = docx.package_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_the_manifest_holds_no_names(spark, tmp_path):
+    files.write_files(spark.range(0, 3000, 1, 3).select(F.concat(F.lit("name-"), F.col("id").cast("string")).alias("name"), F.lit(b"x").alias("content")), str(tmp_path))
+    (made,) = tmp_path.glob("manifest-*.json")
+    assert len(made.read_text()) < 1000 and sum(a["n"] for a in json.loads(made.read_text())["attempts"]) == 3000
+    assert files.manifest(spark, str(tmp_path)).where("name like 'name-%' and path like concat('%/', name)").select("name").distinct().count() == 3000
+    with pytest.raises(ValueError, match="2 names come more than once, such as 'a'"):
+        files.write_files(spark.createDataFrame([(n, b"") for n in "abcab"], "name string, content binary").repartition(5), str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 2 and files.manifest(spark, str(tmp_path)).count() == 3000
