@@ -5,6 +5,7 @@ Order within a document (page, user) is a window over that document's own rows;
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,10 +106,13 @@ def artifact_islands(instr: DataFrame) -> DataFrame:
 # ---- matching of text blocks to elements ----
 
 
+_SENTENCE_END = re.compile(r"[.\n] ?")
+
+
 def blocks_and_elements(docs: DataFrame) -> DataFrame:
     """Lines as blocks, sentences as elements (a stand-in of the right shape): arrays of token sets for each document."""
     blocks = F.transform(F.split("text", "\n"), t.tokens)
-    elements = F.transform(F.split("text", r"[.\n] ?"), t.tokens)
+    elements = F.transform(F.split("text", _SENTENCE_END.pattern), t.tokens)
     return docs.select("doc_id", blocks.alias("blocks"), elements.alias("elements"))
 
 
@@ -153,18 +157,45 @@ def block_element_match(docs: DataFrame) -> DataFrame:
     return blocks_and_elements(docs).mapInArrow(match, f"doc_id {kind}, block int, element int, mcid int")
 
 
+def best(blocks: list[list[str]], elements: list[list[str]], least: float = s.MATCH_SCORE) -> Iterator[tuple[int, int, float]]:
+    """(block, element, score) of each block: greedy() where elements may be shared. A block costs what its tokens' lists hold."""
+    where: dict[str, list[int]] = {}
+    for j, tokens in enumerate(elements):
+        for w in tokens:
+            where.setdefault(w, []).append(j)
+    where = {w: np.array(found, np.int64) for w, found in where.items()}
+    size, n = np.array([len(e) for e in elements], float), len(elements)
+    for i, tokens in enumerate(blocks):
+        hits = [where[w] for w in tokens if w in where]
+        if not hits:
+            continue
+        every = np.concatenate(hits)
+        found, count = np.unique(every, return_counts=True) if len(every) < n else (None, np.bincount(every, minlength=n))
+        score = count / np.maximum(size if found is None else size[found], len(tokens))
+        k = int(score.argmax())
+        if score[k] > least:
+            yield i, k if found is None else int(found[k]), float(score[k])
+
+
 def best_match(docs: DataFrame) -> DataFrame:
-    """doc_id, block, element, score: the best element of each block, elements may be shared; a join on tokens."""
-    both = blocks_and_elements(docs)
+    """doc_id, block, element, score: the best element of each block, elements may be shared; best() over each document, a row
+    of a batch at a time. Nothing is shuffled: tokens and pairs stay where the text is. Blocks and elements are those of
+    blocks_and_elements, cut in the same task."""
+    tokens = lambda x: list(dict.fromkeys(x.lower().split()))
 
-    def side(name):
-        rows = both.select("doc_id", F.posexplode(name).alias(name[:-1], "tokens"))
-        return rows.select("doc_id", name[:-1], F.size("tokens").alias(f"n_{name[:-1]}"), F.explode("tokens").alias("token"))
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column("text")[i].as_py()
+                if text is None or not batch.column("doc_id")[i].is_valid:
+                    continue
+                if found := list(best([tokens(x) for x in text.split("\n")], [tokens(x) for x in _SENTENCE_END.split(text)])):
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i] * len(found), pa.int64())), *columns], ["doc_id", "block", "element", "score"])
 
-    common = side("blocks").join(side("elements"), ["doc_id", "token"]).groupBy("doc_id", "block", "element", "n_block", "n_element").count()
-    scored = common.withColumn("score", F.col("count") / F.greatest("n_block", "n_element")).where(F.col("score") > s.MATCH_SCORE)
-    best = scored.groupBy("doc_id", "block").agg(F.max(F.struct("score", (-F.col("element")).alias("e"))).alias("b"))
-    return best.select("doc_id", "block", (-F.col("b.e")).alias("element"), F.round("b.score", 9).alias("score"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").mapInArrow(match, f"doc_id {kind}, block int, element int, score double")
+    return found.withColumn("score", F.round("score", 9))
 
 
 def parent_tree(docs: DataFrame, bucket: int = 65536) -> DataFrame:
