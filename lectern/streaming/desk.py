@@ -62,10 +62,11 @@ def parsed(messages: DataFrame, secret: str = SECRET) -> DataFrame:
 
 
 class Desk:
-    """uploads: upload (bigint), pages; their bytes are files of the set at `uploads_at`, named by upload and UPLOAD_END."""
+    """uploads: upload (bigint), pages; their bytes are files of the set at `uploads_at`, named by upload and `end`; an end in .gz
+    is a file that is packed as it is written and unpacked as it is read."""
 
-    def __init__(self, spark: SparkSession, path: str, uploads: DataFrame, uploads_at: str, secret: str = SECRET):
-        self.spark, self.path, self.uploads_at, self.secret = spark, path, uploads_at, secret
+    def __init__(self, spark: SparkSession, path: str, uploads: DataFrame, uploads_at: str, secret: str = SECRET, end: str = UPLOAD_END):
+        self.spark, self.path, self.uploads_at, self.secret, self.end = spark, path, uploads_at, secret, end
         self.outputs_at = f"{path}/outputs"
         self.uploads = uploads.select("upload", F.col("pages").cast("int").alias("pages"))
         self.store = KeyedStore(spark, f"{path}/store", ["job"], latest_by(["job"], "seq"))
@@ -82,7 +83,7 @@ class Desk:
 
     def put(self, messages: DataFrame) -> None:
         schema = self.spark.createDataFrame([], MESSAGE).schema
-        messages.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").json(f"{self.path}/inbox")
+        messages.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").option("compression", "gzip").json(f"{self.path}/inbox")
 
     def _known(self, m: DataFrame) -> DataFrame:
         """Records in the buckets of a batch's jobs."""
@@ -92,7 +93,7 @@ class Desk:
     def _commands(self, m: DataFrame) -> DataFrame:
         """request, upload, email, pages (null if the upload isn't there) of the commands that name an upload."""
         c = m.where("kind = 'command' and ok").select("request", F.col("b.upload_id").try_cast("bigint").alias("upload"), F.nullif(F.trim("b.email"), F.lit("")).alias("email"))
-        there = self.uploads.withColumn("name", named(F.col("upload"), UPLOAD_END)).join(self._files(self.uploads_at), "name").groupBy("upload").agg(F.max("pages").alias("pages"))
+        there = self.uploads.withColumn("name", named(F.col("upload"), self.end)).join(self._files(self.uploads_at), "name").groupBy("upload").agg(F.max("pages").alias("pages"))
         return c.join(there, "upload", "left")
 
     def _started(self, m: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ class Desk:
 
     def _executed(self, queued: DataFrame) -> DataFrame:
         """Last records of queued jobs, whose outputs are written. An upload is read and analysed once for all its jobs."""
-        wanted = queued.groupBy("upload").agg(F.lit(1).alias("one")).withColumn("name", named(F.col("upload"), UPLOAD_END))
+        wanted = queued.groupBy("upload").agg(F.lit(1).alias("one")).withColumn("name", named(F.col("upload"), self.end))
         at = wanted.join(self._files(self.uploads_at), "name").select(F.col("upload").alias("page"), "path")
         streams = contents(at, self.uploads_at).select("page", "content")
         texts = self._kept(runs.scanned(at, content.written(streams)))
@@ -168,6 +169,7 @@ class Desk:
         try:
             if n > self.store.manifest()["batch"]:
                 self.store.upsert(self.records(m), n)
+                self.store.vacuum()
             self.answers(m).write.mode("overwrite").parquet(f"{self.path}/answers/batch={n}")
         finally:
             m.unpersist()
@@ -193,9 +195,9 @@ def desk_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, orders, events = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "orders", "events"))
     uploads_at = f"{folder(spark, 'uploads')}/files"
     full = docs.where("text <> ''")
-    write_files(content.document_content(full).select(named(F.col("page"), UPLOAD_END).alias("name"), "content"), uploads_at)
+    write_files(content.document_content(full).select(named(F.col("page"), UPLOAD_END + ".gz").alias("name"), "content"), uploads_at)
     pages = F.least(F.greatest(F.ceil(F.coalesce("n_chars", F.lit(0)) / 800), F.lit(1)), F.lit(s.MAX_PAGES))
-    desk = Desk(spark, folder(spark, "desk"), docs.select(F.col("doc_id").alias("upload"), pages.alias("pages")), uploads_at)
+    desk = Desk(spark, folder(spark, "desk"), docs.select(F.col("doc_id").alias("upload"), pages.alias("pages")), uploads_at, end=UPLOAD_END + ".gz")
     no = F.lit(None).cast("string")
     upload = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("string"))
     desk.put(orders.select(F.col("o_orderkey").alias("request"), F.lit("command").alias("kind"), F.to_json(F.struct(upload.alias("upload_id"), F.lit(" a@b.c ").alias("email"))).alias("body"), no.alias("signature")))
