job_transitions: a job's timer follows from its state, a batch is held as arrays

Symptom: the Python workers of the state machine took most of the CPU time, most of it per job and not per command.
Evidence: for each job the code joined and sorted a DataFrame, converted times to and from a time zone, and sent messages to the state store to look, get, list, delete, register and update; a profile of the workers, taken midway, showed most of the time in what is done once for each job. the profiler before, two runs over events of sf0.1: 1,665 and 1,465 task seconds a GB, Python 889 and 819, JVM 146 and 129, GC 23 and 11; 1,063 CPU seconds a GB in its summary; 2 MB shuffled.
Fix: the timer is computed from the state and its time, so the store is asked once and told only of changes; commands are sorted as arrays; transitions leave with microseconds, which Spark makes times of. Input columns, keys, state, timers and the shuffle are as before.
Effect: at 1 GB of input CPU 1584 -> 1399 s, shuffle 0.14 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.11 -> 0.11 GB, longest task 19 -> 17 s, most memory of a task 36 -> 36 MB; at 6 GB of input CPU 6569 -> 5066 s, shuffle 0.87 -> 0.87 GB, spill 0.00 -> 0.00 GB, read 0.71 -> 0.71 GB, longest task 50 -> 43 s, most memory of a task 42 -> 42 MB; with hot keys, at 1 GB of input CPU 1614 -> 1326 s, shuffle 0.12 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.10 GB, longest task 33 -> 27 s, most memory of a task 201 -> 201 MB.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,52 +30,62 @@ BOUND = 120
 COMMANDS = {"signup": "submit", "view": "start", "click": "page", "purchase": "finish", "error": "fail"}
 TRANSITIONS = {("", "submit"): "queued", ("done", "submit"): "queued", ("failed", "submit"): "queued", ("queued", "start"): "running", ("queued", "fail"): "failed", ("running", "fail"): "failed", ("running", "finish"): "done"}
 
-OUTPUT = "job bigint, at timestamp, before string, after string, pages int, reason string"
+OUTPUT = "job bigint, at bigint, before string, after string, pages int, reason string"
+
+
+def _out(key: tuple, found: list[tuple]) -> pd.DataFrame:
+    """Rows of OUTPUT; at in microseconds, so that no time zone is converted for each job."""
+    at, before, after, pages, reason = zip(*found, strict=True)
+    return pd.DataFrame({"job": [key[0]] * len(found), "at": at, "before": before, "after": after, "pages": pages, "reason": reason})
+
+
+def _until(state: str, since: int) -> int | None:
+    """Milliseconds at which the timer of a job in this state goes off; queued jobs and those without a state have none."""
+    return None if state in ("", "queued") else since // 1000 + (TIMEOUT if state == "running" else OUTPUT_TTL) * 1000
 
 
 class JobMachine(StatefulProcessor):
     """States of one job. A running job that has not ended TIMEOUT seconds after its start fails then: by its next command if
-    that comes first, else by a timer. An ended job is forgotten OUTPUT_TTL seconds later."""
+    that comes first, else by a timer. An ended job is forgotten OUTPUT_TTL seconds later. A job's timer follows from its
+    state (see _until), so it is not asked for; each call to the state store is a message to the JVM and back."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", "state string, since bigint, pages int")
 
-    def _out(self, key: tuple, found: list) -> pd.DataFrame:
-        at = pd.to_datetime([x[0] for x in found], unit="us")
-        return pd.DataFrame({"job": [key[0]] * len(found), "at": at, **{c: [x[i] for x in found] for i, c in enumerate(("before", "after", "pages", "reason"), 1)}})
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, since, pages = self.job.get() if self.job.exists() else ("", 0, 0)
-        found, before = [], (state, since)
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        for ts, command in zip(batch["ts"].astype("datetime64[us]").astype("int64"), batch["command"], strict=True):
-            if state == "running" and ts > since + TIMEOUT * 1_000_000:
+        old = state, since, pages = self.job.get() or ("", 0, 0)
+        found, parts = [], [(p["ts"].to_numpy("datetime64[us]").astype("int64"), p["event_id"].to_numpy(), p["command"].to_numpy()) for p in rows]
+        ts, events, commands = (c[0] if len(c) == 1 else np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((events, ts))  # stable; commands without an event are the last of their time
+        for at, command in zip(map(int, ts[order]), commands[order], strict=True):
+            if state == "running" and at > since + TIMEOUT * 1_000_000:
                 found.append((since + TIMEOUT * 1_000_000, state, "failed", pages, "timeout"))
                 state, since = "failed", since + TIMEOUT * 1_000_000
             if state == "running" and command == "page":
                 pages += 1
             elif after := TRANSITIONS.get((state, command)):
                 pages = 0 if after == "queued" else pages
-                found.append((ts, state, after, pages, command))
-                state, since = after, ts
-        if state:
-            self.job.update((state, int(since), int(pages)))
-        if (state, since) != before:
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
-            if state != "queued":
-                self.handle.registerTimer(int(since) // 1000 + (TIMEOUT if state == "running" else OUTPUT_TTL) * 1000)
+                found.append((at, state, after, pages, command))
+                state, since = after, at
+        if (state, since, pages) != old:
+            self.job.update((state, since, pages))
+        was, now = _until(*old[:2]), _until(state, since)
+        if was != now:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if now is not None:
+                self.handle.registerTimer(now)
         if found:
-            yield self._out(key, found)
+            yield _out(key, found)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, since, pages = self.job.get() if self.job.exists() else ("", 0, 0)
+        state, since, pages = self.job.get() or ("", 0, 0)
         if state == "running":
             at = since + TIMEOUT * 1_000_000
             self.job.update(("failed", at, pages))
-            self.handle.registerTimer(at // 1000 + OUTPUT_TTL * 1000)
-            yield self._out(key, [(at, "running", "failed", pages, "timeout")])
+            self.handle.registerTimer(_until("failed", at))
+            yield _out(key, [(at, "running", "failed", pages, "timeout")])
         else:
             self.job.clear()
 
@@ -83,9 +94,11 @@ class JobMachine(StatefulProcessor):
 
 
 def transitions(commands: DataFrame) -> DataFrame:
-    """job, at, before, after, pages, reason of a stream of commands (job, ts, event_id, command)."""
+    """job, at, before, after, pages, reason of a stream of commands (job, ts, event_id, command). The machine counts in
+    microseconds of the session's time zone, as pandas has them."""
     late = commands.withWatermark("ts", DELAY)
-    return late.groupBy("job").transformWithStateInPandas(JobMachine(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+    found = late.groupBy("job").transformWithStateInPandas(JobMachine(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+    return found.withColumn("at", F.to_utc_timestamp(F.timestamp_micros("at"), F.current_timezone()))
 
 
 def commands_of(events: DataFrame) -> DataFrame:

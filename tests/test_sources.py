@@ -156,6 +156,82 @@ def test_timers_of_running_jobs(spark, tmp_path):
     assert sizes[-1] <= sizes[1]  # one job comes, one goes
 
 
+class Handle:
+    """A state store's handle in memory; it counts the messages that a store in the JVM would be sent."""
+
+    def __init__(self):
+        self.value, self.timers, self.sent = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _said(self, what, result=None):
+        self.sent.append(what)
+        return result
+
+    def get(self):
+        return self._said("get", self.value)
+
+    def exists(self):
+        return self._said("exists", self.value is not None)
+
+    def update(self, value):
+        self.value = self._said("update", tuple(value))
+
+    def clear(self):
+        self.value = self._said("clear")
+
+    def registerTimer(self, at):
+        assert at not in self.timers
+        self._said("register", self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._said("delete", self.timers.remove(at))
+
+    def listTimers(self):
+        return self._said("list", iter(sorted(self.timers)))
+
+
+def test_one_job_sends_few_messages():
+    """A job's timer is known by its state: one look, one update and one timer a batch, none for what changes nothing; one timer
+    at most, that of the state. Commands without an event are last of their time, commands that mean nothing only pass time."""
+    import pandas as pd
+
+    machine, handle, hour = lifecycle.JobMachine(), Handle(), 3600 * 1_000_000
+    machine.init(handle)
+
+    def came(*rows):
+        handle.sent.clear()
+        part = pd.DataFrame(rows, columns=["ts", "event_id", "command"]).assign(job=5, ts=lambda df: pd.to_datetime(df["ts"], unit="us"))
+        return [tuple(x) for df in machine.handleInputRows((5,), iter([part.iloc[:1], part.iloc[1:]]), None) for x in df.itertuples(index=False)]
+
+    assert came((0, 1, None), (1, 2, "page")) == [] and handle.sent == ["get"] and handle.value is None
+    got = came((9, None, "page"), (7, 4, "start"), (9, 6, "submit"), (7, 3, "submit"), (8, 5, "page"))
+    assert got == [(5, 7, "", "queued", 0, "submit"), (5, 7, "queued", "running", 0, "start")]
+    assert handle.sent == ["get", "update", "register"] and handle.value == ("running", 7, 2) and handle.timers == {3600_000}
+    assert came((10, 7, "page")) == [] and handle.sent == ["get", "update"] and handle.value == ("running", 7, 3)
+    assert came((20, 8, "finish")) == [(5, 20, "running", "done", 3, "finish")]
+    assert handle.sent == ["get", "update", "delete", "register"] and handle.timers == {86_400_000}
+    assert came((21, 9, "submit"), (hour, 10, "start"), (3 * hour, 11, None)) == [(5, 21, "done", "queued", 0, "submit"), (5, hour, "queued", "running", 0, "start"), (5, 2 * hour, "running", "failed", 0, "timeout")]
+    assert handle.value == ("failed", 2 * hour, 0) and handle.timers == {2 * 3600_000 + 86_400_000}
+
+
+def test_transitions_in_another_time_zone(spark, tmp_path):
+    """A transition is at its command's time, whatever the session's time zone."""
+    schema, old = "job bigint, ts timestamp, event_id bigint, command string", spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([(1, at(0), 1, "submit"), (1, at(1), 2, "start")], schema)
+    df.write.parquet(f"{tmp_path}/in")
+    want = {(x.after, x.us) for x in df.selectExpr("case command when 'submit' then 'queued' else 'running' end as after", "unix_micros(ts) as us").collect()}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        with lifecycle.rocks(spark):
+            out = lifecycle.run_available(spark, lifecycle.transitions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), "append")
+        got = {(x.after, x.us) for x in out.where("reason <> 'timeout'").selectExpr("after", "unix_micros(at) as us").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == want
+
+
 def test_payments_at_their_time(spark):
     when = lambda *x: [(*r[:2], at(r[2])) for r in x]
     paid = spark.createDataFrame(when(("early", 1, -50), ("in time", 1, 1), ("in time", 1, 1), ("late", 1, 30), ("of none", 9, 5)), "event string, job bigint, paid_at timestamp")
