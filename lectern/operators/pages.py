rewritten_streams: instructions are shuffled by page alone, streams are made once

Symptom: the query shuffled many times what it reads: 17 MB written and 18 read for an events file of 2.0 MB.
Evidence: the event log showed the page streams made and shuffled twice, and instructions shuffled four times: blocks, their texts and runs of artifacts were joined by page and place, so each join needed a shuffle of its own, and the last window carried derived columns. the profiler before: 11 Exchange, 11 Window, 12 Sort, 4 BroadcastHashJoin; 17 MB written, 18 read, 1,009,920 rows read, 3 MB broadcast.
Fix: content_blocks groups and artifact_islands looks ahead in the one order by page, without joins; blocks carry their place through the matcher, so its answers need no join back; the streams are written once and read by both steps; the last window shuffles only what it needs. Nothing is broadcast by name.
Effect: at 1 GB of input CPU 1066 -> 1076 s, shuffle 1.10 -> 0.59 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.14 GB, longest task 21 -> 21 s, most memory of a task 173 -> 213 MB; at 6 GB of input CPU 4369 -> 3683 s, shuffle 7.26 -> 3.54 GB, spill 0.00 -> 0.00 GB, read 1.45 -> 0.98 GB, longest task 85 -> 75 s, most memory of a task 503 -> 644 MB; with hot keys, at 1 GB of input CPU 1106 -> 1060 s, shuffle 1.09 -> 0.57 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.15 GB, longest task 41 -> 38 s, most memory of a task 436 -> 369 MB.

@@ -194,22 +194,26 @@ def page_structure(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("page")).distinct().where("page % 7 <> 0").select("page", F.array(*made).alias("elements"))
 
 
-def assign(pages: DataFrame) -> DataFrame:
+def assign(pages: DataFrame, every: bool = False) -> DataFrame:
     """page, blocks (block, type, tokens, in order), elements (tag, tokens) -> page, block, tag, mcid. An image takes the next
-    id as a figure; a text block takes an element (see structure.greedy) and the next id, or neither."""
+    id as a figure; a text block takes an element (see structure.greedy) and the next id, or neither. every: blocks with first
+    and last -> page, first, last, tag, mcid of all of them, those that take neither with nulls, as all do if elements are null."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for i in range(batch.num_rows):
                 blocks, made = batch.column("blocks")[i].as_py(), batch.column("elements")[i].as_py()
-                own = structure.greedy([None if b["type"] == "image" else b["tokens"] for b in blocks], [e["tokens"] for e in made])
-                rows += [i] * len(own)
-                found += [(blocks[b]["block"], "Figure" if e < 0 else made[e]["tag"], k) for k, (b, e) in enumerate(own)]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(rows, pa.int64())), *columns], ["page", "block", "tag", "mcid"])
-
-    return pages.select("page", "blocks", "elements").mapInArrow(match, f"page {pages.schema['page'].dataType.simpleString()}, block int, tag string, mcid int")
+                own = [] if made is None else structure.greedy([None if b["type"] == "image" else b["tokens"] for b in blocks], [e["tokens"] for e in made])
+                taken = {b: ("Figure" if e < 0 else made[e]["tag"], k) for k, (b, e) in enumerate(own)}
+                keep = range(len(blocks)) if every else taken
+                rows += [i] * len(keep)
+                found += [(*(blocks[b][c] for c in place), *taken.get(b, (None, None))) for b in keep]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((*[pa.int64() if every else pa.int32()] * len(place), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(pa.array(rows, pa.int64())), *columns], ["page", *place, "tag", "mcid"])
+
+    place, kind = (("first", "last"), "bigint") if every else (("block",), "int")
+    return pages.select("page", "blocks", "elements").mapInArrow(match, f"page {pages.schema['page'].dataType.simpleString()}, {', '.join(f'{c} {kind}' for c in place)}, tag string, mcid int")
 
 
 def assignments(events: DataFrame) -> DataFrame:

@@ -84,20 +84,26 @@ def _placed(instr: DataFrame) -> DataFrame:
 
 def content_blocks(instr: DataFrame) -> DataFrame:
     """page, block, type, first, last, text: text from the last begin to the next end, and images outside of text. The text
-    is what its showing operators show, in order, stripped."""
-    at = _placed(instr)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "")
-    shown = at.where(F.col("inside") & F.col("op").isin("Tj", "TJ", "'", '"')).groupBy("page", F.col("bt").alias("first")).agg(F.btrim(whole, F.lit(t.SPACES)).alias("text"))
-    ends = at.where("(op = 'ET' and inside) or (op = 'Do' and not inside)").select("page", F.when(F.col("op") == "ET", "text").otherwise("image").alias("type"), F.when(F.col("op") == "ET", F.col("bt")).otherwise(F.col("i")).alias("first"), F.col("i").alias("last"))
+    is what its showing operators show, in order, stripped. All is by page: instructions are shuffled once. An image is a group
+    of its own row."""
+    row = Window.partitionBy("page").orderBy("i")
+    at = _placed(instr).withColumn("image", F.when(~F.col("inside"), F.row_number().over(row))).where("inside or op = 'Do'")
+    shown = F.collect_list(F.when(F.col("inside") & F.col("op").isin("Tj", "TJ", "'", '"'), F.struct("i", "text")))
+    whole = F.btrim(F.array_join(F.transform(F.array_sort(shown), lambda x: x["text"]), ""), F.lit(t.SPACES))
+    found = at.groupBy("page", F.when(F.col("inside"), F.col("bt")).otherwise(F.col("i")).alias("first"), "image").agg(F.max(F.when(~F.col("inside") | (F.col("op") == "ET"), F.col("i"))).alias("last"), whole.alias("text"))
     w = Window.partitionBy("page").orderBy("first")
-    return ends.join(shown, ["page", "first"], "left").select("page", (F.row_number().over(w) - 1).alias("block"), "type", "first", "last", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.when(F.col("page").isNotNull(), F.col("text")).otherwise(F.lit(""))  # instructions of no page have no text
+    return found.where("last is not null").select("page", (F.row_number().over(w) - 1).alias("block"), F.when(F.col("image").isNull(), "text").otherwise("image").alias("type"), "first", "last", text.alias("text"))
 
 
 def artifact_islands(instr: DataFrame) -> DataFrame:
-    """page, first, last, n: runs of instructions outside all blocks."""
-    blocks = content_blocks(instr).select("page", F.col("first").alias("i"), "last")
+    """page, first, last, n: runs of instructions outside all blocks (see content_blocks): a begin of text opens a block if an end
+    is the next of its kind. Instructions of no page are in no block. All is by page: instructions are shuffled once."""
     w = Window.partitionBy("page").orderBy("i")
-    at = instr.join(blocks, ["page", "i"], "left").withColumn("until", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    following = F.expr("lead(case when op in ('BT', 'ET') then struct(op, i) end) ignore nulls over (partition by page order by i)")
+    at = _placed(instr.select("page", "i", "op")).withColumn("next", following)
+    last = F.when((F.col("op") == "BT") & (F.col("next.op") == "ET"), F.col("next.i")).when((F.col("op") == "Do") & ~F.col("inside"), F.col("i"))
+    at = at.withColumn("until", F.last(F.when(F.col("page").isNotNull(), last), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = at.withColumn("out", F.col("until").isNull() | (F.col("until") < F.col("i")))
     at = at.withColumn("run", F.sum(F.when(F.col("out"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return at.where("out").groupBy("page", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n")).drop("run")

@@ -44,10 +44,9 @@ def plain(instr: DataFrame) -> DataFrame:
 def spans(instr: DataFrame, elements: DataFrame) -> DataFrame:
     """page, first, last, tag, mcid: blocks with the elements (page, elements: tag and tokens) they are matched with, other
     blocks and all between them as artifacts. instr: see plain."""
-    blocks = structure.content_blocks(instr)
-    by_page = blocks.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("block", "type", t.tokens(F.col("text")).alias("tokens")))).alias("blocks"))
-    found = pages.assign(by_page.join(elements.where("elements is not null"), "page"))
-    own = blocks.select("page", "block", "first", "last").join(found, ["page", "block"], "left").select("page", "first", "last", F.coalesce("tag", F.lit("Artifact")).alias("tag"), "mcid")
+    block = F.struct("block", "type", "first", "last", t.tokens(F.col("text")).alias("tokens"))
+    by_page = structure.content_blocks(instr).groupBy("page").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    own = pages.assign(by_page.join(elements.where("elements is not null"), "page", "left"), every=True).withColumn("tag", F.coalesce("tag", F.lit("Artifact")))
     return own.unionByName(structure.artifact_islands(instr).select("page", "first", "last", F.lit("Artifact").alias("tag"), F.lit(None).cast("int").alias("mcid")))
 
 
@@ -157,15 +156,16 @@ def rewritten_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, pos, kind (open, body, close), tag, mcid, i: what is read back of the rewritten bytes; i counts instructions that
     are no marks, a mark has that of the one beside it."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    streams = page_streams(events)
+    streams = kept(page_streams(events), "streams")
     instr = kept(plain(content.written(streams)), "instructions")
     out = content.written(rewritten(streams, spans(instr, pages.page_structure(events))).select("page", "content"))
     body = ~F.col("op").isin(*MARKS)
-    before = F.count_if(body).over(Window.partitionBy("page").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     kind = F.when(body, "body").when(F.col("op") == "EMC", "close").otherwise("open")
     name = F.when(F.col("op").isin("BMC", "BDC"), F.substring(F.get("operands", F.lit(0))["value"], 2, 100))
     mcid = F.when(F.col("op") == "BDC", F.get_json_object(F.get("operands", F.lit(1))["value"], "$['/MCID']").cast("int"))
-    return out.select("page", F.col("i").alias("pos"), kind.alias("kind"), name.alias("tag"), mcid.alias("mcid"), (F.coalesce(before, F.lit(0)) - F.when(F.col("op") == "EMC", 1).otherwise(0)).alias("i"))
+    found = out.select("page", "i", kind.alias("kind"), name.alias("tag"), mcid.alias("mcid"))  # what the window shuffles
+    before = F.count_if(F.col("kind") == "body").over(Window.partitionBy("page").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("before", before).select("page", F.col("i").alias("pos"), "kind", "tag", "mcid", (F.coalesce("before", F.lit(0)) - F.when(F.col("kind") == "close", 1).otherwise(0)).alias("i"))
 
 
 SQL = {"rewritten_streams": pages.SQL["tagged_stream"]}
